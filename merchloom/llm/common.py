@@ -63,6 +63,12 @@ class Shared:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_by(self, df: DataFrame, name: str, column: str) -> DataFrame:
+        """As keep, in one folder for each value of a column."""
+        path = f"{self.root}/{name}"
+        df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def drop(self, name: str) -> None:
         remove(self.spark, f"{self.root}/{name}")
 
