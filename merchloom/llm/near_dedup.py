@@ -26,7 +26,7 @@ PERMUTATIONS, BANDS = 96, 32
 LEAST_BITS = 148
 #: Shingles that one task holds to compare with one leader.
 GROUP_SHINGLES = 20_000
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ SYMBOLS = "#*$%&|<>"
 #: Distinct words whose pieces one Python worker remembers.
 REMEMBER = 400_000
 #: Bytes of text that are judged at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 class Band(NamedTuple):

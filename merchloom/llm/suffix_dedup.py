@@ -22,7 +22,7 @@ from .common import Shared, arrow_batches, mix, prefix_hash, range_hash, slices,
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are hashed at once; longer texts come in overlapping pieces.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 ENTRY = "lead long, ctx long, doc long, pos long, len int"
 
 
