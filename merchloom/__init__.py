@@ -1,0 +1 @@
+"""Product-page data to import-ready catalogue tables, as Spark DataFrames."""
