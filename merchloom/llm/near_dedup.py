@@ -22,11 +22,15 @@ SHINGLE, PERCENT = 5, 80
 #: 96 permutations: a least and a greatest value each, 192 in all, in 32 bands of 6. Two texts at the threshold
 #: of 0.8 share no band with a chance of (1 - 0.8 ** 6) ** 32, below one in ten thousand.
 PERMUTATIONS, BANDS = 96, 32
-#: Sketches: 192 lowest bits. At the threshold nine of ten agree (172.8, deviation 4.2); under this many, no pair is compared.
-LEAST_BITS = 148
+#: Sketches: the lowest two bits of each of 192 values. At the threshold 163.2 values agree (deviation 5.0); pairs with
+#: fewer than this, 3.5 deviations less, are not compared.
+LEAST_AGREE = 146
+#: Orders in which a bucket's least member is a leader: by id, then by hash.
+ORDERS = (0, 1, 2)
 #: Shingles that one task holds to compare with one leader.
 GROUP_SHINGLES = 20_000
 BLOCK = 1 << 20
+SKETCH = ("s1", "s2", "s3", "s4", "s5", "s6")
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +87,7 @@ def _signature_rows(k: int) -> object:
                 size = np.diff(cuts)
                 have = size > 0
                 bands = np.zeros((hi - lo, BANDS), np.int64)
-                prints, sketch = np.zeros((2, hi - lo), np.int64), np.zeros((3, hi - lo), np.int64)
+                prints, sketch = np.zeros((2, hi - lo), np.int64), np.zeros((6, hi - lo), np.int64)
                 if have.any():
                     starts = cuts[:-1][have]
                     sig = mix(signatures(hashes, np.append(starts, len(hashes))))
@@ -96,15 +100,15 @@ def _signature_rows(k: int) -> object:
                             bands[have, b] = acc.view(np.int64)
                         for i, salt in enumerate((3, 5)):
                             prints[i, have] = np.add.reduceat(mix(hashes * np.uint64(2 * salt + 1) + np.uint64(salt)), starts).view(np.int64)
-                        for i in range(3):
+                        for i in range(6):
                             acc = np.zeros(sig.shape[1], np.uint64)
                             for bit in range(64):
-                                acc |= (sig[64 * i + bit] & np.uint64(1)) << np.uint64(bit)
+                                acc |= (sig[64 * (i % 3) + bit] >> np.uint64(i // 3) & np.uint64(1)) << np.uint64(bit)
                             sketch[i, have] = acc.view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * BANDS, BANDS), pa.int32()), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(size), *map(pa.array, prints), *map(pa.array, sketch), lists],
-                    ["id", "n", "f1", "f2", "s1", "s2", "s3", "bands"],
+                    ["id", "n", "f1", "f2", *SKETCH, "bands"],
                 )
 
     return run
@@ -184,34 +188,48 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     arrow_batches(spark)
     shared = Shared(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = shared.keep(texts.mapInArrow(_signature_rows(shingle), "id long, n long, f1 long, f2 long, s1 long, s2 long, s3 long, bands array<long>"), "signatures")
+    sig = shared.keep(texts.mapInArrow(_signature_rows(shingle), f"id long, n long, f1 long, f2 long, {', '.join(f'{c} long' for c in SKETCH)}, bands array<long>"), "signatures")
     sets = ["n", "f1", "f2"]
-    reps = sig.where("n > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("s3").alias("s3"), F.first("bands").alias("bands"))
+    reps = sig.where("n > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in (*SKETCH, "bands")])
     reps = shared.keep(reps, "representatives")
     keys = reps.select("rep", F.explode("bands").alias("key"))
     crowded = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    members = shared.keep(keys.join(crowded, "key").join(reps.drop("bands", "f1", "f2"), "rep"), "members")
+    members = shared.keep(keys.join(crowded.hint("merge"), "key").join(reps.drop("bands", "f1", "f2").hint("merge"), "rep"), "members")
     candidates = members.select(F.col("rep").alias("id")).distinct()
-    groups = _Groups(shared.keep(texts.join(candidates, "id").groupBy("id").agg(F.first("text").alias("text")), "texts"), shared, shingle, percent)
+    groups = _Groups(shared.keep(texts.join(candidates.hint("merge"), "id").groupBy("id").agg(F.first("text").alias("text")), "texts"), shared, shingle, percent)
 
     def sides(lead: DataFrame, rest: DataFrame, tested: DataFrame | None) -> DataFrame:
         """Pairs of one bucket, once each, that size and sketches do not rule out."""
         a, b = lead.alias("x"), rest.alias("y")
-        agree = 192 - (F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2"))) + F.bit_count(F.col("x.s3").bitwiseXOR(F.col("y.s3"))))
+        differ = [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}")).bitwiseOR(F.col(f"x.{q}").bitwiseXOR(F.col(f"y.{q}")))) for p, q in zip(SKETCH[:3], SKETCH[3:], strict=True)]
+        agree = 192 - (differ[0] + differ[1] + differ[2])
         small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-        cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & (100 * small >= percent * large) & (agree >= LEAST_BITS)
+        cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & (100 * small >= percent * large) & (agree >= LEAST_AGREE)
         if "c" in lead.columns:
             cond = cond & (F.col("x.c") != F.col("y.c"))
         pairs = a.join(b, cond).select(F.least("x.rep", "y.rep").alias("p"), F.greatest("x.rep", "y.rep").alias("q"), F.when(F.col("x.rep") < F.col("y.rep"), F.col("x.n")).otherwise(F.col("y.n")).alias("np"), F.when(F.col("x.rep") < F.col("y.rep"), F.col("y.n")).otherwise(F.col("x.n")).alias("nq"))
         pairs = pairs.groupBy("p", "q").agg(F.first("np").alias("na"), F.first("nq").alias("nb")).select(F.col("p").alias("a"), F.col("q").alias("b"), "na", "nb")
         return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
 
-    def leaders(of: DataFrame, *orders: int, by: tuple[str, ...] = ("key",)) -> DataFrame:
-        """For each bucket its least member in several orders, the first by id."""
-        cols = ["rep", "n", "s1", "s2", "s3"] + (["c"] if "c" in of.columns else [])
-        picks = [F.min(F.struct((F.col("rep") if o == 0 else F.xxhash64("rep", F.lit(o))).alias("o"), *cols)).alias(f"l{o}") for o in orders]
-        each = of.groupBy(*by).agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"l{o}.{c}").alias(c) for c in cols]) for o in orders]))).alias("l"))
-        return each.select("key", "l.*").distinct()
+    def leaders(of: DataFrame) -> DataFrame:
+        """For each bucket its least member in several orders, and the one whose sketch is nearest to the bucket's majority.
+
+        Copies with edits of their own differ from each other twice as much as from what they were copied from; the
+        member that agrees most with the majority is the least edited, and links most of the bucket in one step.
+        """
+        cols = ["rep", "n", *SKETCH]
+        bits = [F.sum(F.getbit(c, F.lit(i))).alias(f"{c}_{i}") for c in SKETCH[:3] for i in range(64)]
+        sums = of.groupBy("key").agg(F.count("*").alias("m"), *bits).where("m > 2")
+        majority = [F.lit(0).cast("long") for _ in range(3)]
+        for j, c in enumerate(SKETCH[:3]):
+            for i in range(64):
+                majority[j] = majority[j].bitwiseOR(F.when(2 * F.col(f"{c}_{i}") > F.col("m"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        sums = groups.keep(sums.select("key", *[x.alias(f"m{j}") for j, x in enumerate(majority)]), "majority")
+        far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"m{j}"))) for j, c in enumerate(SKETCH[:3])), F.lit(0))
+        central = of.join(sums, "key").groupBy("key").agg(F.min(F.struct(far.alias("o"), *cols)).alias("l")).select("key", *[F.col(f"l.{c}").alias(c) for c in cols])
+        picks = [F.min(F.struct((F.col("rep") if o == 0 else F.xxhash64("rep", F.lit(o))).alias("o"), *cols)).alias(f"l{o}") for o in ORDERS]
+        each = of.groupBy("key").agg(*picks).select("key", F.explode(F.array(*[F.struct(*[F.col(f"l{o}.{c}").alias(c) for c in cols]) for o in ORDERS])).alias("l"))
+        return each.select("key", "l.*").unionByName(central).distinct()
 
     def pending() -> DataFrame:
         """Members of buckets that still hold more than one component."""
@@ -219,15 +237,11 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         several = labelled.groupBy("key").agg((F.min("c") != F.max("c")).alias("several")).where("several").drop("several")
         return groups.keep(labelled.join(several, "key"), "pending")
 
-    first = groups.keep(sides(leaders(members, 0, 1, 2), members, None), "pairs")
+    first = groups.keep(sides(leaders(members), members, None), "pairs")
     groups.links.append(groups.compare(first))
     rest = pending()
-    second = groups.keep(sides(leaders(rest, 3, 4, 5, 6, 7, 8, 9, 10), rest, first.select("a", "b")), "pairs")
+    second = groups.keep(sides(rest, rest, first.select("a", "b")), "pairs")
     groups.links.append(groups.compare(second))
-    rest = pending()
-    tested = first.select("a", "b").unionByName(second.select("a", "b"))
-    third = groups.keep(sides(rest, rest, tested), "pairs")
-    groups.links.append(groups.compare(third))
     found = groups.components()
 
     classes = sig.where("n > 0 AND id IS NOT NULL").select("id", *sets).join(reps.select(*sets, "rep"), sets).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("c", "rep").alias("component_id"))
