@@ -464,20 +464,29 @@ def worst_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.worst(all_issues(spark, sf_dir)).select("product_id", severity_label(F.col("worst_rank")).alias("worst_severity"), "n_issues")
 
 
-def _rule_query(name: str, codes: list[str]) -> None:
+def _rule_query(name: str, rule: str, codes: list[str]) -> None:
     some = [f for f in FINDINGS if f[8:14] in codes]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return all_issues(spark, sf_dir).where(F.col("code").isin(*codes)).select("code", "product_id", "variant_id")
+        docs = products(spark, sf_dir)
+        if rule == "duplicates":
+            found = validate.duplicate_findings(docs, "shopify")
+        elif rule == "orphan-variants":
+            found = validate.orphan_findings(docs)
+        else:
+            found = validate.product_findings(docs, "shopify", [r for r in validate.RULES if r.id == rule])
+        return found.where(F.col("code").isin(*codes)).select("code", "product_id", "variant_id")
 
     run.__name__ = name
     query(f"WITH {cte()}, f AS ({' UNION ALL '.join(some)}) SELECT code, product_id, variant_id FROM f")(run)
 
 
-for _name, _codes in {
-    "required_fields": range(1, 7), "product_type": range(7, 10), "destination_limits": range(10, 13), "variant_integrity": range(13, 24), "variant_images": range(24, 28), "price_consistency": range(28, 32), "dup_handle_url": (45, 46), "dup_sku_across_products": (47,), "orphan_variants": (48,), "missing_axes": (22,), "dup_sku_within_product": (16,), "currency_mix": (28, 29),
+for _name, (_rule, _codes) in {
+    "required_fields": ("required-fields", range(1, 7)), "product_type": ("product-type", range(7, 10)), "destination_limits": ("destination-limits", range(10, 13)), "variant_integrity": ("variant-integrity", range(13, 24)), "variant_images": ("variant-images", range(24, 28)),
+    "price_consistency": ("price-consistency", range(28, 32)), "dup_handle_url": ("duplicates", (45, 46)), "dup_sku_across_products": ("duplicates", (47,)), "orphan_variants": ("orphan-variants", (48,)), "missing_axes": ("variant-integrity", (22,)), "dup_sku_within_product": ("variant-integrity", (16,)),
+    "currency_mix": ("price-consistency", (28, 29)),
 }.items():
-    _rule_query(_name, [f"VAL-{c:02d}" for c in _codes])
+    _rule_query(_name, _rule, [f"VAL-{c:02d}" for c in _codes])
 
 
 @query(f"{ALL}, r AS (SELECT product_id, min({RANK}) AS least, max({RANK}) AS most FROM f GROUP BY product_id) SELECT severity, count(*) AS n FROM f GROUP BY severity")
