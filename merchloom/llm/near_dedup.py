@@ -4,11 +4,12 @@ Every permutation of a text's shingles gives two signature values, its least and
 2 * PERMUTATIONS values costs half the hash evaluations. Signatures are banded; texts with equal shingle sets are
 one class and only its representative goes on. Members of a band's bucket are first compared with a few leaders of
 the bucket, then, where a bucket still holds several components, with each other across components. Candidates that
-one-bit sketches of the signature rule out are not compared; all others are compared on their full shingle sets.
+two-bit sketches of the signature rule out are not compared; all others are compared on their full shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,18 +20,19 @@ from pyspark.sql import functions as F
 from .common import Shared, arrow_batches, lower_bytes, mix, prefix_hash, range_hash, slices, text_bytes, word_bounds
 
 SHINGLE, PERCENT = 5, 80
-#: 96 permutations: a least and a greatest value each, 192 in all, in 32 bands of 6. Two texts at the threshold
-#: of 0.8 share no band with a chance of (1 - 0.8 ** 6) ** 32, below one in ten thousand.
-PERMUTATIONS, BANDS = 96, 32
-#: Sketches: the lowest two bits of each of 192 values. At the threshold 163.2 values agree (deviation 5.0); pairs with
-#: fewer than this, 3.5 deviations less, are not compared.
-LEAST_AGREE = 146
+#: 192 permutations: a least and a greatest value each, 384 in all; the first 192 make 32 bands of 6. Two texts at the
+#: threshold of 0.8 share no band with a chance of (1 - 0.8 ** 6) ** 32, below one in ten thousand.
+PERMUTATIONS, BANDS, BAND_ROWS = 192, 32, 6
+#: Sketches: the lowest two bits of each of the values, in WORDS words of low bits and as many of high ones. Pairs that
+#: agree in this many deviations less than texts at the threshold do are not compared.
+WORDS, DEVIATIONS = 2 * PERMUTATIONS // 64, 3.5
 #: Orders in which a bucket's least member is a leader: by id, then by hash.
 ORDERS = (0, 1, 2)
 #: Shingles that one task holds to compare with one leader.
 GROUP_SHINGLES = 20_000
 BLOCK = 1 << 20
-SKETCH = ("s1", "s2", "s3", "s4", "s5", "s6")
+SKETCH = tuple(f"s{i + 1}" for i in range(2 * WORDS))
+LOW, HIGH = SKETCH[:WORDS], SKETCH[WORDS:]
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +80,12 @@ def signatures(hashes: np.ndarray, cuts: np.ndarray, permutations: int = PERMUTA
     return out
 
 
+def least_agree(percent: int) -> int:
+    """Two-bit values in which compared texts agree at least: equal ones, and a quarter of the others by chance."""
+    p, n = percent / 100 + (1 - percent / 100) / 4, 2 * PERMUTATIONS
+    return math.floor(n * p - DEVIATIONS * math.sqrt(n * p * (1 - p)))
+
+
 def _signature_rows(k: int) -> object:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,23 +95,22 @@ def _signature_rows(k: int) -> object:
                 size = np.diff(cuts)
                 have = size > 0
                 bands = np.zeros((hi - lo, BANDS), np.int64)
-                prints, sketch = np.zeros((2, hi - lo), np.int64), np.zeros((6, hi - lo), np.int64)
+                prints, sketch = np.zeros((2, hi - lo), np.int64), np.zeros((len(SKETCH), hi - lo), np.int64)
                 if have.any():
                     starts = cuts[:-1][have]
                     sig = mix(signatures(hashes, np.append(starts, len(hashes))))
-                    rows = 2 * PERMUTATIONS // BANDS
                     with np.errstate(over="ignore"):
                         for b in range(BANDS):
                             acc = np.full(sig.shape[1], b + 1, np.uint64)
-                            for r in range(b * rows, (b + 1) * rows):
+                            for r in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
                                 acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + sig[r])
                             bands[have, b] = acc.view(np.int64)
                         for i, salt in enumerate((3, 5)):
                             prints[i, have] = np.add.reduceat(mix(hashes * np.uint64(2 * salt + 1) + np.uint64(salt)), starts).view(np.int64)
-                        for i in range(6):
+                        for i in range(len(SKETCH)):
                             acc = np.zeros(sig.shape[1], np.uint64)
                             for bit in range(64):
-                                acc |= (sig[64 * (i % 3) + bit] >> np.uint64(i // 3) & np.uint64(1)) << np.uint64(bit)
+                                acc |= (sig[64 * (i % WORDS) + bit] >> np.uint64(i // WORDS) & np.uint64(1)) << np.uint64(bit)
                             sketch[i, have] = acc.view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * BANDS, BANDS), pa.int32()), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays(
@@ -201,10 +208,10 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     def sides(lead: DataFrame, rest: DataFrame, tested: DataFrame | None) -> DataFrame:
         """Pairs of one bucket, once each, that size and sketches do not rule out."""
         a, b = lead.alias("x"), rest.alias("y")
-        differ = [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}")).bitwiseOR(F.col(f"x.{q}").bitwiseXOR(F.col(f"y.{q}")))) for p, q in zip(SKETCH[:3], SKETCH[3:], strict=True)]
-        agree = 192 - (differ[0] + differ[1] + differ[2])
+        differ = [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}")).bitwiseOR(F.col(f"x.{q}").bitwiseXOR(F.col(f"y.{q}")))) for p, q in zip(LOW, HIGH, strict=True)]
+        agree = 2 * PERMUTATIONS - sum(differ[1:], differ[0])
         small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-        cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & (100 * small >= percent * large) & (agree >= LEAST_AGREE)
+        cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & (100 * small >= percent * large) & (agree >= least_agree(percent))
         if "c" in lead.columns:
             cond = cond & (F.col("x.c") != F.col("y.c"))
         pairs = a.join(b, cond).select(F.least("x.rep", "y.rep").alias("p"), F.greatest("x.rep", "y.rep").alias("q"), F.when(F.col("x.rep") < F.col("y.rep"), F.col("x.n")).otherwise(F.col("y.n")).alias("np"), F.when(F.col("x.rep") < F.col("y.rep"), F.col("y.n")).otherwise(F.col("x.n")).alias("nq"))
@@ -218,14 +225,14 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         member that agrees most with the majority is the least edited, and links most of the bucket in one step.
         """
         cols = ["rep", "n", *SKETCH]
-        bits = [F.sum(F.getbit(c, F.lit(i))).alias(f"{c}_{i}") for c in SKETCH[:3] for i in range(64)]
+        bits = [F.sum(F.getbit(c, F.lit(i))).alias(f"{c}_{i}") for c in LOW for i in range(64)]
         sums = of.groupBy("key").agg(F.count("*").alias("m"), *bits).where("m > 2")
-        majority = [F.lit(0).cast("long") for _ in range(3)]
-        for j, c in enumerate(SKETCH[:3]):
+        majority = [F.lit(0).cast("long") for _ in LOW]
+        for j, c in enumerate(LOW):
             for i in range(64):
                 majority[j] = majority[j].bitwiseOR(F.when(2 * F.col(f"{c}_{i}") > F.col("m"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
         sums = groups.keep(sums.select("key", *[x.alias(f"m{j}") for j, x in enumerate(majority)]), "majority")
-        far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"m{j}"))) for j, c in enumerate(SKETCH[:3])), F.lit(0))
+        far = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"m{j}"))) for j, c in enumerate(LOW)), F.lit(0))
         central = of.join(sums, "key").groupBy("key").agg(F.min(F.struct(far.alias("o"), *cols)).alias("l")).select("key", *[F.col(f"l.{c}").alias(c) for c in cols])
         picks = [F.min(F.struct((F.col("rep") if o == 0 else F.xxhash64("rep", F.lit(o))).alias("o"), *cols)).alias(f"l{o}") for o in ORDERS]
         each = of.groupBy("key").agg(*picks).select("key", F.explode(F.array(*[F.struct(*[F.col(f"l{o}.{c}").alias(c) for c in cols]) for o in ORDERS])).alias("l"))
