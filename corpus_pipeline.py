@@ -1,6 +1,8 @@
 """Five stages over the corpus: toxicity, near duplicates, repeated passages, decontamination, mixing.
 
-Each stage works on all that the one before it kept, and its decisions take effect.
+Each stage works on all that the one before it kept, and its decisions take effect. Rows
+without a doc_id are told apart by their texts. Empty and null texts pass the first four stages; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -13,36 +15,47 @@ from merchloom.llm import toxicity as toxic
 from merchloom.llm.common import Shared, remainder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Keys of rows without a doc_id begin here, so that they come after all others.
+NO_ID = 1 << 62
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds row_key: the doc_id or, where it is null, a hash of the text, so that such rows are told apart."""
+    own = F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1))
+    return docs.withColumn("row_key", F.coalesce(F.col("doc_id").cast("long"), own))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone.select("row_key").distinct(), "row_key", "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under 0.3; the model learns from the labelled rows outside the held-out quarter."""
     known = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2)
-    model = toxic.fit(docs, known)
-    bad = toxic.toxicity(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti").select(COLUMNS)
+    model, keyed = toxic.fit(docs, known), _keyed(docs)
+    return _without(keyed, toxic.toxicity(keyed, model, id_col="row_key").where("predicted = 1")).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates (five-word shingles, similarity 0.8), once where its row repeats."""
-    gone = near_dedup.near_groups(docs).where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(COLUMNS)
-    numbered = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return numbered.unionByName(left.where("doc_id IS NULL"))
+    keyed = _keyed(docs)
+    left = _without(keyed, near_dedup.near_groups(keyed, id_col="row_key").where("NOT kept"))
+    return left.dropDuplicates(["row_key"]).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; a character that a cut goes through is dropped. Emptied texts go."""
-    cut = suffix_dedup.repeated_bytes(docs, keep_text=True).where("n_removed > 0").groupBy(F.col("doc_id").alias("cut_id")).agg(F.first("kept").alias("left"))
-    out = docs.join(cut, docs["doc_id"].eqNullSafe(cut["cut_id"]), "left")
-    out = out.where("left IS NULL OR length(left) > 0")
-    return out.select("doc_id", F.coalesce("left", "text").alias("text"), "lang", "source", F.when(F.col("left").isNotNull(), F.length("left").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    keyed = _keyed(docs)
+    cut = suffix_dedup.repeated_bytes(keyed, id_col="row_key", keep_text=True).where("n_removed > 0").groupBy("row_key").agg(F.first("kept").alias("left"))
+    out = keyed.join(cut, "row_key", "left").where("left IS NULL OR length(left) > 0")
+    n_chars = F.when(F.col("left").isNotNull(), F.length("left").cast("long")).otherwise(F.col("n_chars"))
+    return out.select("doc_id", F.coalesce("left", "text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    hit = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti").select(COLUMNS)
+    keyed = _keyed(docs)
+    return _without(keyed, decontamination.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="row_key").where("contaminated")).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
