@@ -199,9 +199,9 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     sets = ["n", "f1", "f2"]
     reps = sig.where("n > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in (*SKETCH, "bands")])
     reps = shared.keep(reps, "representatives")
-    keys = reps.select("rep", F.explode("bands").alias("key"))
+    keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     crowded = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    members = shared.keep(keys.join(crowded.hint("merge"), "key").join(reps.drop("bands", "f1", "f2").hint("merge"), "rep"), "members")
+    members = shared.keep(keys.join(crowded.hint("merge"), "key").join(reps.drop("f1", "f2").hint("merge"), "rep"), "members")
     candidates = members.select(F.col("rep").alias("id")).distinct()
     groups = _Groups(shared.keep(texts.join(candidates.hint("merge"), "id").groupBy("id").agg(F.first("text").alias("text")), "texts"), shared, shingle, percent)
 
@@ -213,7 +213,9 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
         cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & (100 * small >= percent * large) & (agree >= least_agree(percent))
         if "c" in lead.columns:
-            cond = cond & (F.col("x.c") != F.col("y.c"))
+            # Both lists hold every bucket that two components share, so the first shared band is enough: each pair is made once.
+            shared_band = F.coalesce(*[F.when(F.col("x.bands")[i] == F.col("y.bands")[i], F.lit(i)) for i in range(BANDS)])
+            cond = cond & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & (shared_band == F.col("x.band"))
         pairs = a.join(b, cond).select(F.least("x.rep", "y.rep").alias("p"), F.greatest("x.rep", "y.rep").alias("q"), F.when(F.col("x.rep") < F.col("y.rep"), F.col("x.n")).otherwise(F.col("y.n")).alias("np"), F.when(F.col("x.rep") < F.col("y.rep"), F.col("y.n")).otherwise(F.col("x.n")).alias("nq"))
         pairs = pairs.groupBy("p", "q").agg(F.first("np").alias("na"), F.first("nq").alias("nb")).select(F.col("p").alias("a"), F.col("q").alias("b"), "na", "nb")
         return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
