@@ -1,8 +1,9 @@
 """Operator 9: main text of web pages by a maximum-scoring subsequence.
 
 A page is a sequence of words and tags. Words score positive and tags negative, with weights that labelled pages
-settle; words that stand in menus, adverts and the like score negative too. One scan finds the contiguous region of
-greatest sum, and its text is given without what such places hold.
+settle; words that stand in menus, adverts and the like score negative too, and the tags by which a page bounds its own
+article may score positive. One scan finds the contiguous region of greatest sum, and its text is given without what
+such places hold.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches
 
-# Tags whose content is no text, tags that stand for page furniture, tags inside a line, tags without an
-# end, and words in class, id or role that mark furniture.
+# Tags whose content is no text, tags that stand for page furniture, tags inside a line, tags that bound
+# an article, tags without an end, and words in class, id or role that mark furniture.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas head title textarea select".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+BOUNDS = frozenset("article main /article /main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
@@ -114,8 +116,9 @@ def pieces(page: str) -> list[Piece]:
 LABELLED = (
     "<body><nav><ul><li><a>Home</a></li><li><a>News</a></li></ul></nav><div>[[<h1>On rivers</h1><p>Rivers carry water from the hills to the sea and shape the land on their way.</p><p>Old maps show where they ran before the towns were built.</p>]]</div><div><ul><li><a>Other news</a></li><li><a>Archive</a></li><li><a>Contact us</a></li></ul></div><footer>All rights reserved 2020</footer></body>",
     "<body><div><a>Start</a> <a>Shop</a> <a>Help</a></div><table><tr><td><a>Links</a><br><a>More</a></td><td>[[<p>The museum opens at nine and closes late in summer, when the evenings are long.</p><p>Guides speak several languages.</p><ul><li>Bring water and a hat for the garden walk.</li><li>Children enter free of charge on Sundays.</li></ul>]]</td></tr></table><div><a>Imprint</a> | <a>Privacy</a></div></body>",
-    "<body><header><img><h2>Daily</h2></header><article>[[<h1>Bread</h1><p>Good bread needs flour, water, salt and patience; <b>time</b> does most of the work.</p><blockquote>My grandmother never weighed anything.</blockquote><p>Let the dough rest overnight in a cool place.</p>]]</article><aside><h3>Related</h3><ul><li><a>Cakes</a></li><li><a>Pies</a></li></ul></aside><footer><p>Imprint</p></footer></body>",
+    "<body><header><img><h2>Daily</h2></header>[[<article><h1>Bread</h1><p>Good bread needs flour, water, salt and patience; <b>time</b> does most of the work.</p><blockquote>My grandmother never weighed anything.</blockquote><p>Let the dough rest overnight in a cool place.</p></article>]]<aside><h3>Related</h3><ul><li><a>Cakes</a></li><li><a>Pies</a></li></ul></aside><footer><p>Imprint</p></footer></body>",
     "<body><ul><li><a>A</a></li><li><a>B</a></li><li><a>C</a></li></ul><div>[[<p>It rained for a week, and the road to the village was closed until the bridge had been repaired.</p>]]</div><form><input><button>Send</button></form><div><a>Top</a></div></body>",
+    "<body><div><a>Home</a></div>[[<main><h1>Harbour</h1><p>The boats leave early.<br>The nets are mended at noon.<br>In the evening the quay is full of people.</p></main>]]<div><a>Imprint</a></div></body>",
 )
 
 
@@ -149,6 +152,7 @@ def fit_weights(labelled: Iterable[str] = LABELLED) -> Weights:
     every = set(inside) | set(outside)
     words = {n: max(0.2, min(2.0, odds((k, n)) / 2)) for k, n in every if k == "w" and n != "a"}
     tags = {n: min(-0.2, max(-4.0, odds((k, n)) - 1.5)) for k, n in every if k == "t"}
+    tags |= {n: max(-4.0, min(4.0, odds(("t", n)))) for n in BOUNDS}
     return Weights(words, tags, 0.6, -0.4, -0.7, -1.0)
 
 
@@ -171,18 +175,27 @@ def main_region(parts: list[Piece], weights: Weights) -> tuple[int, int]:
     return best_at
 
 
+def widened(parts: list[Piece], lo: int, hi: int) -> tuple[int, int]:
+    """The region with the rest of each article that it cuts through (of each <main>, on pages without an article)."""
+    name = "article" if any(p.kind == "t" and p.name == "article" for p in parts) else "main"
+    began: list[int] = []
+    first, last = lo, hi
+    for i, p in enumerate(parts):
+        if p.kind == "t" and p.name == name:
+            began.append(i)
+        elif p.kind == "t" and p.name == f"/{name}" and began:
+            start = began.pop()
+            if start < hi and lo <= i:
+                first, last = min(first, start), max(last, i + 1)
+    return first, last
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """Text of the main region: one space for white space inside a block and between blocks."""
     if not page:
         return ""
     parts = pieces(page)
-    bounds = [i for i, p in enumerate(parts) if p.kind == "t" and p.name in ("article", "main")]
-    lo, hi = main_region(parts, weights)
-    if bounds:  # the page says itself where its article stands: the region is at least that
-        name = "article" if any(parts[i].name == "article" for i in bounds) else "main"
-        first = next(i for i in bounds if parts[i].name == name)
-        ends = [i for i, p in enumerate(parts) if p.kind == "t" and p.name == f"/{name}" and i > first]
-        lo, hi = first, ends[-1] if ends else max(hi, first)
+    lo, hi = widened(parts, *main_region(parts, weights))
     return " ".join("".join(" " if p.breaks else p.text for p in parts[lo:hi] if p.kind != "x").split())
 
 

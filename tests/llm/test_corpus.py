@@ -178,6 +178,18 @@ def test_html_extraction(spark):
     assert html_extraction.extract_text(spark.createDataFrame([], "page_id int, url string, html string, text int")).count() == 0
 
 
+def test_html_region_is_the_scan():
+    w = html_extraction.fit_weights()
+    text = "<p>The river carries water from the hills to the sea.<br>Old maps show where it ran before the town was built.</p>"
+    plain = "The river carries water from the hills to the sea. Old maps show where it ran before the town was built."
+    # an article tag elsewhere does not replace the region of greatest sum
+    assert html_extraction.main_text(f"<body><article><a>Teaser</a></article><ul><li><a>One</a></li><li><a>Two</a></li></ul><div>{text}</div></body>", w) == plain
+    # without article tags, a short title and a line break stay in
+    assert html_extraction.main_text("<body><nav><a>Home</a></nav><div><h1>Rivers</h1><p><b>Rivers.<br>" + text + "</div><footer>F</footer></body>", w) == f"Rivers Rivers. {plain}"
+    # an article that the region cuts through comes whole
+    assert html_extraction.main_text(f"<body><article><header><h1>On it</h1><div>By A</div></header>{text}</article><div><a>More</a></div></body>", w) == f"On it By A {plain}"
+
+
 def test_license_scan(spark, docs, empty):
     s = license_scan.Scanner(license_scan.TEMPLATES)
     for name, texts in license_scan.TEMPLATES.items():
