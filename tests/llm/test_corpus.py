@@ -1,11 +1,14 @@
 """Edge cases of every operator, and brute-force versions on small tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -111,6 +114,63 @@ def test_context_tree(docs, empty):
     assert abs(nothing.score + 4 * 8 * 0.30103) < 1e-3 and nothing.n_known == 0
 
 
+def brute_tree(trained, scored, depth=4):
+    """log10 probability of each scored text by a context tree that is kept whole, node by node."""
+
+    def path(text):
+        b = bytes([0xFE] * depth) + low(text).encode() + b"\xff"
+        for i in range(depth, len(b)):
+            for bit in range(8):
+                yield [(b[i - d : i], bit, b[i] >> (8 - bit)) for d in range(depth + 1)], b[i] >> (7 - bit) & 1
+
+    counts = {}
+    for text in trained:
+        for nodes, bit in path(text):
+            for node in nodes:
+                counts.setdefault(node, [0, 0])[bit] += 1
+    below, odds = {}, {}
+    for node in sorted(counts, key=lambda x: -len(x[0])):
+        zero, one = counts[node]
+        own = math.lgamma(zero + 0.5) + math.lgamma(one + 0.5) - math.lgamma(zero + one + 1) - math.log(math.pi)
+        weighted = own
+        if len(node[0]) < depth:
+            children = below[node]
+            odds[node] = own - children
+            weighted = max(own, children) + math.log1p(math.exp(-abs(own - children))) - math.log(2)
+        if node[0]:
+            above = (node[0][1:], *node[1:])
+            below[above] = below.get(above, 0) + weighted
+    out = []
+    for text in scored:
+        total = 0
+        for nodes, bit in path(text):
+            p = 0.5
+            for node in reversed(nodes):
+                if node in counts:
+                    share = 1 / (1 + math.exp(-max(-700, min(700, odds.get(node, 700)))))
+                    p = share * (counts[node][1] + 0.5) / (sum(counts[node]) + 1) + (1 - share) * p
+            total += math.log10(p if bit else 1 - p)
+        out.append(total)
+    return out
+
+
+def test_context_tree_keeps_every_node(spark, docs):
+    ids = [i for i, _ in rows()]
+    want = brute_tree([t for i, t in rows() if i is not None and i % 2 == 0], [t for _, t in rows()])
+    got = context_tree.tree_scores(docs, F.col("doc_id") % 2 == 0).collect()
+    pairs = zip(sorted((str(r.doc_id), r.score) for r in got), sorted(zip(map(str, ids), want, strict=True)), strict=True)
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-4 * (1 + abs(b[1])) for a, b in pairs)
+    # texts of more than 2,000,000 nodes, nearly all of them visited once
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(33, 127) if not 65 <= c <= 90]
+    long = "".join(rng.choice(letters) for _ in range(150_000))
+    texts = [(1, long), (2, long[70_000:70_400]), (3, "no such passage")]
+    grams, times = np.unique(context_tree.grams_of(*context_tree.text_bytes(pa.array([long])), 4)[0], return_counts=True)
+    assert sum(len(x[0]) for x in context_tree.tree_levels(grams, times, 4)[2:]) > 2_000_000
+    got = {r.doc_id: r.score for r in context_tree.tree_scores(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") == 1).collect()}
+    assert all(abs(got[i] - x) < 1e-4 * abs(x) for (i, _), x in zip(texts, brute_tree([long], [t for _, t in texts]), strict=True))
+
+
 def test_near_groups(docs, empty):
     got = {(str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dedup.near_groups(docs, shingle=4).collect()}
     sets = {}
