@@ -7,6 +7,7 @@ coverage, and it must be as large a share of the words that the alignment spans.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -109,8 +110,8 @@ class Scanner:
     def best(self, text: str, least: float) -> tuple[str | None, float, int, int, int, list[str]]:
         """Best license, its coverage, aligned words, first and last place in the text's words; all licenses found.
 
-        A template is aligned where enough of its words stand within twice its length; of overlapping such places,
-        with the fullest. Its aligned words must also make up `least` of the words between the first and the last.
+        A template is aligned with every stretch that holds enough of its words, densely enough, until no other can
+        have more aligned. Its aligned words must also make up `least` of the words between the first and the last.
         """
         if not text:
             return None, 0.0, 0, -1, -1, []
@@ -121,45 +122,59 @@ class Scanner:
         for template, need in zip(self.templates, self.needs, strict=True):
             n = len(template.words)
             own = [i for i in hits if words[i] in need]
-            if len(own) < least * n:
+            enough = math.ceil(least * n - 1e-9)
+            if len(own) < enough:
                 continue
-            for lo, hi in self._windows(words, own, need, n, least):
-                pairs = align(template.words, words[lo:hi])
-                coverage = len(pairs) / n
-                if coverage < least or len(pairs) < least * (pairs[-1][1] - pairs[0][1] + 1):
-                    continue
+            best: list[tuple[int, int]] = []
+            known: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+            for total, lo, hi in self._places(words, own, need, n, least):
+                if total <= len(best):
+                    break
+                part = tuple(words[lo:hi])
+                if part not in known:
+                    known[part] = align(template.words, words[lo:hi])
+                pairs = known[part]
+                if len(pairs) >= max(enough, len(best) + 1) and len(pairs) >= least * (pairs[-1][1] - pairs[0][1] + 1):
+                    best = [(a, lo + b) for a, b in pairs]
+            if best:
                 found.add(template.license)
-                if (coverage, len(pairs)) > top[:2]:
-                    top = (coverage, len(pairs), template.license, lo + pairs[0][1], lo + pairs[-1][1])
+                if (len(best) / n, len(best)) > top[:2]:
+                    top = (len(best) / n, len(best), template.license, best[0][1], best[-1][1])
         coverage, matched, name, first, last = top
         return name, coverage, matched, first, last, sorted(found)
 
     @staticmethod
-    def _windows(words: list[str], own: list[int], need: Counter[str], n: int, least: float) -> Iterator[tuple[int, int]]:
-        """Stretches of at most 2 n words with the template's words in sufficient number, overlapping ones thinned out."""
+    def _places(words: list[str], own: list[int], need: Counter[str], n: int, least: float) -> list[tuple[int, int, int]]:
+        """Template words, start and end of every stretch that may pass, the fullest first, of these the shortest.
+
+        A stretch begins and ends with a word of the template. The words that it shares with the template bound those
+        that can be aligned; they must be `least` of the template and of the stretch, so none is longer than n / least.
+        """
+        out = []
+        enough, most = math.ceil(least * n - 1e-9), int(n / least + 1e-9)
         have: Counter[str] = Counter()
         total = left = 0
-        best: tuple[int, int, int] | None = None
-        for i in own:
+        for at, i in enumerate(own):
             w = words[i]
             total += have[w] < need[w]
             have[w] += 1
-            while own[left] <= i - 2 * n:
+            while own[left] <= i - most:
                 v = words[own[left]]
                 have[v] -= 1
                 total -= have[v] < need[v]
                 left += 1
-            if total >= least * n:
-                if best is not None and own[left] > best[1]:
-                    yield best[1], best[2]
-                    best = None
-                if best is None or total > best[0]:
-                    best = (total, own[left], i + 1)
-            elif best is not None:
-                yield best[1], best[2]
-                best = None
-        if best is not None:
-            yield best[1], best[2]
+            if total < enough:
+                continue
+            some, rest = total, dict(have)
+            for j in range(left, at + 1):
+                if some < enough:
+                    break
+                if some >= least * (i + 1 - own[j]):
+                    out.append((some, own[j], i + 1))
+                v = words[own[j]]
+                rest[v] -= 1
+                some -= rest[v] < need[v]
+        return sorted(out, key=lambda x: (-x[0], x[2] - x[1], x[1]))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -257,3 +257,20 @@ def test_license_scan(spark, docs, empty):
             assert name in s.best("some words before\n" + t + "\nand after", 0.9)[5]
     assert s.best("nothing of the kind", 0.9)[0] is None and license_scan.align(["a", "b", "c", "d"], ["x", "a", "c", "b", "d"]) in ([(0, 1), (1, 3), (3, 4)], [(0, 1), (2, 2), (3, 4)])
     assert license_scan.scan_licenses(docs).count() == len(rows()) and license_scan.scan_licenses(empty).count() == 0
+
+
+def test_license_after_words_of_its_own():
+    s = license_scan.Scanner(license_scan.TEMPLATES)
+    cases = [("This is ours. This work is licensed under the GNU General Public License, version 3.", "GPL-3.0", 3), ("All content 2024 All rights reserved.", "All-Rights-Reserved", 3), ("Licensed by X. Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0", 3), ("Seats reserved. All rights reserved.", "All-Rights-Reserved", 2)]
+    for text, name, first in cases:
+        assert s.best(text, 0.9)[:2] == (name, 1.0) and s.best(text, 0.9)[3] == first
+    for name, texts in license_scan.TEMPLATES.items():
+        for t in texts:
+            # its own words before and after it, near and far, in either order
+            w = t.split()
+            for before in (w[:1], w[:2], w[-2:], [*w[:1], "x", "y"], [*w[:3], "x"]):
+                got = s.best(" ".join([*before, *w, "x", *before]), 0.9)
+                assert name in got[5] and got[1] == 1.0
+    # one word of it changed, its last word again behind it
+    one = "This work is licensed under a Creative Commons Attribution 3.0 International License. License"
+    assert s.best(one, 0.9)[0] == "CC-BY-4.0" and s.best("rights all reserved and reserved all rights", 0.9)[5] == []
