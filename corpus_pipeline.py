@@ -1,7 +1,7 @@
 """Five stages over the corpus: toxicity, near duplicates, repeated passages, decontamination, mixing.
 
 Each stage works on all that the one before it kept, and its decisions take effect. Rows
-without a doc_id are told apart by their texts. Empty and null texts pass the first four stages; an empty table gives
+without a doc_id, and rows of one doc_id, are told apart by their texts. Empty and null texts pass the first four stages; an empty table gives
 no rows.
 """
 
@@ -17,12 +17,26 @@ from merchloom.llm.common import Shared, remainder, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Keys of rows without a doc_id begin here, so that they come after all others.
 NO_ID = 1 << 62
+#: Ids from here on leave no room for 31 bits of hash below NO_ID.
+ID_LIMIT = 1 << 30
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds row_key: the doc_id or, where it is null, a hash of the text, so that such rows are told apart."""
-    own = F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1))
-    return docs.withColumn("row_key", F.coalesce(F.col("doc_id").cast("long"), own))
+    """Adds row_key: the doc_id or, where it is null, a hash of the text, so that such rows are told apart.
+
+    Where a doc_id has several texts, the key is the doc_id and a hash of the text, ascending by the doc_id; ids too wide
+    for that are hashed with the text, and then the order of the ids is lost.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.xxhash64("text")
+    own = F.lit(NO_ID) + text.bitwiseAND(F.lit(NO_ID - 1))
+    ids = docs.where("doc_id IS NOT NULL").groupBy(doc_id.alias("id")).agg(F.min(text).alias("least"), F.max(text).alias("most"))
+    seen = ids.agg(F.max(F.col("least") < F.col("most")).alias("clash"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    if seen.clash:
+        if seen.low >= 0 and seen.high < ID_LIMIT:
+            doc_id = F.shiftleft(doc_id, 31) + text.bitwiseAND(F.lit((1 << 31) - 1))
+        else:
+            doc_id = F.when(doc_id.isNotNull(), F.lit(NO_ID) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit(NO_ID - 1)))
+    return docs.withColumn("row_key", F.coalesce(doc_id, own))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -37,10 +51,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates (five-word shingles, similarity 0.8), once where its row repeats."""
+    """The first document of each group of near duplicates (five-word shingles, similarity 0.8), once where its row repeats; all rows without text."""
     keyed = _keyed(docs)
     left = _without(keyed, near_dedup.near_groups(keyed, id_col="row_key").where("NOT kept"))
-    return left.dropDuplicates(["row_key"]).select(COLUMNS)
+    filled = F.coalesce(F.length("text"), F.lit(0)) > 0
+    return left.where(filled).dropDuplicates(["row_key"]).unionByName(left.where(~filled)).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
