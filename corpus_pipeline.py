@@ -79,7 +79,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("suffix_dedup", cut_repeats), ("decontamination", drop_contaminated), ("mixing", mix)]
-#: SQL can express neither a fitted lexicon nor near duplicates of it; tests compare with a brute-force version.
+#: SQL can express neither a fitted lexicon nor near duplicates of it; tests compare the near-duplicate and decontamination
+#: stages and a small run with the rows that must stay.
 ORACLE_SQL = None
 
 

@@ -26,3 +26,12 @@ def test_rows_of_one_id_are_told_apart(spark, tmp_path, add):
     spark.createDataFrame([(7, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = kept(corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)))
     assert clean == sorted((str(i), str(t)) for i, t in rows if t != PASSAGE)
+
+
+def test_run(spark, tmp_path):
+    rows = [(1, A), (2, A), (3, PASSAGE + " more"), (4, "clean words"), (5, None), (6, ""), (7, B), (7, C)]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(7, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "size").collect()
+    assert sorted((r.doc_id, r["size"]) for r in out) == sorted((i, len((t or "").split())) for i, t in rows if i not in (2, 3))
