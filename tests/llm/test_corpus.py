@@ -274,3 +274,15 @@ def test_license_after_words_of_its_own():
     # one word of it changed, its last word again behind it
     one = "This work is licensed under a Creative Commons Attribution 3.0 International License. License"
     assert s.best(one, 0.9)[0] == "CC-BY-4.0" and s.best("rights all reserved and reserved all rights", 0.9)[5] == []
+
+
+def test_context_tree_scores_by_rare_deep_nodes(spark):
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(33, 127) if not 65 <= c <= 90]
+    long = "".join(rng.choice(letters) for _ in range(150_000))
+    grams, times = np.unique(context_tree.grams_of(*context_tree.text_bytes(pa.array([long, long])), 4)[0], return_counts=True)
+    whole = context_tree.Tree(*context_tree.weigh(context_tree.tree_levels(grams, times, 4))[:3], 4)
+    want = whole.log10(context_tree.grams_of(*context_tree.text_bytes(pa.array([long[:400]])), 4)[0]).sum()
+    docs = spark.createDataFrame([(1, long), (1, long), (2, long[:400])], "doc_id long, text string")
+    got = context_tree.tree_scores(docs, F.col("doc_id") == 1).where("doc_id = 2").first().score
+    assert abs(got - want) < 1e-4 * abs(want) and got > -400  # the upper depths alone give about -739
