@@ -118,8 +118,8 @@ def _split(ddl: str) -> list[str]:
 def cte() -> str:
     """The same tables for DuckDB: p, v, img."""
     return (
-        f"p AS ({PRODUCTS.format(part='part')}), v AS ({VARIANTS.format(lineitem='lineitem')}), "
-        f"img AS (SELECT id AS product_id, i, {IMAGE_URL} AS url FROM (SELECT *, unnest(range(1, n_images + 1)) AS i FROM p)), "
-        "vo AS (SELECT *, concat_ws('|', 'flag=' || lower(flag), 'status=' || lower(status)) AS sig, coalesce(nullif(concat_ws(' / ', flag, status), ''), 'default') AS told FROM v), "
-        "n AS (SELECT p.id, count(v.id) AS n FROM p LEFT JOIN v ON v.product_id = p.id GROUP BY p.id)"
+        f"p AS MATERIALIZED ({PRODUCTS.format(part='part')}), v AS MATERIALIZED ({VARIANTS.format(lineitem='lineitem')}), "
+        f"img AS MATERIALIZED (SELECT id AS product_id, i, {IMAGE_URL} AS url FROM (SELECT *, unnest(range(1, n_images + 1)) AS i FROM p)), "
+        "vo AS MATERIALIZED (SELECT *, concat_ws('|', 'flag=' || lower(flag), 'status=' || lower(status)) AS sig, coalesce(nullif(concat_ws(' / ', flag, status), ''), 'default') AS told FROM v), "
+        "n AS MATERIALIZED (SELECT p.id, count(v.id) AS n FROM p LEFT JOIN v ON v.product_id = p.id GROUP BY p.id)"
     )

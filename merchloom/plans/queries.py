@@ -33,12 +33,12 @@ def query(sql: str | None = None) -> Callable:
 
 
 # ---- lists, counts, histories -------------------------------------------------------------------------------------
-ISSUES = """i AS (
+ISSUES = """i AS MATERIALIZED (
  SELECT id AS product_id, 'CRITICAL' AS severity FROM p WHERE title IS NULL UNION ALL
  SELECT p.id, 'ERROR' FROM p WHERE price IS NULL AND NOT EXISTS (SELECT 1 FROM v WHERE v.product_id = p.id AND v.price IS NOT NULL) UNION ALL
  SELECT id, 'WARNING' FROM p WHERE n_images = 0 UNION ALL SELECT id, 'WARNING' FROM p WHERE category_path IS NULL UNION ALL
  SELECT id, 'INFO' FROM p WHERE description_html IS NULL)"""
-RANK = "CASE severity WHEN 'INFO' THEN 0 WHEN 'WARNING' THEN 1 WHEN 'ERROR' THEN 2 ELSE 3 END"
+RANK = "CASE severity WHEN 'INFO' THEN 0 WHEN 'WARNING' THEN 1 WHEN 'ERROR' THEN 2 WHEN 'CRITICAL' THEN 3 END"
 LABEL = "CASE {} WHEN 0 THEN 'INFO' WHEN 1 THEN 'WARNING' WHEN 2 THEN 'ERROR' WHEN 3 THEN 'CRITICAL' END"
 
 
@@ -304,16 +304,14 @@ SELECT p_partkey, 'kind', 0, 'heuristic', 'variable' FROM {part} UNION ALL
 SELECT p_partkey, 'kind', 1, CASE WHEN p_partkey % 2 = 0 THEN 'html' ELSE 'heuristic' END, 'simple' FROM {part} UNION ALL
 SELECT l_partkey, 'price', l_orderkey * 10 + l_linenumber, CASE l_linenumber WHEN 1 THEN 'opengraph' WHEN 2 THEN 'microdata' WHEN 3 THEN 'jsonld' WHEN 4 THEN 'woo-rest' ELSE 'platform-api' END, CAST(CAST(l_quantity AS BIGINT) AS STRING) FROM {lineitem}
 """
-# The closed form of the fold: w is the first offer of the highest rank; the value is w's, or the older spelling it confirmed.
-MERGED = f"""WITH o0 AS ({OFFERS.format(part='part', lineitem='lineitem')}),
-o AS (SELECT *, CASE source WHEN 'heuristic' THEN 10 WHEN 'opengraph' THEN 25 WHEN 'html' THEN 30 WHEN 'microdata' THEN 35 WHEN 'jsonld' THEN 55 WHEN 'woo-rest' THEN 80 WHEN 'platform-api' THEN 80 ELSE 0 END AS r FROM o0 WHERE trim(value) <> ''),
-w AS (SELECT *, row_number() OVER (PARTITION BY product_id, field ORDER BY r DESC, seq) AS k FROM o),
-win AS (SELECT product_id, field, seq AS wseq, value, source FROM w WHERE k = 1),
-later AS (SELECT o.product_id, o.field, arg_max(o.source, o.seq) AS s, arg_max(o.value, o.seq) AS v FROM o JOIN win USING (product_id, field) WHERE o.seq > wseq AND trim(o.value) <> trim(win.value) GROUP BY 1, 2),
-run AS (SELECT o.product_id, o.field, o.seq, o.r FROM o JOIN win USING (product_id, field) WHERE o.seq < wseq),
-before AS (SELECT b.product_id, b.field, arg_max(b.source, (b.r, -b.seq)) AS s, arg_max(b.value, (b.r, -b.seq)) AS v FROM o b JOIN win USING (product_id, field) WHERE b.seq < wseq GROUP BY 1, 2)
-SELECT win.product_id, win.field, win.value, win.source, CASE WHEN later.s IS NOT NULL THEN later.s WHEN trim(before.v) <> trim(win.value) THEN before.s END AS other_source, CASE WHEN later.s IS NOT NULL THEN later.v WHEN trim(before.v) <> trim(win.value) THEN before.v END AS other_value
-FROM win LEFT JOIN later USING (product_id, field) LEFT JOIN before USING (product_id, field)"""
+# The closed form of the fold: w is the first offer of the highest rank; the value is w's, and the other one is the last that
+# differs after it, or else the best before it.
+WON = f"""WITH o AS MATERIALIZED (SELECT *, CASE source WHEN 'heuristic' THEN 10 WHEN 'opengraph' THEN 25 WHEN 'html' THEN 30 WHEN 'microdata' THEN 35 WHEN 'jsonld' THEN 55 WHEN 'woo-rest' THEN 80 WHEN 'platform-api' THEN 80 ELSE 0 END AS r FROM ({OFFERS.format(part='part', lineitem='lineitem')}) WHERE trim(value) <> ''),
+w AS MATERIALIZED (SELECT *, first_value(seq) OVER x AS wseq, first_value(value) OVER x AS wvalue, first_value(source) OVER x AS wsource FROM o WINDOW x AS (PARTITION BY product_id, field ORDER BY r DESC, seq)),
+g AS (SELECT product_id, field, any_value(wvalue) AS value, any_value(wsource) AS source,
+ arg_max(source, seq) FILTER (WHERE seq > wseq AND trim(value) <> trim(wvalue)) AS later_source, arg_max(value, seq) FILTER (WHERE seq > wseq AND trim(value) <> trim(wvalue)) AS later_value,
+ arg_max(source, r * 1000000000000 - seq) FILTER (WHERE seq < wseq) AS before_source, arg_max(value, r * 1000000000000 - seq) FILTER (WHERE seq < wseq) AS before_value FROM w GROUP BY product_id, field)"""
+MERGED = f"{WON} SELECT product_id, field, value, source, CASE WHEN later_source IS NOT NULL THEN later_source WHEN trim(before_value) <> trim(value) THEN before_source END AS other_source, CASE WHEN later_source IS NOT NULL THEN later_value WHEN trim(before_value) <> trim(value) THEN before_value END AS other_value FROM g"
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +323,7 @@ def merge_ranked_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_offers(offers(spark, sf_dir)).select("product_id", "field", "value", "source", "other_source", "other_value")
 
 
-@query(MERGED.replace("SELECT win.product_id, win.field, win.value, win.source, CASE", "SELECT win.product_id, win.field, win.value, CASE").replace("SELECT win.product_id, win.field, win.value, CASE WHEN later.s IS NOT NULL THEN later.s WHEN trim(before.v) <> trim(win.value) THEN before.s END AS other_source, CASE WHEN later.s IS NOT NULL THEN later.v WHEN trim(before.v) <> trim(win.value) THEN before.v END AS other_value", "SELECT win.product_id, win.field, win.value"))
+@query(f"{WON} SELECT product_id, field, value FROM g")
 def merge_best_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.best_values(offers(spark, sf_dir))
 
@@ -508,9 +506,9 @@ def export_skip_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HANDLE = "coalesce(nullif(trim(handle), ''), nullif(trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g'), '-'), ''), p.id)"
-SHOP_ROWS = f"""WITH {cte()}, m AS (SELECT p.id, greatest(CASE WHEN n.n = 0 THEN 1 ELSE n.n END, n_images) AS m FROM p JOIN n USING (id)),
-o AS (SELECT product_id, url, row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN i = 2 THEN 0 ELSE 1 END, i) AS pos FROM img),
-r AS (SELECT p.*, k, n.n AS nv FROM p JOIN m USING (id) JOIN n USING (id), LATERAL (SELECT unnest(range(0, m.m)) AS k))
+SHOP_ROWS = f"""WITH {cte()}, m AS MATERIALIZED (SELECT p.id, greatest(CASE WHEN n.n = 0 THEN 1 ELSE n.n END, n_images) AS m FROM p JOIN n USING (id)),
+o AS MATERIALIZED (SELECT product_id, url, row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN i = 2 THEN 0 ELSE 1 END, i) AS pos FROM img),
+r AS MATERIALIZED (SELECT p.*, n.n AS nv, unnest(range(0, m.m)) AS k FROM p JOIN m USING (id) JOIN n USING (id))
 SELECT p.id AS product_id, k AS idx, CASE WHEN k = 0 THEN 'primary' WHEN k < greatest(nv, 1) THEN 'variant' ELSE 'image' END AS row_type, {HANDLE} AS handle, coalesce(CASE WHEN nv = 0 AND k = 0 THEN p.sku ELSE v.sku END, '') AS sku,
  coalesce((CASE WHEN nv = 0 AND k = 0 THEN p.price ELSE v.price END)::DECIMAL(18,2)::VARCHAR, '') AS price, coalesce(v.compare_at_price::DECIMAL(18,2)::VARCHAR, '') AS compare, coalesce(v.inventory_quantity::VARCHAR, '') AS quantity,
  CASE WHEN k >= greatest(nv, 1) OR v.inventory_quantity IS NULL THEN '' ELSE 'deny' END AS policy, coalesce(o.url, '') AS image, coalesce(o.pos::VARCHAR, '') AS image_position,
@@ -534,8 +532,8 @@ def export_shopify_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.build(products(spark, sf_dir), ExportOptions(profile="shopify-2024"))[1]
 
 
-WOO_ROWS = f"""WITH {cte()}, r AS (SELECT p.*, n.n AS nv, (p.kind = 'variable' OR n.n > 1) AS many FROM p JOIN n USING (id)),
-x AS (SELECT *, 0 AS k FROM r UNION ALL SELECT r.*, v.position FROM r JOIN v ON v.product_id = r.id WHERE many)
+WOO_ROWS = f"""WITH {cte()}, r AS MATERIALIZED (SELECT p.*, n.n AS nv, (p.kind = 'variable' OR n.n > 1) AS many FROM p JOIN n USING (id)),
+x AS MATERIALIZED (SELECT *, 0 AS k FROM r UNION ALL SELECT r.*, v.position FROM r JOIN v ON v.product_id = r.id WHERE many)
 SELECT x.id AS product_id, k AS idx, CASE WHEN k = 0 THEN 'primary' ELSE 'variant' END AS row_type,
  CASE WHEN k > 0 THEN 'variation' WHEN x.kind IN ('variable', 'external') THEN x.kind WHEN many THEN 'variable' ELSE 'simple' END AS type,
  coalesce(CASE WHEN k > 0 THEN v.sku ELSE coalesce(x.sku, CASE WHEN NOT many AND nv = 1 THEN trim(s.sku) END, 'P-' || {HANDLE.replace('p.id', 'x.id')}) END, '') AS sku,
