@@ -27,9 +27,11 @@ def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, one of our own if this machine is all."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="merchloom-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -82,6 +84,34 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
+#: Keys of rows without an id begin here, so that they come after all others.
+NO_ID = 1 << 62
+#: Ids from here on leave no room for 31 bits of hash below NO_ID.
+ID_LIMIT = 1 << 30
+
+
+def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "row_key") -> DataFrame:
+    """Adds a whole number that tells rows apart: the id or, where it is null, a hash of the text that comes after all ids.
+
+    Where some id has several texts, the key is the id and a hash of the text, ascending by the id; ids too wide for
+    that, and ids that are no whole numbers, are hashed with the text, and then the order of the ids is lost. Rows that
+    share both share their key. Whether ids repeat is counted over all rows, with one shuffle of ids.
+    """
+    text = F.xxhash64(text_col)
+    own = F.lit(NO_ID) + text.bitwiseAND(F.lit(NO_ID - 1))
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return docs.withColumn(name, F.when(F.col(id_col).isNull(), own).otherwise(F.lit(NO_ID) + F.xxhash64(id_col, text_col).bitwiseAND(F.lit(NO_ID - 1))))
+    doc_id = F.col(id_col).cast("long")
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(doc_id.alias("id")).agg(F.min(text).alias("least"), F.max(text).alias("most"))
+    seen = ids.agg(F.max(F.col("least") < F.col("most")).alias("clash"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    if seen.clash:
+        if seen.low >= 0 and seen.high < ID_LIMIT:
+            doc_id = F.shiftleft(doc_id, 31) + text.bitwiseAND(F.lit((1 << 31) - 1))
+        else:
+            doc_id = F.when(doc_id.isNotNull(), F.lit(NO_ID) + F.xxhash64(doc_id, text_col).bitwiseAND(F.lit(NO_ID - 1)))
+    return docs.withColumn(name, F.coalesce(doc_id, own))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column end to end, and the n + 1 offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Shared
+from .common import LOWER, UPPER, Shared, row_keys
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -37,15 +37,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per row of `docs`: id, n_words, n_hit, items (sorted strings), contaminated.
 
     An item of fewer words than a window is one window; an item without words has none. Null and empty texts have
-    no words and no hits. Windows that several items share name all of them. Rows that share an id are judged by
-    their common candidates, each against its own words; null ids are one such id. Empty tables give no rows, or
+    no words and no hits. Windows that several items share name all of them. Rows are judged one by one, those that
+    share an id, and those without one, too: they are told apart by their texts. Empty tables give no rows, or
     rows without hits. Column names of either table may clash; other columns are ignored. Nothing is pruned but
     what cannot match, so a frequent passage costs its occurrences and no more.
     """
     shared = Shared(docs.sparkSession)
     windows = shared.keep(windows_of(benchmark, item_col, item_text_col, window).withColumn("window_id", F.monotonically_increasing_id()), "windows")
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
-    base = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
+    rows = row_keys(docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")), "own_id", name="id")
+    base = rows.select("own_id", "id", words_of(F.col("text")).alias("words"))
 
     def matching(of: DataFrame) -> tuple[list[str] | None, DataFrame]:
         """The words, where there are few enough to match inside rows."""
@@ -69,8 +70,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     if few is None:
         places = base.select("id", F.posexplode("words").alias("p", "word")).join(many, "word", "left_semi").groupBy("id").agg(F.collect_list(F.col("p") + 1).alias("places"))
-        places = places.withColumnRenamed("id", "place_id")
-        near = base.join(places, F.col("id").eqNullSafe(F.col("place_id")))
+        near = base.join(places, "id")
         near = near.select("id", F.explode(F.transform(F.filter(F.array_distinct("places"), lambda i: i <= F.size("words")), around)).alias("x"))
     else:
         places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(few), i + 1)), lambda i: i.isNotNull())
@@ -82,10 +82,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     per_doc = hits.groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.start + s.n - 1))))
     per_doc = per_doc.select(F.col("id").alias("hit_id"), F.size(covered).cast("long").alias("n_hit"), "items")
-    counts = base.select("id", F.size("words").cast("long").alias("n_words"))
-    out = counts.join(per_doc, counts["id"].eqNullSafe(per_doc["hit_id"]), "left")
+    counts = base.select("own_id", "id", F.size("words").cast("long").alias("n_words"))
+    out = counts.join(per_doc, counts["id"] == per_doc["hit_id"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
+    return out.select(F.col("own_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
 
 
 #: The query's rows in DuckDB, by all windows of all documents.
