@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, arrow_batches, mix, prefix_hash, range_hash, slices, text_bytes
+from .common import Shared, arrow_batches, mix, prefix_hash, range_hash, row_keys, slices, text_bytes
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are hashed at once; longer texts come in overlapping pieces.
@@ -254,15 +254,16 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     that is left, without the characters that a cut goes through.
 
     Null and empty texts, and texts shorter than `length`, lose nothing. Earlier means a smaller id, or the same id and
-    an earlier start; ids are whole numbers and a null id comes before all. Rows that share an id and a text are judged
-    alike, as one text; rows that share an id but not a text count as one text for their spans. Repeats within a text,
-    overlapping ones too, count. Texts are read whole; other columns are ignored.
+    an earlier start; ids are whole numbers. Rows that share an id but not a text are texts of their own, in the order of
+    a hash; rows without an id come after all others, in such an order too. Rows that share id and text are judged
+    alike, as one text. Repeats within a text, overlapping ones too, count. Texts are read whole; other columns are
+    ignored.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     shared = Shared(spark)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    texts = docs.select(key.alias("doc"), F.col(text_col).alias("text"))
+    keyed = row_keys(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", name="doc")
+    texts = keyed.select("doc", "text")
     long_enough = texts.where(F.octet_length("text") >= length)
     entries = long_enough.mapInArrow(_entry_rows(length, gram), ENTRY)
     found = neighbours(entries, shared, "entries")
@@ -274,8 +275,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     cut = long_enough.join(spans, "doc").select("doc", "text", "spans").mapInArrow(_cut_rows(length, keep_text), "doc long, sha string, n_removed long, n_spans long, kept_sha256 string, kept string")
     cut = cut.groupBy("doc", "sha").agg(*[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "kept")])
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("id"), key.alias("doc"), F.col(text_col).alias("text"))
-    rows = rows.select("id", "doc", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"), *(["text"] if keep_text else []))
+    rows = keyed.select("id", "doc", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"), *(["text"] if keep_text else []))
     out = rows.join(cut, ["doc", "sha"], "left")
     zero = F.lit(0).cast("long")
     columns = [F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
