@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, arrow_batches, lower_bytes, mix, prefix_hash, range_hash, slices, text_bytes, word_bounds
+from .common import Shared, arrow_batches, lower_bytes, mix, prefix_hash, range_hash, row_keys, slices, text_bytes, word_bounds
 
 SHINGLE, PERCENT = 5, 80
 #: 192 permutations: a least and a greatest value each, 384 in all; the first 192 make 32 bands of 6. Two texts at the
@@ -80,10 +80,12 @@ def signatures(hashes: np.ndarray, cuts: np.ndarray, permutations: int = PERMUTA
     return out
 
 
-def least_agree(percent: int) -> int:
+def least_agree(percent: int, deviations: float | None = DEVIATIONS) -> int:
     """Two-bit values in which compared texts agree at least: equal ones, and a quarter of the others by chance."""
+    if deviations is None:
+        return 0
     p, n = percent / 100 + (1 - percent / 100) / 4, 2 * PERMUTATIONS
-    return math.floor(n * p - DEVIATIONS * math.sqrt(n * p * (1 - p)))
+    return math.floor(n * p - deviations * math.sqrt(n * p * (1 - p)))
 
 
 def _signature_rows(k: int) -> object:
@@ -114,8 +116,8 @@ def _signature_rows(k: int) -> object:
                             sketch[i, have] = acc.view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * BANDS, BANDS), pa.int32()), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(size), *map(pa.array, prints), *map(pa.array, sketch), lists],
-                    ["id", "n", "f1", "f2", *SKETCH, "bands"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size), *map(pa.array, prints), *map(pa.array, sketch), lists],
+                    ["id", "own", "n", "f1", "f2", *SKETCH, "bands"],
                 )
 
     return run
@@ -182,28 +184,33 @@ class _Groups:
                 return labels
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", deviations: float | None = DEVIATIONS) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id, kept.
 
     Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Null and empty texts have no shingles and stay alone; a
-    text of fewer words than a shingle is one. Rows with equal sets are linked. Ids are whole numbers; rows that
-    share an id should share their text (else the id's sets are all taken for it), and rows without an id stay
-    alone. Texts are read whole. Other columns are ignored. Large groups are never listed in pairs: within a bucket
-    only leaders, and members of different components that sketches don't tell apart, are compared.
+    text of fewer words than a shingle is one. Rows with equal sets are linked. Ids are whole numbers. Rows that share an
+    id but not a text are told apart; component_id is the least id that links reach, null where only rows without an id
+    are linked, of which the one that comes first by a hash is kept. Texts are read whole. Other columns are ignored.
+
+    Within a bucket leaders are compared with all members first. Members that are still in different components, and
+    that sketches cannot tell apart, are then compared in pairs: texts that are all just under the threshold to each
+    other have as many such pairs as a join on similarity must look at. `deviations` is the sketches' margin; None
+    compares every pair of a bucket's components.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     shared = Shared(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = shared.keep(texts.mapInArrow(_signature_rows(shingle), f"id long, n long, f1 long, f2 long, {', '.join(f'{c} long' for c in SKETCH)}, bands array<long>"), "signatures")
+    keyed = row_keys(docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")), "own", name="id")
+    texts = keyed.select("id", "text", F.col("own").cast("long").alias("own"))
+    sig = shared.keep(texts.mapInArrow(_signature_rows(shingle), f"id long, own long, n long, f1 long, f2 long, {', '.join(f'{c} long' for c in SKETCH)}, bands array<long>"), "signatures")
     sets = ["n", "f1", "f2"]
-    reps = sig.where("n > 0 AND id IS NOT NULL").groupBy(*sets).agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in (*SKETCH, "bands")])
+    reps = sig.where("n > 0").groupBy(*sets).agg(F.min("id").alias("rep"), F.min("own").alias("own"), *[F.first(c).alias(c) for c in (*SKETCH, "bands")])
     reps = shared.keep(reps, "representatives")
     keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     crowded = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    members = shared.keep(keys.join(crowded.hint("merge"), "key").join(reps.drop("f1", "f2").hint("merge"), "rep"), "members")
+    members = shared.keep(keys.join(crowded.hint("merge"), "key").join(reps.drop("f1", "f2", "own").hint("merge"), "rep"), "members")
     candidates = members.select(F.col("rep").alias("id")).distinct()
-    groups = _Groups(shared.keep(texts.join(candidates.hint("merge"), "id").groupBy("id").agg(F.first("text").alias("text")), "texts"), shared, shingle, percent)
+    groups = _Groups(shared.keep(texts.select("id", "text").join(candidates.hint("merge"), "id").groupBy("id").agg(F.first("text").alias("text")), "texts"), shared, shingle, percent)
 
     def sides(lead: DataFrame, rest: DataFrame, tested: DataFrame | None) -> DataFrame:
         """Pairs of one bucket, once each, that size and sketches do not rule out."""
@@ -211,7 +218,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         differ = [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}")).bitwiseOR(F.col(f"x.{q}").bitwiseXOR(F.col(f"y.{q}")))) for p, q in zip(LOW, HIGH, strict=True)]
         agree = 2 * PERMUTATIONS - sum(differ[1:], differ[0])
         small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-        cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & (100 * small >= percent * large) & (agree >= least_agree(percent))
+        cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & (100 * small >= percent * large) & (agree >= least_agree(percent, deviations))
         if "c" in lead.columns:
             # Both lists hold every bucket that two components share, so the first shared band is enough: each pair is made once.
             shared_band = F.coalesce(*[F.when(F.col("x.bands")[i] == F.col("y.bands")[i], F.lit(i)) for i in range(BANDS)])
@@ -253,10 +260,15 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     groups.links.append(groups.compare(second))
     found = groups.components()
 
-    classes = sig.where("n > 0 AND id IS NOT NULL").select("id", *sets).join(reps.select(*sets, "rep"), sets).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", "n", F.coalesce("c", "rep").alias("component_id"))
-    alone = sig.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
+    linked = found.withColumnRenamed("id", "rep").join(reps.select("rep", "own"), "rep")
+    least = linked.groupBy("c").agg(F.min("own").alias("least"))
+    named = linked.join(least, "c").select("rep", "c", "least", F.lit(True).alias("linked"))
+    classes = sig.where("n > 0").select("id", "own", *sets).join(reps.select(*sets, "rep", F.col("own").alias("first")), sets).join(named, "rep", "left")
+    classes = classes.select("id", "own", "n", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"), F.coalesce("c", "rep").alias("c"))
+    alone = sig.where("n = 0").select("id", "own", "n", F.col("own").alias("component_id"), F.col("id").alias("c"))
     out = classes.unionByName(alone)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    kept = F.when(F.col("own").isNull(), F.col("component_id").isNull() & (F.col("id") == F.col("c"))).otherwise(F.col("own") == F.col("component_id"))
+    return out.select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 #: The query's rows in DuckDB, by all pairs that share a shingle (4 words).
