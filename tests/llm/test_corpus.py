@@ -29,6 +29,12 @@ def rows():
     return out
 
 
+def shared_ids():
+    """Two texts under one id, two under none, and one of each twice."""
+    plain = " ".join(f"plain{i}" for i in range(40))
+    return [(5, PASSAGE), (5, plain), (5, plain), (None, PASSAGE + " end"), (None, "nothing of it"), (None, "nothing of it"), (9, PASSAGE + " more")]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame([(i, t, "en", None if i in (2, 3) else f"s{(i or 0) % 3}", 1, -1, "x", "y") for i, t in rows()], DOCS)
@@ -86,6 +92,15 @@ def test_decontamination(spark, docs, empty, limit):
     assert decontamination.decontaminate(empty, bench).count() == 0 and decontamination.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_shared_ids(spark):
+    bench = spark.createDataFrame([(7, PASSAGE)], "item_id long, text string")
+    for name, kind in (("doc_id", "long"), ("doc_id", "string")):
+        docs = spark.createDataFrame([(None if i is None else str(i) if kind == "string" else i, t) for i, t in shared_ids()], f"{name} {kind}, text string")
+        for limit in (20_000, 0):
+            got = sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"])) for r in decontamination.decontaminate(docs, bench, in_row_words=limit).collect())
+            assert got == sorted((str(i), *brute_hits(t, [(7, PASSAGE)])) for i, t in shared_ids())
+
+
 def test_quality_rules(docs, empty):
     out = {(str(r.doc_id), r.n_words): r for r in quality_rules.quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
     for i, t in rows():
@@ -114,6 +129,33 @@ def test_context_tree(docs, empty):
     assert abs(nothing.score + 4 * 8 * 0.30103) < 1e-3 and nothing.n_known == 0
 
 
+def brute_base(texts, trained):
+    """n_tokens, n_known, train_tokens and base score of each text, by a plain count of words and ends."""
+    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None] for t in texts]
+    count = {}
+    for words, learnt in zip(tokens, trained, strict=True):
+        for w in words if learnt else []:
+            count[w] = count.get(w, 0) + 1
+    n, v = sum(count.values()), len(count)
+    return [(len(x), sum(w in count for w in x), n, sum(math.log10((count.get(w, 0) + 1) / (n + 1 * (v + 1))) for w in x)) for x in tokens]
+
+
+def test_context_tree_base_score(spark, docs):
+    def check(texts, trained, got):
+        want = sorted((str(i), *b) for i, b in zip((i for i, _ in texts), brute_base([t for _, t in texts], trained), strict=True))
+        have = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got)
+        assert [x[:4] for x in have] == [x[:4] for x in want] and all(abs(a[4] - b[4]) < 1e-9 * (1 + abs(b[4])) for a, b in zip(have, want, strict=True))
+
+    few = [(1, "a b a"), (2, "c")]
+    got = context_tree.tree_scores(spark.createDataFrame(few, "doc_id long, text string"), F.lit(True)).collect()
+    check(few, [True, True], got)
+    assert abs(next(r.base_score for r in got if r.doc_id == 1) + 2.433177) < 1e-6
+    rng = random.Random(8)
+    many = [(i, " ".join(rng.choice("uvwxyz") * rng.randint(1, 3) for _ in range(rng.randint(0, 60)))) for i in range(100)]
+    check(many, [i % 3 > 0 for i, _ in many], context_tree.tree_scores(spark.createDataFrame(many, "doc_id long, text string"), F.col("doc_id") % 3 > 0).collect())
+    check(rows(), [i is not None and i % 2 == 0 for i, _ in rows()], context_tree.tree_scores(docs, F.col("doc_id") % 2 == 0).collect())
+
+
 def brute_tree(trained, scored, depth=4):
     """log10 probability of each scored text by a context tree that is kept whole, node by node."""
 
@@ -192,12 +234,52 @@ def test_near_groups(docs, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_near_groups_of_shared_ids(spark):
+    docs = spark.createDataFrame(shared_ids(), "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dedup.near_groups(docs, shingle=4).collect())
+    # PASSAGE and its two longer forms are one group; the other texts stay apart from it, whatever their ids
+    assert got == sorted([("5", 37, "5", True), ("5", 37, "5", True), ("5", 37, "5", True), ("None", 38, "5", False), ("None", 1, "None", True), ("None", 1, "None", True), ("9", 38, "5", False)])
+    wide = docs.withColumn("doc_id", F.col("doc_id") + F.lit(1 << 40))
+    assert {r.component_id for r in near_dedup.near_groups(wide, shingle=4).where("n_shingles = 38").collect()} == {5 + (1 << 40)}
+
+
+def test_near_groups_lose_no_link(spark):
+    """Copies with more and more words changed: every pair of 80 % is linked, with sketches and without."""
+    rng = random.Random(11)
+    texts = []
+    for g in range(12):
+        base = [f"w{g}x{i}" for i in range(120)]
+        for k in range(14):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(len(w))] = f"n{rng.random()}"
+            texts.append((g * 100 + k, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp = {i: i for i in sets}
+    for _ in range(20):
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for deviations in (near_dedup.DEVIATIONS, None):
+        assert {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, deviations=deviations).collect()} == comp
+
+
+def test_repeated_bytes_of_shared_ids(spark):
+    docs = spark.createDataFrame(shared_ids(), "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffix_dedup.repeated_bytes(docs).collect())
+    size = len(PASSAGE)
+    # of rows with one id and one text all are one text; PASSAGE stands first under 5, and the others lose it
+    plain = len(shared_ids()[1][1])
+    assert got == sorted([("5", size, 0), ("5", plain, 0), ("5", plain, 0), ("None", size + 4, size + 1), ("None", 13, 0), ("None", 13, 0), ("9", size + 5, size)])
+
+
 def test_repeated_bytes(docs, empty):
     texts = {}
     for i, t in rows():
         texts[i] = (t or "").encode()
     first, flags = {}, {i: bytearray(len(b)) for i, b in texts.items()}
-    for i in sorted(texts, key=lambda x: (x is not None, x or 0)):
+    for i in sorted(texts, key=lambda x: (x is None, x or 0)):
         b = texts[i]
         for k in range(len(b) - 99):
             if first.setdefault(b[k : k + 100], (i, k)) != (i, k):
