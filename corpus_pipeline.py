@@ -12,31 +12,9 @@ from pyspark.sql import functions as F
 
 from merchloom.llm import decontamination, mixing, near_dedup, suffix_dedup
 from merchloom.llm import toxicity as toxic
-from merchloom.llm.common import Shared, remainder, table
+from merchloom.llm.common import Shared, remainder, row_keys, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Keys of rows without a doc_id begin here, so that they come after all others.
-NO_ID = 1 << 62
-#: Ids from here on leave no room for 31 bits of hash below NO_ID.
-ID_LIMIT = 1 << 30
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds row_key: the doc_id or, where it is null, a hash of the text, so that such rows are told apart.
-
-    Where a doc_id has several texts, the key is the doc_id and a hash of the text, ascending by the doc_id; ids too wide
-    for that are hashed with the text, and then the order of the ids is lost.
-    """
-    doc_id, text = F.col("doc_id").cast("long"), F.xxhash64("text")
-    own = F.lit(NO_ID) + text.bitwiseAND(F.lit(NO_ID - 1))
-    ids = docs.where("doc_id IS NOT NULL").groupBy(doc_id.alias("id")).agg(F.min(text).alias("least"), F.max(text).alias("most"))
-    seen = ids.agg(F.max(F.col("least") < F.col("most")).alias("clash"), F.min("id").alias("low"), F.max("id").alias("high")).first()
-    if seen.clash:
-        if seen.low >= 0 and seen.high < ID_LIMIT:
-            doc_id = F.shiftleft(doc_id, 31) + text.bitwiseAND(F.lit((1 << 31) - 1))
-        else:
-            doc_id = F.when(doc_id.isNotNull(), F.lit(NO_ID) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit(NO_ID - 1)))
-    return docs.withColumn("row_key", F.coalesce(doc_id, own))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -46,13 +24,13 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under 0.3; the model learns from the labelled rows outside the held-out quarter."""
     known = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 4) != 2)
-    model, keyed = toxic.fit(docs, known), _keyed(docs)
+    model, keyed = toxic.fit(docs, known), row_keys(docs)
     return _without(keyed, toxic.toxicity(keyed, model, id_col="row_key").where("predicted = 1")).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates (five-word shingles, similarity 0.8), once where its row repeats; all rows without text."""
-    keyed = _keyed(docs)
+    keyed = row_keys(docs)
     left = _without(keyed, near_dedup.near_groups(keyed, id_col="row_key").where("NOT kept"))
     filled = F.coalesce(F.length("text"), F.lit(0)) > 0
     return left.where(filled).dropDuplicates(["row_key"]).unionByName(left.where(~filled)).select(COLUMNS)
@@ -60,7 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; a character that a cut goes through is dropped. Emptied texts go."""
-    keyed = _keyed(docs)
+    keyed = row_keys(docs)
     cut = suffix_dedup.repeated_bytes(keyed, id_col="row_key", keep_text=True).where("n_removed > 0").groupBy("row_key").agg(F.first("kept").alias("left"))
     out = keyed.join(cut, "row_key", "left").where("left IS NULL OR length(left) > 0")
     n_chars = F.when(F.col("left").isNotNull(), F.length("left").cast("long")).otherwise(F.col("n_chars"))
@@ -69,7 +47,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    keyed = _keyed(docs)
+    keyed = row_keys(docs)
     return _without(keyed, decontamination.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="row_key").where("contaminated")).select(COLUMNS)
 
 
