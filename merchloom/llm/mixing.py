@@ -124,6 +124,20 @@ def splitting_tree(copies: DataFrame, levels: int = LEVELS) -> DataFrame:
     return nodes.select(F.col("node").alias("shard"), F.explode("all").alias("x")).select("x.key", "shard", F.col("x.n").alias("quota"))
 
 
+def _before(rows: DataFrame, order: str, amount: Column, name: str) -> DataFrame:
+    """Adds the sum of `amount` over the rows of one key that come before, in the order of a hex digest.
+
+    Sums over ranges of the digest come first, so a key that holds most rows is ordered in 256 parts and in no one task.
+    """
+    ranged = rows.withColumn("range", F.substring(order, 1, 2)).withColumn("amount", amount)
+    sums = ranged.groupBy("key", "range").agg(F.sum("amount").alias("in_range"))
+    earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select("key", "range", (F.sum("in_range").over(earlier) - F.col("in_range")).alias("earlier"))
+    within = Window.partitionBy("key", "range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    here = ranged.withColumn("here", F.sum("amount").over(within) - F.col("amount"))
+    return here.join(sums, ["key", "range"]).withColumn(name, F.col("earlier") + F.col("here")).drop("range", "amount", "here", "earlier")
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", levels: int = LEVELS) -> DataFrame:
     """One row per row of `docs`: id, size, source_size, target, taken, shards, position.
 
@@ -131,7 +145,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     which is a hash. Null and empty texts have size 0 and are never taken; a null source is a source of its own,
     last in order. Rows with equal ids are ordered by size, and equal rows are interchangeable. An empty table
     gives no rows. Reruns agree, for every choice is a hash of ids. Other columns are ignored. One source may hold
-    most rows: its documents are spread over blocks before anything is ordered.
+    most rows: its documents are spread over blocks before anything is ordered, and its blocks over ranges. Sources
+    themselves are few: their names and sizes pass through one task, as their targets depend on all of them.
     """
     shared = Shared(docs.sparkSession)
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
@@ -144,10 +159,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = _hash("doc", F.coalesce(F.col("id").cast("string"), F.lit("null")))
     dealt = sized.join(stats, "key").withColumn("place", place).withColumn("block", _number(F.col("place")) % F.col("n_blocks"))
 
-    by_source = Window.partitionBy("key").orderBy("order")
     blocks = dealt.groupBy("key", "block").agg(F.sum("size").alias("block_size"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
     blocks = blocks.withColumn("order", _hash("block", F.col("key"), F.col("block")))
-    blocks = blocks.withColumn("before", F.sum("block_size").over(by_source.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_size"))
+    blocks = _before(blocks, "order", F.col("block_size"), "before")
     copies = blocks.select("key", "block", "block_size", "whole", "rest", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))).alias("copy"))
     quota = F.when(F.col("copy") < F.col("whole"), F.col("block_size").cast("double")).otherwise(F.least(F.greatest(F.col("rest") - F.col("before"), F.lit(0.0)), F.col("block_size").cast("double")))
     copies = copies.withColumn("quota", quota).where("quota > 0")
@@ -156,7 +170,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     quotas = splitting_tree(copies.groupBy("key").agg(F.count("*").alias("n")), levels)
     bounds = quotas.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("shard", "quota"))).alias("q"))
     ends = F.aggregate("q", F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("a")), lambda s, x: F.struct((s.s + x.quota).alias("s"), F.concat(s.a, F.array(s.s + x.quota)).alias("a"))).a
-    drawn = copies.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(_hash("draw", F.col("key"), F.col("block"), F.col("copy")))))
+    drawn = _before(copies.withColumn("turn", _hash("draw", F.col("key"), F.col("block"), F.col("copy"))), "turn", F.lit(1).cast("long"), "ahead").withColumn("rank", F.col("ahead") + 1)
     drawn = drawn.join(bounds.select("key", ends.alias("ends")), "key").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("rank"))))
     per_block = drawn.groupBy("key", "block").agg(
         F.sort_array(F.collect_list(F.when(~F.col("part"), F.col("shard")))).alias("full_shards"),
