@@ -69,6 +69,65 @@ def test_mixing(docs, empty):
     assert all(len(r.shards) * r.size == r.taken for r in out) and mixing.mix_sources(empty).count() == 0
 
 
+def brute_targets(sizes):
+    """Targets by refilling, source by source, until none is above three times its size."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    full, left = {}, float(sum(sizes.values()))
+    while True:
+        rest = [s for s in names if s not in full]
+        total = sum(weight[s] for s in rest)
+        over = [s for s in rest if left * weight[s] / total > 3 * sizes[s] + 1e-9]
+        if not over:
+            return full | {s: left * weight[s] / total for s in rest}
+        for s in over:
+            full[s] = 3.0 * sizes[s]
+            left -= full[s]
+
+
+@pytest.mark.parametrize("sizes", [{"a": 1000, "b": 10, "c": 10, None: 5}, {"a": 10, "b": 20, "c": 30}, {"a": 0, "b": 7, None: 900}, {None: 12}, {"a": 5, "b": 10, "c": 15, "d": 400}])
+def test_mixing_targets_and_takes(spark, sizes):
+    """Null sources, sources that stop at three times their size, ties in size over weight; sums near the targets."""
+    rows_, n = [], 0
+    for s, size in sizes.items():
+        for k in range(0, size, 5):
+            n += 1
+            rows_.append((n, " ".join(["w"] * min(5, size - k)), s))
+        rows_.append((n := n + 1, None, s))
+    out = mixing.mix_sources(spark.createDataFrame(rows_, "doc_id long, text string, source string")).collect()
+    want, source = brute_targets(sizes), {i: s for i, _, s in rows_}
+    for s in sizes:
+        own = [r for r in out if source[r.doc_id] == s]
+        assert all(abs(r.target - want[s]) < 1e-6 * (1 + want[s]) and r.source_size == sizes[s] for r in own)
+        assert abs(sum(r.taken for r in own) - want[s]) <= 5 and all(r.taken == len(r.shards) * r.size for r in own)
+        assert len({r.position for r in own}) == len(own) and all(0 <= x < 1 << mixing.LEVELS for r in own for x in r.shards)
+
+
+def test_splitting_tree(spark):
+    counts = {"a": 700, "b": 41, "c": 0, "d": 1, "e": 333}
+    rows_ = mixing.splitting_tree(spark.createDataFrame(list(counts.items()), "key string, n long"), 4).collect()
+    quota = {(r.key, r.shard): r.quota for r in rows_}
+    assert all(sum(quota[k, s] for s in range(16)) == n for k, n in counts.items()) and min(quota.values()) >= 0
+    size = [sum(quota[k, s] for k in counts) for s in range(16)]
+    for level in range(1, 5):  # at every node the two halves differ by one copy at most
+        width = 16 >> level
+        halves = [sum(size[i * width : (i + 1) * width]) for i in range(1 << level)]
+        assert all(abs(halves[i] - halves[i + 1]) <= 1 for i in range(0, len(halves), 2))
+    assert sorted((r.key, r.shard, r.quota) for r in mixing.splitting_tree(spark.createDataFrame(list(counts.items())[::-1], "key string, n long"), 4).collect()) == sorted((r.key, r.shard, r.quota) for r in rows_)
+
+
+def test_hypergeometric_draw(spark):
+    """The draw inverts the exact distribution, at 2,000 even points of u."""
+    for total, marked, drawn in ((20, 7, 10), (50, 50, 25), (9, 0, 4), (31, 3, 15), (400, 130, 200)):
+        u = spark.range(2000).select(((F.col("id") + 0.5) / 2000).alias("u"))
+        args = [F.lit(x).cast("long") for x in (total, marked, drawn)]
+        got = {r.k: r["count"] for r in u.select(mixing._hypergeometric(*args, F.col("u")).alias("k")).groupBy("k").count().collect()}
+        for k in range(max(0, drawn - (total - marked)), min(marked, drawn) + 1):
+            p = math.comb(marked, k) * math.comb(total - marked, drawn - k) / math.comb(total, drawn)
+            assert abs(got.pop(k, 0) / 2000 - p) < 0.0011
+        assert not got
+
+
 def brute_hits(text, items):
     words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text)) if w]
     hit, found = set(), set()
