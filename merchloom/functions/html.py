@@ -58,16 +58,24 @@ class Node:
                 yield n
                 stack.extend(reversed(n.children))
 
+    def leaves(self, skip: tuple[str, ...] = ()) -> Iterator[Node]:
+        """Text nodes below, in document order, but not those in the tags to skip; depth is no limit."""
+        stack = list(reversed(self.children))
+        while stack:
+            n = stack.pop()
+            if n.tag is None:
+                yield n
+            elif n.tag not in skip:
+                stack.extend(reversed(n.children))
+
     @property
     def text(self) -> str:
         """Text below, without scripts and styles."""
-        if self.tag is None:
-            return self.data
-        return "".join(c.text for c in self.children if c.tag not in ("script", "style"))
+        return self.data if self.tag is None else "".join(n.data for n in self.leaves(("script", "style")))
 
     @property
     def raw(self) -> str:
-        return "".join(c.data if c.tag is None else c.raw for c in self.children)
+        return "".join(n.data for n in self.leaves())
 
     def attr(self, name: str) -> str | None:
         return self.attrs.get(name)
@@ -95,13 +103,30 @@ class Node:
 
     def html(self) -> str:
         """The element itself, serialised."""
-        if self.tag is None:
-            return escape(self.data, quote=False)
-        attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{self.inner()}</{self.tag}>")
+        return _serialised([self])
 
     def inner(self) -> str:
-        return "".join(c.data if c.tag is None and self.tag in ("script", "style") else c.html() for c in self.children)
+        return _serialised(self.children)
+
+
+def _serialised(nodes: list[Node]) -> str:
+    """Markup of some nodes: a stack holds what is still to be written."""
+    out: list[str] = []
+    stack: list[Node | str] = list(reversed(nodes))
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.tag is None:
+            plain = n.parent is not None and n.parent.tag in ("script", "style")
+            out.append(n.data if plain else escape(n.data, quote=False))
+        else:
+            attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in n.attrs.items())
+            out.append(f"<{n.tag}{attrs}>")
+            if n.tag not in VOID:
+                stack.append(f"</{n.tag}>")
+                stack.extend(reversed(n.children))
+    return "".join(out)
 
 
 class _Builder(HTMLParser):
@@ -366,18 +391,19 @@ def to_text(html: str | None) -> str:
         return ""
     out: list[str] = []
 
-    def visit(n: Node) -> None:
-        for c in n.children:
-            if c.tag is None:
-                out.append(re.sub(r"\s+", " ", c.data))
-            elif c.tag == "br":
-                out.append("\n")
-            elif c.tag not in ("script", "style"):
-                out.append("• " if c.tag == "li" else "")
-                visit(c)
-                out.append("\n" if c.tag in _BREAKING else "")
-
-    visit(parse(html, document=False))
+    stack: list[Node | str] = list(reversed(parse(html, document=False).children))
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.tag is None:
+            out.append(re.sub(r"\s+", " ", n.data))
+        elif n.tag == "br":
+            out.append("\n")
+        elif n.tag not in ("script", "style"):
+            out.append("• " if n.tag == "li" else "")
+            stack.append("\n" if n.tag in _BREAKING else "")
+            stack.extend(reversed(n.children))
     lines = [re.sub(r"[ \t ]+", " ", x).strip() for x in "".join(out).split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 

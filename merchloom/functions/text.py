@@ -13,22 +13,27 @@ from pyspark.sql import types as T
 SPACE = r"[\s\x{00A0}]+"
 # References that this decoder knows, in the order in which they are replaced.
 NAMED = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&nbsp;", " "))
-#: Error patterns in order (regular expression over code and message), code, and what an operator is told.
+# Error patterns in the order in which they are tried (over code and message), and the code each stands for.
 ERRORS = (
-    (r"ENOTFOUND", "DNS_FAILED", "The domain does not exist or cannot be resolved."),
-    (r"ECONNREFUSED", "CONN_REFUSED", "The server refused to connect."),
-    (r"ECONNRESET", "CONN_RESET", "The server closed the connection too early."),
-    (r"ETIMEDOUT|UND_ERR_CONNECT_TIMEOUT", "TIMEOUT", "The server did not answer in time."),
-    (r"UND_ERR_HEADERS_TIMEOUT", "TIMEOUT", "The server began to answer but sent no page."),
-    (r"CERT_HAS_EXPIRED", "TLS_ERROR", "The server's certificate has expired."),
-    (r"(?i)abort", "TIMEOUT", "The request took too long and was given up."),
-    (r"(?i)HTTP 404", "NOT_FOUND", "The page does not exist any more."),
-    (r"(?i)HTTP 40[13]", "BLOCKED", "The server does not let us read this page."),
-    (r"(?i)HTTP 429", "RATE_LIMITED", "The server asks for fewer requests; wait longer between them."),
-    (r"(?i)HTTP 5\d\d", "SERVER_ERROR", "The server failed; it may work later."),
-    (r"(?i)no product", "NO_PRODUCT", "The page holds no product."),
-    (r"(?i)render", "RENDER_FAILED", "The page could not be rendered in full."),
+    (r"ENOTFOUND", "DNS_FAILED"),
+    (r"ECONNREFUSED", "CONN_REFUSED"),
+    (r"ECONNRESET", "CONN_RESET"),
+    (r"ETIMEDOUT|UND_ERR_CONNECT_TIMEOUT", "TIMEOUT"),
+    (r"UND_ERR_HEADERS_TIMEOUT", "TIMEOUT"),
+    (r"CERT_HAS_EXPIRED", "TLS_ERROR"),
+    (r"(?i)abort", "TIMEOUT"),
+    (r"(?i)HTTP 404", "NOT_FOUND"),
+    (r"(?i)HTTP 40[13]", "BLOCKED"),
+    (r"(?i)HTTP 429", "RATE_LIMITED"),
+    (r"(?i)HTTP 5\d\d", "SERVER_ERROR"),
+    (r"(?i)no product", "NO_PRODUCT"),
+    (r"(?i)render", "RENDER_FAILED"),
 )
+#: What an operator is told of each code.
+ADVICE = {
+    "DNS_FAILED": "Check the address: no such host.", "CONN_REFUSED": "The host is up but takes no connections.", "CONN_RESET": "The connection broke; try again.", "TIMEOUT": "No answer in time; try again later.", "TLS_ERROR": "The host's certificate is not valid.", "NOT_FOUND": "There is no such page.",
+    "BLOCKED": "The host keeps this page from us.", "RATE_LIMITED": "Too many requests; slow down.", "SERVER_ERROR": "The host has a fault of its own; try again later.", "NO_PRODUCT": "This page shows no product.", "RENDER_FAILED": "The page did not finish loading in a browser.", "UNKNOWN": "Something else went wrong; see the log.",
+}
 RETRYABLE = ("TIMEOUT", "CONN_RESET", "CONN_REFUSED", "RATE_LIMITED", "SERVER_ERROR", "RENDER_FAILED", "UNKNOWN")
 
 
@@ -44,6 +49,53 @@ def decode_named(raw: Column) -> Column:
     return raw
 
 
+def decode_numeric(raw: Column) -> Column:
+    """Decimal and hexadecimal references of code points that exist; the others stay as they are."""
+    pieces = F.regexp_extract_all(raw, F.lit(r"(?s)(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&)"), 1)
+
+    def one(p: Column) -> Column:
+        code = F.when(p.rlike(r"^&#[0-9]{1,7};$"), F.regexp_extract(p, r"(\d+)", 1).try_cast("int")).when(p.rlike(r"^&#[xX][0-9a-fA-F]{1,6};$"), F.conv(F.regexp_extract(p, r"(?i)x([0-9a-f]+)", 1), 16, 10).try_cast("int"))
+        real = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(p)
+
+    return F.when(raw.contains("&#"), F.array_join(F.transform(pieces, one), "")).otherwise(raw)
+
+
+def escape_text(raw: Column, attribute: bool = False) -> Column:
+    """For markup: & < > and, inside an attribute, the double quote."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *((('"', "&quot;"),) if attribute else ())):
+        raw = F.replace(raw, F.lit(sign), F.lit(name))
+    return raw
+
+
+def capitalise(raw: Column) -> Column:
+    return F.concat(F.upper(F.substring(raw, 1, 1)), F.substring(raw, 2, 1_000_000))
+
+
+def id_of_node(raw: Column) -> Column:
+    """An identifier of structured data: no web address, no leading #, not blank."""
+    return F.when(~raw.rlike(r"^(?i:https?)://"), F.nullif(F.trim(F.regexp_replace(raw, "^#", "")), F.lit("")))
+
+
+def short_json(value: Column, most: int = 8000) -> Column:
+    return F.substring(F.to_json(value), 1, most)
+
+
+def title_words(raw: Column) -> Column:
+    """Separators to spaces, each word with a capital, the rest as it is."""
+    return F.array_join(F.transform(F.split(F.trim(F.regexp_replace(raw, r"[-_\s]+", " ")), " "), capitalise), " ")
+
+
+def shortened(raw: Column, most: int) -> Column:
+    """At most so many characters, the last an ellipsis where something is cut."""
+    return F.when(F.length(raw) > most, F.concat(F.substring(raw, 1, most - 1), F.lit("…"))).otherwise(raw)
+
+
+def counted(n: Column, one: str, many: str | None = None) -> Column:
+    """A number with its noun."""
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many or f"{one}s"))
+
+
 def slugify_ascii(raw: Column) -> Column:
     """For text without marks to strip: lower case, no quotes, dashes for the rest, at most 255 characters."""
     s = F.regexp_replace(F.lower(raw), "['\"]", "")
@@ -137,16 +189,13 @@ def condition_from_schema(raw: Column) -> Column:
 
 def error_code(raw: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
-    for pattern, code, _ in ERRORS:
+    for pattern, code in ERRORS:
         out = out.when(raw.rlike(pattern), code)
     return out.otherwise("UNKNOWN")
 
 
-def error_message(raw: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for pattern, _, message in ERRORS:
-        out = out.when(raw.rlike(pattern), message)
-    return out.otherwise(F.concat(F.lit("The page could not be processed: "), raw))
+def error_advice(code: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair]), code), F.lit(ADVICE["UNKNOWN"]))
 
 
 def is_retryable(code: Column) -> Column:
@@ -183,5 +232,28 @@ def relative_time(then: Column, now: Column) -> Column:
     return out
 
 
+def iso_time(at: Column) -> Column:
+    """UTC with milliseconds; the session's time zone is UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def file_stamp(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH-mm-ss")
+
+
+def date_and_time(at: Column) -> Column:
+    return F.date_format(at, "d MMM yyyy, HH:mm")
+
+
+def milliseconds_between(a: Column, b: Column) -> Column:
+    return F.unix_millis(b) - F.unix_millis(a)
+
+
+def file_size(n: Column) -> Column:
+    """Bytes in words: B, KB, MB or GB, one place from KB on."""
+    unit = lambda power, name: F.concat(F.format_string("%.1f", n / float(1024**power)), F.lit(f" {name}"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, unit(1, "KB")).when(n < 1024**3, unit(2, "MB")).otherwise(unit(3, "GB"))
+
+
 def duration_words(ms: Column) -> Column:
     return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).when(ms < 60_000, F.concat(F.format_number(ms / 1000, 1), F.lit(" s"))).otherwise(F.concat(F.floor(ms / 60_000).cast("string"), F.lit(" min "), F.floor(ms % 60_000 / 1000).cast("string"), F.lit(" s")))

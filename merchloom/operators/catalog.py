@@ -13,12 +13,14 @@ from .validate import worst
 
 def product_index(products: DataFrame) -> DataFrame:
     """One narrow row for each product: what lists need without the documents."""
+    own = ("source_platform", "stock_status", "category_path", "featured_image_url")
     skus = F.filter(F.concat(F.array("sku"), F.transform("variants", lambda v: v["sku"])), lambda s: F.trim(s) != "")
-    return products.select("id", "ordinal", "project_id", "category_id", "title", "source_url", "kind", "price", "currency", "scraped_at", F.size("variants").alias("variant_count"), F.size("images").alias("image_count"), skus.alias("skus"))
+    return products.select("id", "ordinal", "project_id", "category_id", "title", "source_url", "kind", "price", "currency", "scraped_at", F.size("variants").alias("variant_count"), F.size("images").alias("image_count"), skus.alias("skus"), *own)
 
 
 def product_list(index: DataFrame, issues: DataFrame, project_id: str | None = None, category_id: str | None = None, kind: str | None = None, search: str | None = None, needs_review: bool = False, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page of products, newest first, with their worst severity and number of issues. Null filters do not filter."""
+    # a category of None, like the other two, does not filter; a product without a category is in no category's list
     for column, value in (("project_id", project_id), ("category_id", category_id), ("kind", kind)):
         if value is not None:
             index = index.where(F.col(column) == value)
@@ -40,7 +42,7 @@ def import_urls(texts: DataFrame, text: str = "text", order: str = "ordinal", lo
     """
     raw = texts.select(order, F.posexplode(F.split(text, "[\\r\\n,;\\t" + ("\"'" if loose else "") + "]+")).alias("pos", "raw")).withColumn("raw", F.trim("raw")).where("raw <> ''")
     if loose:
-        raw = raw.where(is_probably_url(F.col("raw")))
+        raw = raw.where(is_probably_url(F.col("raw")) | coerce_url(F.col("raw")).isNotNull())
     urls = raw.withColumn("url", coerce_url(F.col("raw"))).withColumn("normalized_url", normalize_url(F.col("url")))
     first = urls.where("url IS NOT NULL").groupBy("normalized_url").agg(F.min(F.struct(order, "pos")).alias("first"))
     out = urls.join(first, "normalized_url", "left")

@@ -6,13 +6,14 @@ import re
 from collections.abc import Callable
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import fixed2, shortest
 from ..functions.text import csv_cell, slugify_ascii
 from ..functions.units import dimension_unit, to_centimetres, to_grams, to_kilograms, weight_unit
-from ..schema import SEVERITIES, VARIANT, ExportOptions
+from ..schema import SEVERITIES, VARIANT, ExportOptions, struct_of
 from .validate import worst
 
 META = "meta:catalogue"
@@ -68,19 +69,7 @@ def _default_variant() -> Column:
     """The product's own values seen as its only variant; dimensions stay with the product."""
     own = {f: F.col(f) for f in ("sku", "barcode", "price", "compare_at_price", "regular_price", "sale_price", "cost_per_item", "currency", "stock_status", "inventory_quantity", "inventory_policy", "backorders_allowed", "weight", "weight_unit", "requires_shipping", "taxable")}
     own |= {"id": F.concat("id", F.lit("-default")), "parent_id": F.col("id"), "position": F.lit(1), "available": F.when(F.col("stock_status") != "unknown", F.col("stock_status") == "in_stock"), "options": F.array()}
-    names = re.findall(r"(?:^struct<|,)(\w+):(?=array|map|string|int|bigint|decimal|double|boolean)", _top(VARIANT))
-    return F.struct(*[own.get(n, F.lit(None)).alias(n) for n in names]).cast(VARIANT)
-
-
-def _top(kind: str) -> str:
-    """A struct type's text without what is nested in it."""
-    depth, out = 0, []
-    for c in kind[len("struct<") : -1]:
-        depth -= c == ">"
-        if depth == 0:
-            out.append(c)
-        depth += c == "<"
-    return "struct<" + "".join(out)
+    return struct_of(VARIANT, own)
 
 
 def shopify_rows(products: DataFrame) -> DataFrame:
@@ -296,7 +285,22 @@ def profile_of(name: str) -> Profile:
 
 def most_axes(products: DataFrame) -> int:
     """The one figure that a header depends on: one number comes to the driver."""
-    return products.agg(F.max(F.size(attribute_axes()))).first()[0] or 0
+    axes = products.select("options", "attributes").select(F.array_distinct(F.transform(F.concat(F.transform("options", lambda o: o["name"]), F.transform("attributes", lambda a: a["name"])), lambda n: F.lower(n))).alias("names"))
+    return axes.agg(F.max(F.size("names"))).first()[0] or 0
+
+
+def safe_cells(rows: DataFrame, columns: list[Column]) -> list[Column]:
+    """Columns as text, '' for null; a column that cannot be resolved on these rows is '' too and ends nothing."""
+    text = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+
+    def fits(*some: Column) -> bool:
+        try:
+            rows.select(*some)
+            return True
+        except AnalysisException:
+            return False
+
+    return text if fits(*text) else [c if fits(c) else F.lit("") for c in text]
 
 
 def build(included: DataFrame, options: ExportOptions) -> tuple[list[str], DataFrame]:
@@ -307,7 +311,7 @@ def build(included: DataFrame, options: ExportOptions) -> tuple[list[str], DataF
     else:
         rows = woo_rows(included.withColumn("axes", attribute_axes()))
         columns = [*profile.columns(options), *_dynamic(most_axes(included))]
-    cells = F.array(*[F.coalesce(c.cast("string"), F.lit("")) for _, c in columns])
+    cells = F.array(*safe_cells(rows, [c for _, c in columns]))
     return [h for h, _ in columns], rows.select("ordinal", F.col("id").alias("product_id"), "idx", "row_type", cells.alias("cells"))
 
 

@@ -5,16 +5,21 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import Node, parse, sanitise
+from ..functions.text import content_hash
+from ..functions.url import normalize_url
 
 OFFER = "product_id string, field string, seq int, source string, value string, note string"
 DETECT_CHARS = 400_000
 MOST_DEPTH, MOST_IMAGES = 8, 30
+#: What Catalyst reads of a page before its tree is built.
+PAGE_FACTS = ("platform", "product", "hash", "chars")
 # Signs of platforms in a page's first characters, and their weights.
 SIGNS = {
     "shopify": ((r"(?i)cdn\.shopify\.com|cdn/shop/(files|products)", 3), (r"Shopify\.(theme|shop|currency|routes)", 4), (r"ShopifyAnalytics", 3), (r'(?i)<script[^>]*src="[^"]*shopify', 2), (r'<meta[^>]*name="shopify-checkout-api-token"', 4)),
@@ -72,6 +77,12 @@ def _meta(doc: Node, *selectors: str) -> str | None:
 Offers = list[tuple[str, str, object]]
 
 
+def _pictures(source: str, urls: list, base: str) -> Offers:
+    """Picture addresses, absolute and each once, as one reading."""
+    whole = list(dict.fromkeys(urljoin(base, u.strip()) for u in urls if isinstance(u, str) and u.strip()))
+    return [("images", source, json.dumps(whole))] if whole else []
+
+
 def meta_layer(doc: Node, url: str) -> Offers:
     """Title, description, price and identifiers that the head tells."""
     og = lambda *names: _meta(doc, *[f'meta[property="{n}"]' for n in names])
@@ -87,6 +98,7 @@ def meta_layer(doc: Node, url: str) -> Offers:
     out += [("brand", "opengraph", og("product:brand", "og:brand")), ("sku", "opengraph", og("product:retailer_item_id", "product:sku")), ("vendor", "heuristic", og("og:site_name"))]
     plain = {"gtin": "gtin", "mpn": "mfr_part_no", "gender": "gender", "ageGroup": "age_group", "color": "color", "size": "size", "material": "material", "itemGroupId": "item_group_id", "productTypeString": "category", "googleProductCategory": "google_product_category"}
     out += [(f"google.{f}", "opengraph", og(f"product:{p}")) for f, p in plain.items()] + [("google.brand", "opengraph", og("product:brand")), ("google.condition", "opengraph", og("product:condition"))]
+    out += _pictures("opengraph", [n.attr("content") for n in doc.select('meta[property="og:image"]')], url)
     return out + [(f"google.customLabel{i}", "opengraph", og(f"product:custom_label_{i}")) for i in range(5)]
 
 
@@ -99,7 +111,8 @@ def microdata_layer(doc: Node, url: str) -> Offers:
     d = scope.first('[itemprop="description"]')
     html, text, _, _ = sanitise(d.inner(), url) if d else (None, None, False, [])
     fields = {"title": prop("name"), "sku": prop("sku"), "brand": prop("brand"), "google.brand": prop("brand"), "google.mpn": prop("mpn"), "google.gtin": gtin, "barcode": gtin, "price": prop("price"), "currency": prop("priceCurrency"), "stockSchema": prop("availability"), "ratingValue": prop("ratingValue"), "reviewCount": prop("reviewCount"), "descriptionHtml": html, "descriptionText": text}
-    return [(f, "microdata", v) for f, v in fields.items()]
+    seen = [x.attr("src") or x.attr("content") or x.attr("href") for x in scope.select('[itemprop="image"]')]
+    return [(f, "microdata", v) for f, v in fields.items()] + _pictures("microdata", seen, url)
 
 
 def json_ld_nodes(doc: Node) -> list[dict]:
@@ -144,6 +157,15 @@ def _text(v: object) -> str | None:
     return next((t for k in ("name", "@value", "value", "url") if (t := _text(v.get(k)))), None)
 
 
+def _images(v: object) -> list[str]:
+    """Addresses in an image member: a text, a list, or objects with a url."""
+    if isinstance(v, list):
+        return [u for x in v for u in _images(x)]
+    if isinstance(v, dict):
+        return _images(v.get("url") or v.get("contentUrl"))
+    return [v] if isinstance(v, str) and v else []
+
+
 def json_ld_layer(doc: Node, url: str) -> Offers:
     nodes = json_ld_nodes(doc)
     p = next((n for n in nodes if "ProductGroup" in _types(n)), None) or next((n for n in nodes if "Product" in _types(n)), None)
@@ -185,9 +207,10 @@ def json_ld_layer(doc: Node, url: str) -> Offers:
             offer = v.get("offers")
             offer = offer[0] if isinstance(offer, list) and offer else offer if isinstance(offer, dict) else {}
             options = [{"name": a[:1].upper() + a[1:], "value": t} for a in varies if (t := _text(v.get(a)))]
-            return {"position": i, "sku": _text(v.get("sku")), "options": options, "price": _text(offer.get("price")), "currency": _text(offer.get("priceCurrency")), "availability": _text(offer.get("availability")), "image_url": _text(v.get("image"))}
+            return {"position": i, "sku": _text(v.get("sku")), "gtin": next((t for k in ("gtin13", "gtin12", "gtin14", "gtin8", "gtin") if (t := _text(v.get(k)))), None), "options": options, "price": _text(offer.get("price")), "currency": _text(offer.get("priceCurrency")), "availability": _text(offer.get("availability")), "image_url": next(iter(_images(v.get("image"))), None)}
 
         out += [("kind", "jsonld", "variable"), ("variants", "jsonld", json.dumps([variant(v, i + 1) for i, v in enumerate(variants)], sort_keys=True))]
+    out += _pictures("jsonld", _images(p.get("image")), url)
     return [*out, ("seo.canonicalUrl", "jsonld", _text(p.get("url"))), ("allowReviews", "heuristic", "true" if p.get("review") or rating else None)]
 
 
@@ -229,6 +252,18 @@ def store_page_layer(doc: Node, url: str) -> Offers:
             out += [("dimensionsText", "html", value)]
         elif label:
             out += [(f"attribute.{label}", "html", value)]
+    out += _pictures("html", [n.attr("data-large_image") or n.attr("data-src") or n.attr("src") for n in doc.select(".woocommerce-product-gallery img")], url)
+    labels, axes = {}, []
+    for select in doc.select("table.variations select, form.variations_form select"):
+        key = (select.attr("data-attribute_name") or select.attr("name") or select.attr("id") or "").lower().removeprefix("attribute_")
+        row = select.closest("tr")
+        label = _clean(x.text) if row is not None and (x := row.first("label, th")) is not None else None
+        if key and label:
+            labels[key] = label
+        values = [v for o in select.select("option[value]") if (v := _clean(o.attr("value")))]
+        if values:
+            axes.append({"name": label or key, "values": values, "position": len(axes) + 1})
+    out += [("formLabels", "html", json.dumps(labels) if labels else None), ("axes", "html", json.dumps(axes) if axes else None)]
     joined = lambda sel: ", ".join(x for n in doc.select(sel) if (x := _clean(n.text))) or None
     form = doc.first("form.variations_form[data-product_variations]")
     button = doc.first("form.cart[action] .single_add_to_cart_button, a.single_add_to_cart_button")
@@ -239,6 +274,7 @@ def store_page_layer(doc: Node, url: str) -> Offers:
     return [*out, ("sourceProductId", "embedded-json", (ident.attr("data-product_id") or ident.attr("value")) if ident else body[1] if body else None)]
 
 
+# Where pages keep their descriptions and galleries, in the order in which they are tried.
 GENERIC_TEXT = ("[itemprop=description]", ".product-description", ".product__description", "#description", ".description", "[class*=description]")
 GENERIC_IMAGES = (".product-gallery img", ".product__media img", ".woocommerce-product-gallery img", "[class*=gallery] img", "[class*=product-image] img", ".product-images img", "[data-zoom-image]", "main img", "article img")
 
@@ -259,7 +295,7 @@ def generic_layer(doc: Node, url: str) -> Offers:
             small = (n.attr("width") or "").isdigit() and int(n.attrs["width"]) < 150
             if src and not small and not re.search(r"logo|icon|sprite|payment|avatar|badge", src, re.I) and src not in images:
                 images.append(src)
-    return [*out, ("images", "html", json.dumps(images[:MOST_IMAGES]) if images else None)]
+    return [*out, *_pictures("html", images[:MOST_IMAGES], url)]
 
 
 #: Layers in their order; add (name, function, guarded) to extend them. A guarded layer's offers count only in gaps.
@@ -267,72 +303,48 @@ LAYERS: list[tuple[str, Callable[[Node, str], Offers], bool]] = [("meta", meta_l
 
 
 def page_offers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", layers: list | None = None) -> DataFrame:
-    """Raw offers of every page, all layers on one parsed tree: product_id, field, seq, source, value, note, guarded.
+    """Raw readings of every page, all layers on one parsed tree: product_id, field, seq, source, value, note, guarded.
 
-    A layer that fails on a page gives a note and never ends the run.
+    What Catalyst reads of a page (platform, hash, length) comes along as fields "page.*". A page that cannot be parsed,
+    or a layer that fails, gives a note and never ends the run.
     """
     chosen = layers or LAYERS
 
+    def read(pid: str, url: str, html: str | None) -> Iterator[tuple]:
+        try:
+            doc = parse(html)
+        except Exception as e:
+            yield (pid, "note", 0, "unavailable", f"The page could not be parsed: {type(e).__name__}", str(e)[:200], False)
+            return
+        for k, (name, layer, guarded) in enumerate(chosen):
+            try:
+                found = list(layer(doc, url))
+            except Exception as e:  # one bad page or layer is a note, not an end
+                yield (pid, "note", k * 100, "unavailable", f"Layer {name} failed: {type(e).__name__}", str(e)[:200], guarded)
+                continue
+            for i, (f, s, v) in enumerate(found):
+                if v is not None and str(v).strip():
+                    yield (pid, f, k * 100 + i, s, str(v), None, guarded)
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for pid, url, html in zip(batch["id"], batch["url"], batch["html"], strict=True):
-                doc = parse(html)
-                for k, (name, layer, guarded) in enumerate(chosen):
-                    try:
-                        rows += [(str(pid), f, k * 100 + i, s, str(v), None, guarded) for i, (f, s, v) in enumerate(layer(doc, url or "")) if v is not None and str(v).strip()]
-                    except Exception as e:  # one bad page or layer is a note, not an end
-                        rows.append((str(pid), "note", k * 100, "unavailable", f"{name}: {type(e).__name__}", str(e)[:200], guarded))
+            for pid, url, html, *facts in batch[["id", "url", "html", *PAGE_FACTS]].itertuples(index=False):
+                rows += [(pid, f"page.{n}", -1, "page", v, None, False) for n, v in zip(("url", *PAGE_FACTS), (url, *facts), strict=True) if v is not None]
+                rows += read(pid, url or "", html)
             yield pd.DataFrame(rows, columns=["product_id", "field", "seq", "source", "value", "note", "guarded"])
 
-    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    url, html = F.col(url_col), F.col(html_col)
+    facts = {"platform": detect_platform(html)["platform"], "product": looks_like_product(html), "hash": content_hash(normalize_url(url), html), "chars": F.length(html)}
+    rows = pages.select(F.col(id_col).cast("string").alias("id"), url.alias("url"), html.alias("html"), *[facts[n].cast("string").alias(n) for n in PAGE_FACTS])
     return rows.mapInPandas(run, f"{OFFER}, guarded boolean")
 
 
-def typed_offers(offers: DataFrame) -> DataFrame:
-    """Raw readings in their final form: prices as numbers, states told in words as states, currencies as codes."""
-    from ..functions.money import currency_from, parse_bool, parse_money, parse_number
-    from ..functions.text import condition_from_schema, stock_from_schema, stock_from_text
-    from ..functions.units import unit_from_code, unit_from_html
-
-    f, v = F.col("field"), F.col("value")
-    known = lambda c: F.nullif(c, F.lit("unknown"))
-    value = (
-        F.when(f.isin("price", "priceMin", "priceMax", "salePrice", "regularPrice", "compareAtPrice"), parse_money(v).cast("string"))
-        .when(f == "stockText", known(stock_from_text(v))).when(f == "stockSchema", known(stock_from_schema(v))).when(f == "google.conditionText", known(condition_from_schema(v))).when(f == "currencyText", currency_from(v))
-        .when(f == "weightText", parse_number(v).cast("string")).when(f == "weightUnitCode", unit_from_code(v)).when(f.isin("weight", "ratingValue", "reviewCount"), parse_number(v).cast("string")).when(f == "allowReviews", parse_bool(v).cast("string")).otherwise(v)
-    )
-    names = {"stockText": "stockStatus", "stockSchema": "stockStatus", "google.conditionText": "google.condition", "currencyText": "currency", "weightText": "weight", "weightUnitCode": "weightUnit"}
-    renamed = f
-    for old, new in names.items():
-        renamed = F.when(f == old, new).otherwise(renamed)
-    units = offers.where(f == "weightText").withColumn("value", unit_from_html(v)).withColumn("field", F.lit("weightUnit"))
-    return offers.withColumn("value", value).withColumn("field", renamed).unionByName(units).where("value IS NOT NULL")
-
-
 def extract(pages: DataFrame, endpoints: DataFrame | None = None, **columns: str) -> tuple[DataFrame, DataFrame]:
-    """Pages (and rows (product_id, kind, body) of their endpoints) to merged fields and variant sets.
+    """Merged fields and variant sets of pages and their endpoints' answers; see products.extract."""
+    from .products import extract as whole
 
-    Order: what the page tells, then platform payloads, then the guarded generic layer; one shuffle by product.
-    """
-    from ..sources.payloads import form_variants, shop_product, store_product
-    from .merge import merge_guarded, replace_variant_sets
-
-    raw = page_offers(pages, **columns)
-    held = raw.where(F.col("field").isin("shopJson", "formJson"))
-    payloads = held.select("product_id", F.when(F.col("field") == "shopJson", "shop").otherwise("form").alias("kind"), F.col("value").alias("body"))
-    if endpoints is not None:
-        payloads = payloads.unionByName(endpoints.select("product_id", "kind", "body"))
-    shop, shop_sets = shop_product(payloads.where("kind = 'shop'"))
-    store, _ = store_product(payloads.where("kind = 'store'"))
-    common = ("id", "source_variant_id", "options", "sku", "price", "compare_at_price", "stock_status", "inventory_quantity", "weight", "image_url")
-    narrow = lambda sets: sets.withColumn("variants", F.transform("variants", lambda v: F.struct(*[v[c].alias(c) for c in common])))
-    sets = narrow(shop_sets).unionByName(narrow(form_variants(payloads.where("kind = 'form'"))))
-    plain = typed_offers(raw.where(~F.col("field").isin("shopJson", "formJson", "variants", "images", "note")))
-    columns_ = ["product_id", "field", "seq", "source", "value"]
-    first = plain.where("NOT guarded").select(columns_).unionByName(shop.select(columns_)).unionByName(store.select(columns_))
-    merged = merge_guarded(first, plain.where("guarded").select(columns_))
-    return merged, replace_variant_sets(sets)
+    return whole(pages, endpoints, **columns)
 
 
 def outcome(merged: DataFrame, pages: DataFrame, id_col: str = "page_id") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import PRODUCT, VARIANT
+from ..schema import PRODUCT, VARIANT, columns_of, struct_of
 
 PRODUCTS = """
 SELECT CAST(p_partkey AS STRING) AS id, CAST(p_partkey AS BIGINT) AS ordinal, 'p1' AS project_id, p_brand AS category_id,
@@ -69,24 +69,13 @@ def options() -> "F.Column":
     return F.filter(F.array(F.struct(F.lit("Flag").alias("name"), F.col("flag").alias("value")), F.struct(F.lit("Status").alias("name"), F.col("status").alias("value"))), lambda o: o["value"].isNotNull())
 
 
-def _struct(kind: str, known: dict) -> "F.Column":
-    from ..operators.export import _top
-    import re
-
-    names = re.findall(r"(?:^struct<|,)(\w+):(?=array|map|string|int|bigint|decimal|double|boolean)", _top(kind))
-    return F.struct(*[known.get(n, F.lit(None)).alias(n) for n in names]).cast(kind)
-
-
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product documents: one shuffle of the variants by product."""
     own = ("id", "parent_id", "position", "sku", "price", "compare_at_price", "inventory_quantity", "stock_status", "currency", "image_url", "weight", "weight_unit")
-    v = flat_variants(spark, sf_dir).select("product_id", "position", _struct(VARIANT, {c: F.col(c) for c in own} | {"options": options()}).alias("v"))
+    v = flat_variants(spark, sf_dir).select("product_id", "position", struct_of(VARIANT, {c: F.col(c) for c in own} | {"options": options()}).alias("v"))
     sets = v.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("position", "v"))).getField("v").alias("variants"))
     flat = flat_products(spark, sf_dir).join(sets.withColumnRenamed("product_id", "id"), "id", "left")
-    kinds = {}
-    for field in _split(PRODUCT):
-        name, kind = field.split(" ", 1)
-        kinds[name] = kind
+    kinds = columns_of(PRODUCT)
     image = lambda i: F.struct(F.expr(IMAGE_URL.replace("i = ", f"{i} = ").replace("CAST(i ", f"CAST({i} ")).alias("url"), F.lit(i).alias("position"))
     images = F.slice(F.array(*[image(i) for i in (1, 2, 3)]), 1, F.col("n_images"))
     axes = F.slice(F.array(*[F.struct(F.lit(n).alias("name"), F.array().cast("array<string>").alias("values"), F.lit(i + 1).alias("position")) for i, n in enumerate(("Flag", "Status", "Size", "Cut"))]), 1, F.col("n_axes"))
@@ -98,23 +87,13 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("guessed_image") == 1, F.struct(F.lit("featuredImageUrl").alias("key"), prov("heuristic", "low", none).alias("value"))),
     )
     given = {
-        "variants": F.coalesce("variants", F.array().cast(f"array<{VARIANT}>")), "images": F.transform(images, lambda x: _struct(kinds["images"][6:-1], {"url": x["url"], "position": x["position"], "is_featured": F.lit(False)})), "options": axes, "attributes": F.array(), "tags": F.array().cast("array<string>"),
-        "provenance": F.map_from_entries(F.array_compact(entries)), "extraction_notes": F.array_compact(F.array("note")), "seo": _struct(kinds["seo"], {"title": F.col("seo_title"), "robots": F.col("robots"), "meta_description": F.col("title")}),
-        "google": _struct(kinds["google"], {"gtin": F.col("gtin"), "brand": F.col("brand"), "condition": F.lit("unknown"), "ads_labels": F.array().cast("array<string>")}), "stock_status": F.lit("unknown"), "status": F.lit("unknown"), "featured_image_url": F.when(F.col("n_images") >= 2, F.expr("'https://cdn.example/p-' || id || '-2.jpg'")),
+        "variants": F.coalesce("variants", F.array().cast(f"array<{VARIANT}>")), "images": F.transform(images, lambda x: struct_of(kinds["images"][6:-1], {"url": x["url"], "position": x["position"], "is_featured": F.lit(False)})), "options": axes, "attributes": F.array(), "tags": F.array().cast("array<string>"),
+        "provenance": F.map_from_entries(F.array_compact(entries)), "extraction_notes": F.array_compact(F.array("note")), "seo": struct_of(kinds["seo"], {"title": F.col("seo_title"), "robots": F.col("robots"), "meta_description": F.col("title")}),
+        "google": struct_of(kinds["google"], {"gtin": F.col("gtin"), "brand": F.col("brand"), "condition": F.lit("unknown"), "ads_labels": F.array().cast("array<string>")}), "stock_status": F.lit("unknown"), "status": F.lit("unknown"), "featured_image_url": F.when(F.col("n_images") >= 2, F.expr("'https://cdn.example/p-' || id || '-2.jpg'")),
     }
     return flat.select(*[given.get(n, F.col(n) if n in flat.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
 
 
-def _split(ddl: str) -> list[str]:
-    parts, depth, last = [], 0, 0
-    for i, c in enumerate(ddl):
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and depth == 0:
-            parts.append(ddl[last:i].strip())
-            last = i + 1
-    return [*parts, ddl[last:].strip()]
-
-
 def cte() -> str:
     """The same tables for DuckDB: p, v, img."""
     return (

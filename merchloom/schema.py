@@ -85,6 +85,32 @@ PRODUCT = (
 )
 
 
+def field_names(kind: str) -> list[str]:
+    """Names of the fields of a struct type's text, without those of what is nested in it."""
+    depth, top = 0, []
+    for c in kind[len("struct<") : -1]:
+        depth -= c == ">"
+        top.append(c if depth == 0 else "")
+        depth += c == "<"
+    return [part.split(":", 1)[0].strip() for part in "".join(top).split(",") if ":" in part]
+
+
+def struct_of(kind: str, known: dict[str, Column]) -> Column:
+    """A struct of that type with the known fields; the others are null."""
+    return F.struct(*[known.get(n, F.lit(None)).alias(n) for n in field_names(kind)]).cast(kind)
+
+
+def columns_of(ddl: str) -> dict[str, str]:
+    """Column names and types of a schema's text."""
+    parts, depth, last = [], 0, 0
+    for i, c in enumerate(ddl):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and depth == 0:
+            parts.append(ddl[last:i].strip())
+            last = i + 1
+    return dict(x.split(" ", 1) for x in (*parts, ddl[last:].strip()))
+
+
 @dataclass(frozen=True)
 class ExportOptions:
     """Parameters of an export."""

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from merchloom.functions import html
 from merchloom.operators import catalog, export, extract, merge, validate
-from merchloom.schema import PRODUCT, ExportOptions
+from merchloom.schema import PRODUCT, VARIANT, ExportOptions, columns_of, field_names
 from merchloom.sources import payloads, robots
 from merchloom.streaming import jobs
 
@@ -34,19 +34,12 @@ def document(spark, **fields):
 
 
 def _types(row):
-    from merchloom.plans.domain import _split
-
-    known = dict(f.split(" ", 1) for f in _split(PRODUCT))
+    known = columns_of(PRODUCT)
     return {k: known[k] for k in row}
 
 
 def variant(**v):
-    from merchloom.operators.export import _top
-    from merchloom.schema import VARIANT
-    import re
-
-    names = re.findall(r"(?:^struct<|,)(\w+):(?=array|map|string|int|bigint|decimal|double|boolean)", _top(VARIANT))
-    return tuple(v.get(n) for n in names)
+    return tuple(v.get(n) for n in field_names(VARIANT))
 
 
 def candle(spark):
