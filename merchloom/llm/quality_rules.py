@@ -28,7 +28,10 @@ BLOCK = 1 << 20
 
 
 class Band(NamedTuple):
-    """What is accepted: characters per token, byte-fallback share at most, relative entropy at least."""
+    """What is accepted: characters per token, byte-fallback share at most, relative entropy at least.
+
+    These are the bounds for long texts; those of a text of n tokens are wider by SPREAD / sqrt(n), for its figures vary so.
+    """
 
     low_chars: float
     high_chars: float
@@ -36,19 +39,33 @@ class Band(NamedTuple):
     low_entropy: float
 
 
-#: Fixed bands by language, then by script ("latin", "other").
+#: Bands by language, then by script. Those of languages are fitted (fit_bands) on the labelled good texts of sf0.1; those of
+#: scripts are wide, for no labelled text has them.
 BANDS = {
     "en": Band(1.85, 4.60, 0.02, 0.70),
     "fr": Band(1.75, 4.60, 0.02, 0.69),
     "de": Band(1.80, 4.60, 0.02, 0.70),
     "es": Band(1.70, 4.60, 0.02, 0.68),
     "latin": Band(1.30, 6.00, 0.05, 0.50),
-    "other": Band(0.25, 6.00, 0.60, 0.40),
+    "greek": Band(0.50, 6.00, 0.20, 0.45),
+    "cyrillic": Band(0.80, 6.00, 0.10, 0.45),
+    "hebrew": Band(0.40, 6.00, 0.40, 0.40),
+    "arabic": Band(0.40, 6.00, 0.40, 0.40),
+    "indic": Band(0.25, 6.00, 0.70, 0.35),
+    "thai": Band(0.25, 6.00, 0.70, 0.35),
+    "han": Band(0.25, 3.00, 0.70, 0.40),
+    "kana": Band(0.25, 3.00, 0.70, 0.40),
+    "hangul": Band(0.25, 3.00, 0.70, 0.40),
+    "other": Band(0.25, 6.00, 0.80, 0.35),
+}
+# First and last code point of the letters by which a script is told.
+SCRIPTS = {
+    "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF)), "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)), "cyrillic": ((0x400, 0x52F),), "hebrew": ((0x590, 0x5FF),), "arabic": ((0x600, 0x77F),), "indic": ((0x900, 0xDFF),), "thai": ((0xE00, 0xE7F),), "han": ((0x4E00, 0x9FFF), (0x3400, 0x4DBF)), "kana": ((0x3040, 0x30FF),), "hangul": ((0xAC00, 0xD7AF), (0x1100, 0x11FF)),
 }
 #: Tokens from which a text's entropy no longer grows with its length.
 SATURATED = 512
-#: Tokens below which a band says nothing: such figures are noise.
-LEAST_TOKENS = 40
+#: How much a bound gives way on a text of one token; on one of n it is this over the root of n.
+SPREAD = Band(2.0, 2.0, 0.5, 0.3)
 
 
 class _Pieces(dict):
@@ -87,16 +104,34 @@ def fertility(words: list[str], n_chars: int, pieces: _Pieces) -> tuple[int, flo
 
 
 def script_of(text: str) -> str:
-    """"latin" where most letters lie below U+0250, else "other"."""
+    """The script that most letters have, of equals the first of SCRIPTS; "other" where none has any."""
     if text.isascii():
         return "latin"
-    letters = Counter(ord(c) < 0x250 for c in text if c.isalpha())
-    return "latin" if letters[True] >= letters[False] else "other"
+    count: Counter[str] = Counter()
+    for c, n in Counter(text).items():
+        if c.isalpha():
+            count[next((s for s, spans in SCRIPTS.items() if any(a <= ord(c) <= b for a, b in spans)), "other")] += n
+    return max(count, key=lambda s: (count[s], -list((*SCRIPTS, "other")).index(s))) if count else "other"
 
 
 def accepted(figures: tuple[int, float, float, float], band: Band) -> bool:
     n, chars, fallback, entropy = figures
-    return n < LEAST_TOKENS or (band.low_chars <= chars <= band.high_chars and fallback <= band.high_fallback and entropy >= band.low_entropy)
+    if not n:
+        return False
+    give = 1 / math.sqrt(n)
+    return band.low_chars - SPREAD.low_chars * give <= chars <= band.high_chars + SPREAD.high_chars * give and fallback <= band.high_fallback + SPREAD.high_fallback * give and entropy >= band.low_entropy - SPREAD.low_entropy * give
+
+
+def fit_bands(judged: DataFrame, labels: DataFrame, docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", label_col: str = "quality", share: float = 0.005, least: int = 200) -> dict[str, Band]:
+    """Bands of languages from the rows of quality_rules whose label is good: the figures that `share` of them lie beyond.
+
+    Quantiles are taken over all labelled good rows of at least `least` tokens, by language; a language without any gets none.
+    """
+    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct()
+    rows = judged.where(~F.col("base_failed") & (F.col("n_tokens") >= least)).join(good, judged[id_col] == good["id"]).join(docs.select(F.col(id_col).alias("of"), F.col(lang_col).alias("lang")).distinct(), F.col("id") == F.col("of"))
+    at = lambda c, q: F.percentile(c, F.lit(q))
+    found = rows.where("lang IS NOT NULL").groupBy("lang").agg(at("chars_per_token", share).alias("a"), at("chars_per_token", 1 - share).alias("b"), at("fallback_share", 1 - share).alias("c"), at("token_entropy", share).alias("d"))
+    return {r.lang: Band(r.a, r.b, r.c, r.d) for r in found.collect()}
 
 
 def repeated_words(hashes: np.ndarray, window: int = 8) -> int:
@@ -130,8 +165,8 @@ _pieces: dict[str, _Pieces] = {}
 def quality_rules(docs: DataFrame, model: str, bands: dict[str, Band] = BANDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """One row per row of `docs`: the base counts, the three fertility figures, base_failed and kept.
 
-    Null and empty texts have no words and fail the base rules. Texts under LEAST_TOKENS tokens are outside every
-    band's reach. An unknown or null language takes the band of the text's script. Repeated rows and ids are judged
+    Null and empty texts have no words and fail the base rules. Every text is held to its band, a short one to a wider
+    one. An unknown or null language takes the band of the text's script. Repeated rows and ids are judged
     alone, texts are read whole, and other columns are ignored, whatever their names.
     """
     arrow_batches(docs.sparkSession)
