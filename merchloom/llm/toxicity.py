@@ -22,17 +22,20 @@ from .common import arrow_batches
 # Seed words, phrases in which a seed word is harmless, and look-alike characters.
 SEEDS = ("idiot", "moron", "stupid", "trash", "scum", "loser", "pathetic", "worthless", "disgusting", "clown")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "loser bracket")
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
+DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 GREEK = dict(zip("αβεηικμνορτυχ", "abenikmvoptux", strict=True))
 CYRILLIC = dict(zip("авсеонкмртухіјѕԁһ", "abceohkmptyxijsdh", strict=True))
 
 #: Labelled rows that the lexicon and the calibration are fitted on at most, half of each label.
 SAMPLE_ROWS = 20_000
+#: What the lexicon takes from that sample: at most so many entries, the heaviest first; words and stems that stand after at
+#: least so many different words (a word that one group of copies shares stands after few) and weigh at least so much. Of the
+#: words before an entry no more than CONTEXTS are counted, as LEAST_CONTEXTS settle the question.
 MAX_ENTRIES = 5_000
 LEAST_CONTEXTS = 6
 LEAST_WEIGHT = 2.5
 STEM = range(3, 9)
-_CONTEXTS = 16
+CONTEXTS = 16
 
 
 def _fold_table() -> dict[int, str]:
@@ -41,8 +44,7 @@ def _fold_table() -> dict[int, str]:
         for a, b in chars.items():
             table[ord(a)] = table[ord(a.upper())] = b
     for a, b in DIGITS.items():
-        if a.isdigit() or a in "@$":
-            table[ord(a)] = b
+        table[ord(a)] = b
     for i in range(26):
         table[0xFF21 + i] = table[0xFF41 + i] = chr(97 + i)  # full width
     for zero_width in (0x200B, 0x200C, 0x200D, 0xFEFF, 0xAD):
@@ -121,11 +123,11 @@ def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if toxic:
                 for before, w in zip(["", *words], words, strict=False):
                     kept = seen[w][2]
-                    if len(kept) < 64:
+                    if len(kept) < 4 * CONTEXTS:
                         kept.add(xxhash.xxh64_intdigest(before) >> 1)
     if seen:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(seen), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64()), pa.array([sorted(x[2])[:_CONTEXTS] for x in seen.values()], pa.list_(pa.int64()))],
+            [pa.array(seen), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64()), pa.array([sorted(x[2])[:CONTEXTS] for x in seen.values()], pa.list_(pa.int64()))],
             ["word", "pos", "neg", "contexts"],
         )
 
@@ -138,7 +140,7 @@ def _mined(sample: DataFrame, n_pos: int, n_neg: int) -> list[tuple[str, float]]
     words = sample.select("text", "toxic").mapInArrow(_word_rows, "word string, pos long, neg long, contexts array<long>")
 
     def merged(df: DataFrame, key: str) -> DataFrame:
-        contexts = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("contexts")))), 1, _CONTEXTS)
+        contexts = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("contexts")))), 1, CONTEXTS)
         return df.groupBy(key).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), contexts.alias("contexts"))
 
     by_word = merged(words, "word")
