@@ -156,20 +156,27 @@ def fit_weights(labelled: Iterable[str] = LABELLED) -> Weights:
     return Weights(words, tags, 0.6, -0.4, -0.7, -1.0)
 
 
+#: What a piece of furniture weighs at most, so that one in the midst of an article does not cut it: as much as a few tags.
+MOST_FURNITURE = 6.0
+
+
+def piece_score(p: Piece, weights: Weights) -> float:
+    """A tag's weight, or that of a text's words."""
+    if p.kind == "t":
+        return weights.tags.get(p.name, weights.tag)
+    n = len(p.text.split())
+    if p.kind == "x":
+        return max(n * weights.furniture, -MOST_FURNITURE)
+    return n * (weights.link if p.name == "a" else weights.words.get(p.name, weights.word))
+
+
 def main_region(parts: list[Piece], weights: Weights) -> tuple[int, int]:
     """Start and end of the contiguous pieces with the greatest sum, by one scan; (0, 0) if no sum is positive."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
     for i, p in enumerate(parts):
-        if p.kind == "t":
-            score = weights.tags.get(p.name, weights.tag)
-        else:
-            n = len(p.text.split())
-            each = weights.furniture if p.kind == "x" else weights.link if p.name == "a" else weights.words.get(p.name, weights.word)
-            # furniture in the midst of an article must not cut it: it weighs at most as much as a few tags
-            score = max(n * each, -6.0) if p.kind == "x" else n * each
         if total <= 0:
             total, start = 0.0, i
-        total += score
+        total += piece_score(p, weights)
         if total > best:
             best, best_at = total, (start, i + 1)
     return best_at
