@@ -255,24 +255,22 @@ def duplicate_findings(products: DataFrame, target: str = "shopify") -> DataFram
     A third of all rows may share one key: only the first by order and the number of products are computed for each
     key, by partial aggregation, and joined back; no key's rows are gathered in one task.
     """
-    rule = "duplicates"
-    base = products.select(F.col("id").alias("product_id"), "ordinal", duplicate_key(F.col("source_url")).alias("url"), F.lower(F.coalesce("handle", slugify_ascii(F.coalesce("title", F.lit(""))))).alias("handle"))
-
-    def later(keyed: DataFrame, order: list[str], least: int = 1) -> DataFrame:
-        first = keyed.groupBy("key").agg(F.min(F.struct(*order)).alias("first"), F.min("product_id").alias("a"), F.max("product_id").alias("b"))
-        first = first.where("a <> b") if least > 1 else first
-        return keyed.join(first.drop("a", "b"), "key").where(F.struct(*order) > F.col("first")).drop("first")
-
-    by_url = later(base.where("url IS NOT NULL").withColumn("key", F.col("url")), ["ordinal", "product_id"])
-    by_handle = later(base.where("handle <> ''").withColumn("key", F.col("handle")), ["ordinal", "product_id"])
-    uses = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("variant_id"), F.col("sku").alias("sku"))), F.transform("variants", lambda v, i: F.struct((i + 1).cast("int").alias("at"), v["id"].alias("variant_id"), v["sku"].alias("sku"))))
-    skus = products.select(F.col("id").alias("product_id"), "ordinal", F.explode(uses).alias("u")).select("product_id", "ordinal", "u.at", "u.variant_id", F.lower(F.trim("u.sku")).alias("key")).where("key <> ''")
-    by_sku = later(skus, ["ordinal", "product_id", "at"], 2)
-    shape = lambda df, code, severity, field, message, variant: df.select("product_id", "ordinal", F.lit(1_000_000).alias("n"), F.lit(code).alias("code"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), variant.alias("variant_id"), F.lit(field).alias("field"), F.col("key").alias("observed"), message.alias("message"))
-    return (
-        shape(by_url, "VAL-45", "ERROR", "source_url", F.lit("Another product comes from the same address."), _null())
-        .unionByName(shape(by_handle, "VAL-46", "ERROR" if target == "shopify" else "WARNING", "handle", _says("Another product has the handle ", F.col("key"), "."), _null()))
-        .unionByName(shape(by_sku, "VAL-47", "ERROR", "sku", _says("Another product has the SKU ", F.col("key"), "."), F.col("variant_id")))
+    key = lambda kind, at, variant, value: F.struct(F.lit(kind).alias("kind"), F.lit(at).cast("int").alias("at") if isinstance(at, int) else at.cast("int").alias("at"), variant.cast("string").alias("variant_id"), value.alias("key"))
+    sku = lambda x: F.nullif(F.lower(F.trim(x)), F.lit(""))
+    handle = F.nullif(F.lower(F.coalesce("handle", slugify_ascii(F.coalesce("title", F.lit(""))))), F.lit(""))
+    own = F.array(key("url", 0, _null(), duplicate_key(F.col("source_url"))), key("handle", 0, _null(), handle), key("sku", 0, _null(), sku(F.col("sku"))))
+    uses = F.concat(own, F.transform("variants", lambda v, i: key("sku", i + 1, v["id"], sku(v["sku"]))))
+    rows = products.select(F.col("id").alias("product_id"), "ordinal", F.explode(F.filter(uses, lambda u: u["key"].isNotNull())).alias("u")).select("product_id", "ordinal", "u.*")
+    place = F.struct("ordinal", "product_id", "at")
+    first = rows.groupBy("kind", "key").agg(F.min(place).alias("first"), F.min("product_id").alias("a"), F.max("product_id").alias("b"))
+    # a key that one row has needs no second look; a SKU must be that of two products
+    shared = first.where("a <> b OR kind <> 'sku'").drop("a", "b")
+    later = rows.join(shared, ["kind", "key"]).where(place > F.col("first"))
+    by_kind = lambda url, handle, sku: F.when(F.col("kind") == "url", url).when(F.col("kind") == "handle", handle).otherwise(sku)
+    message = by_kind(F.lit("Another product comes from the same address."), _says("Another product has the handle ", F.col("key"), "."), _says("Another product has the SKU ", F.col("key"), "."))
+    return later.select(
+        "product_id", "ordinal", F.lit(1_000_000).alias("n"), by_kind("VAL-45", "VAL-46", F.lit("VAL-47")).alias("code"), F.lit("duplicates").alias("rule_id"), by_kind("ERROR", "ERROR" if target == "shopify" else "WARNING", F.lit("ERROR")).alias("severity"), "variant_id",
+        by_kind("source_url", "handle", F.lit("sku")).alias("field"), F.col("key").alias("observed"), message.alias("message"),
     )
 
 
