@@ -4,9 +4,10 @@ A byte is removed if some string of LENGTH bytes that covers it also starts earl
 the corpus many times over, so suffixes are taken at positions that the text itself selects: of every window of LENGTH
 bytes, the leftmost of its GRAM-byte strings with the least hash is its anchor, and equal windows have equal anchors.
 The windows around one anchor form an entry whose leading token is the anchor's hash and whose second token is the hash
-of all bytes of those windows. Entries are range-partitioned by splitters sampled from these tokens, sorted within each
-partition, and compared with their neighbours, across partition boundaries too. Equal entries repeat as a whole. Where
-one leading token has several second tokens, one entry of each is compared window by window, in the same way.
+of all bytes of those windows. Entries are range-partitioned by splitters sampled from these tokens, ordered within each
+bucket by multikey quicksort, and compared with their neighbours, across bucket boundaries too. Equal entries repeat as a
+whole; both their tokens, 128 bits, are equal. Where one leading token has several second tokens, one entry of each is
+compared window by window, in the same way, by a token of 64 bits for each window.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from .common import Shared, arrow_batches, mix, prefix_hash, range_hash, row_key
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are hashed at once; longer texts come in overlapping pieces.
 BLOCK = 1 << 20
+#: Entries in a bucket, about: it is ordered in one worker's memory.
+BUCKET = 1_500_000
+#: Rows that the quicksort orders at once.
+SMALL = 4096
 ENTRY = "lead long, ctx long, doc long, pos long, len int"
 
 
@@ -94,94 +99,84 @@ def _entry_rows(length: int, gram: int) -> object:
     return run
 
 
+def multikey_order(keys: tuple[np.ndarray, ...], small: int = SMALL) -> np.ndarray:
+    """The order of rows by several keys, by multikey quicksort: rows are strings whose characters are the keys.
+
+    A range is parted in three by a pivot of the first key in which it is not yet known to be equal; the middle part goes on
+    with the next key. Small ranges are ordered at once.
+    """
+    n, last = len(keys[0]), len(keys)
+    order = np.arange(n)
+    todo = [(0, n, 0)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        if hi - lo < 2 or depth == last:
+            continue
+        part = order[lo:hi]
+        if hi - lo <= small:
+            order[lo:hi] = part[np.lexsort([k[part] for k in keys[depth:][::-1]])]
+            continue
+        x = keys[depth][part]
+        sample = np.sort(x[:: max(1, (hi - lo) // 255)])
+        pivot = sample[len(sample) // 2]
+        less, more = x < pivot, x > pivot
+        a, c = part[less], part[more]
+        order[lo:hi] = np.concatenate([a, part[~(less | more)], c])
+        todo += [(lo, lo + len(a), depth), (lo + len(a), hi - len(c), depth + 1), (hi - len(c), hi, depth)]
+    return order
+
+
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted entries of one partition to those that share their leading token, and one row about its boundaries.
+    """The entries of one bucket, in no order, to those that share their leading token, and two rows about its boundaries.
 
     again: an equal entry stands earlier; several: the leading token has other second tokens too. A leading token at
-    the partition's edge may go on beyond it, so its entries are all kept and count as several.
+    the bucket's edge may go on beyond it, so its entries are all kept and count as several.
     """
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    cols = ("lead", "ctx", "doc", "pos", "len")
-    held: list[list[np.ndarray]] = []
-    edge: list | None = None
-    last: tuple | None = None  # lead, ctx of the last entry, and doc, pos of the first equal to it
-
-    def emit(block: list[np.ndarray], opening: bool, closing: bool) -> pa.RecordBatch | None:
-        nonlocal last, edge
-        lead, ctx, doc, pos, _ = block
-        n = len(lead)
-        new_lead = np.ones(n, bool)
-        new_lead[1:] = lead[1:] != lead[:-1]
-        new = new_lead.copy()
-        new[1:] |= ctx[1:] != ctx[:-1]
-        run = np.flatnonzero(new)
-        of = np.cumsum(new) - 1
-        d0, p0 = doc[run][of], pos[run][of]
-        again = (doc != d0) | (pos != p0)
-        group = np.cumsum(new_lead) - 1
-        starts = np.flatnonzero(new_lead)
-        size = np.diff(np.append(starts, n))
-        kinds = np.add.reduceat(new.astype(np.int64), starts)
-        keep, several = size[group] > 1, kinds[group] > 1
-        if opening:
-            edge = [int(lead[0]), int(ctx[0])]
-            keep |= group == 0
-            several |= group == 0
-        if closing:
-            keep |= group == group[-1]
-            several |= group == group[-1]
-        last = (int(lead[-1]), int(ctx[-1]), int(d0[-1]), int(p0[-1]))
-        if not keep.any():
-            return None
-        return rows([x[keep] for x in block], again[keep], several[keep])
-
-    def rows(block: list[np.ndarray], again: np.ndarray, several: np.ndarray, kind: int = 0) -> pa.RecordBatch:
-        n = len(again)
+    whole = [b for b in batches if b.num_rows]
+    if not whole:
+        return
+    block = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in whole]) for i in range(5)]
+    del whole
+    order = multikey_order(tuple(block[:4]))
+    lead, ctx, doc, pos, length = (x[order] for x in block)
+    n = len(lead)
+    new_lead = np.ones(n, bool)
+    new_lead[1:] = lead[1:] != lead[:-1]
+    new = new_lead.copy()
+    new[1:] |= ctx[1:] != ctx[:-1]
+    of = np.cumsum(new) - 1
+    first_doc, first_pos = doc[new][of], pos[new][of]
+    again = (doc != first_doc) | (pos != first_pos)
+    group = np.cumsum(new_lead) - 1
+    starts = np.flatnonzero(new_lead)
+    size = np.diff(np.append(starts, n))
+    kinds = np.add.reduceat(new.astype(np.int64), starts)
+    edge = (group == 0) | (group == group[-1])
+    keep, several = (size[group] > 1) | edge, (kinds[group] > 1) | edge
+
+    def rows(columns: list[np.ndarray], again: np.ndarray, several: np.ndarray, kind: int) -> pa.RecordBatch:
         types = (pa.int64(),) * 4 + (pa.int32(),)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, part, np.int32)), *[pa.array(x, t) for x, t in zip(block, types, strict=True)], pa.array(again), pa.array(several)], ["kind", "part", *cols, "again", "several"]
-        )
+        fixed = [pa.array(np.full(len(again), x, np.int32)) for x in (kind, part)]
+        return pa.RecordBatch.from_arrays([*fixed, *[pa.array(x, t) for x, t in zip(columns, types, strict=True)], pa.array(again), pa.array(several)], ["kind", "part", "lead", "ctx", "doc", "pos", "len", "again", "several"])
 
-    opening = True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        block = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        cut = int(np.searchsorted(block[0], block[0][-1], side="left"))
-        if held and (cut > 0 or block[0][0] != held[0][0][0]):
-            held.append([x[:cut] for x in block])
-            if (out := emit([np.concatenate(x) for x in zip(*held, strict=True)], opening, False)) is not None:
-                yield out
-            opening, held = False, [[x[cut:] for x in block]]
-        elif not held and cut > 0:
-            if (out := emit([x[:cut] for x in block], opening, False)) is not None:
-                yield out
-            opening, held = False, [[x[cut:] for x in block]]
-        else:
-            held.append(block)
-    if held:
-        if (out := emit([np.concatenate(x) for x in zip(*held, strict=True)], opening, True)) is not None:
-            yield out
-        assert edge is not None and last is not None
-        one = [np.array([x]) for x in (*edge, last[2], last[3], 0)]
-        yield rows(one, np.array([False]), np.array([False]), 1)
-        one = [np.array([x]) for x in (*last, 0)]
-        yield rows(one, np.array([False]), np.array([False]), 2)
-
-
-def neighbours(entries: DataFrame, shared: Shared, name: str) -> DataFrame:
+    yield rows([x[keep] for x in (lead, ctx, doc, pos, length)], again[keep], several[keep], 0)
+    for kind, i in ((1, 0), (2, n - 1)):  # the first token, and the last one with the first entry that is equal to it
+        yield rows([np.array([x]) for x in (lead[i], ctx[i], first_doc[i], first_pos[i], 0)], np.array([False]), np.array([False]), kind)
+
+
+def neighbours(entries: DataFrame, about: int, shared: Shared, name: str) -> DataFrame:
     """Entries that share their leading token with another, marked as in _runs, right across boundaries too.
 
-    The splitters are sampled by Spark; the whole key is in the order, so one frequent token spreads over partitions.
-    Each partition tells its first and last token; partitions are few, and the driver joins up what crosses them.
+    Spark samples the splitters; the whole key is in the order, so one frequent token spreads over buckets. There are so
+    many buckets that `about` entries make about BUCKET in each. Each bucket tells its first and last token, and the
+    driver joins up what crosses them: two rows a bucket.
     """
     spark = entries.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = ["lead", "ctx", "doc", "pos"]
-    ordered = entries.repartitionByRange(parts, *key).sortWithinPartitions(*key)
-    found = shared.keep(ordered.mapInArrow(_runs, f"kind int, part int, {ENTRY}, again boolean, several boolean"), name)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-about // BUCKET))
+    found = shared.keep(entries.repartitionByRange(parts, "lead", "ctx", "doc", "pos").mapInArrow(_runs, f"kind int, part int, {ENTRY}, again boolean, several boolean"), name)
     edges: dict[int, dict[int, tuple]] = {}
     for r in found.where("kind > 0").collect():
         edges.setdefault(r.part, {})[r.kind] = (r.lead, r.ctx, r.doc, r.pos)
@@ -266,10 +261,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     texts = keyed.select("doc", "text")
     long_enough = texts.where(F.octet_length("text") >= length)
     entries = long_enough.mapInArrow(_entry_rows(length, gram), ENTRY)
-    found = neighbours(entries, shared, "entries")
+    size = long_enough.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = neighbours(entries, 2 * size // (length - gram + 2), shared, "entries")
     alone = found.where("several AND NOT again").groupBy("doc").agg(F.array_distinct(F.collect_list(F.struct("pos", "len"))).alias("spans"))
     windows = alone.join(long_enough, "doc").select("doc", "text", "spans")
-    single = neighbours(windows.mapInArrow(_window_rows(length), ENTRY), shared, "windows")
+    n_windows = found.where("several AND NOT again").agg(F.sum("len")).first()[0] or 0
+    single = neighbours(windows.mapInArrow(_window_rows(length), ENTRY), n_windows, shared, "windows")
     again = found.where("again").select("doc", "pos", "len").unionByName(single.where("again").select("doc", "pos", "len"))
     spans = again.groupBy("doc").agg(F.collect_list(F.struct("pos", "len")).alias("spans"))
     cut = long_enough.join(spans, "doc").select("doc", "text", "spans").mapInArrow(_cut_rows(length, keep_text), "doc long, sha string, n_removed long, n_spans long, kept_sha256 string, kept string")
