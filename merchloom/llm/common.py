@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +49,30 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 class Shared:
-    """Tables written to the shared folder: they cut lineage and outlive executors."""
+    """Tables written to the shared folder: they cut lineage and outlive executors.
+
+    They stay until the session ends, as results are read from them late; who has written a result releases what made it.
+    """
+
+    _open: ClassVar[list[Shared]] = []
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/merchloom-{uuid.uuid4().hex}"
+        Shared._open.append(self)
         atexit.register(self._at_exit)
 
+    @classmethod
+    def opened(cls) -> int:
+        return len(cls._open)
+
+    @classmethod
+    def release(cls, since: int) -> None:
+        """Remove the tables of all that were opened since opened() gave that number."""
+        while len(cls._open) > since:
+            one = cls._open.pop()
+            atexit.unregister(one._at_exit)
+            remove(one.spark, one.root)
+
     def _at_exit(self) -> None:
         try:
             remove(self.spark, self.root)

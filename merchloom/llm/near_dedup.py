@@ -154,6 +154,10 @@ class _Groups:
         self.step += 1
         return self.shared.keep(df, f"{name}{self.step}")
 
+    def drop(self, name: str, step: int) -> None:
+        """Remove a table that nothing reads any more."""
+        self.shared.drop(f"{name}{step}")
+
     def compare(self, pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b, na, nb), every one decided on the whole shingle sets.
 
@@ -173,14 +177,18 @@ class _Groups:
             links = links.unionByName(more)
         edges = self.keep(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
         labels = self.keep(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("c")), "labels")
+        edges_step, labels_step = self.step - 1, self.step
         while True:
             near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("c").alias("m"))
             spread = labels.join(near, labels["id"] == near["a"]).select("id", F.least("c", "m").alias("n"), "c")
             spread = self.keep(spread, "spread")
             jump = spread.select(F.col("id").alias("n"), F.col("n").alias("j"))
             new = self.keep(spread.join(jump, "n", "left").select("id", F.least("n", F.coalesce("j", "n")).alias("c"), F.col("c").alias("old")), "labels")
-            labels = new.select("id", "c")
+            self.drop("labels", labels_step)
+            self.drop("spread", self.step - 1)
+            labels, labels_step = new.select("id", "c"), self.step
             if new.where("c <> old").isEmpty():
+                self.drop("edges", edges_step)
                 return labels
 
 
