@@ -351,6 +351,22 @@ def test_repeated_bytes(docs, empty):
     assert whole.kept == dict(rows())[10]
 
 
+def test_multikey_order():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((0, 3), (1, 3), (50, 2), (3000, 3), (3000, 1 << 40), (20_000, 40)):
+        keys = tuple(rng.integers(-kinds, kinds, n) for _ in range(4))
+        for small in (2, 16, 4096):
+            got = suffix_dedup.multikey_order(keys, small)
+            assert sorted(got.tolist()) == list(range(n)) and [tuple(k[i] for k in keys) for i in got] == sorted(zip(*keys, strict=True))
+
+
+def test_suffix_buckets_agree(docs, monkeypatch):
+    """Many small buckets, so that equal entries and hot tokens cross their boundaries."""
+    whole = sorted((str(r.doc_id), r.n_removed, r.kept_sha256) for r in suffix_dedup.repeated_bytes(docs).collect())
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 40)
+    assert sorted((str(r.doc_id), r.n_removed, r.kept_sha256) for r in suffix_dedup.repeated_bytes(docs).collect()) == whole
+
+
 def test_suffix_pieces_agree(docs, monkeypatch):
     whole = sorted((str(r.doc_id), r.n_removed) for r in suffix_dedup.repeated_bytes(docs).collect())
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
