@@ -63,9 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`, each written to the shared folder and read again."""
+    """All stages on `documents`, each written to the shared folder and read again; what it needed is then removed."""
     shared = Shared(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        since = Shared.opened()
         docs = shared.keep(stage(spark, docs, sf_dir), name)
+        Shared.release(since)
+        if before is not None:
+            shared.drop(before)
+        before = name
     return docs
