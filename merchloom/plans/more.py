@@ -14,7 +14,7 @@ from ..operators import products as made
 from ..schema import ExportOptions
 from ..sources import fetch, payloads
 from .domain import cte, flat_products, flat_variants, options, products, table
-from .queries import ERROR_OF, ISSUES, RANK, STATE_OF, query, required_issues
+from .queries import ERROR_OF, HANDLE, ISSUES, NUM, RANK, SHOP_ROWS, STATE_OF, WOO_ROWS, _cells, query, required_issues
 
 
 # ---- scalar functions ------------------------------------------------------------------------------------------------
@@ -417,3 +417,46 @@ def images_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda url, ord_, source, alt: part.select(ident.alias("product_id"), url.alias("url"), F.lit(ord_).alias("position"), F.lit(ord_).alias("ord"), F.lit(source).alias("source"), F.lit(alt).cast("string").alias("alt"), (F.col("p_partkey") % 2 == 0).alias("is_featured"))
     rows = row(F.concat(F.lit("https://c.d/"), ident, F.lit("_300x300.jpg?v=1")), 1, "html", None).unionByName(row(F.concat(F.lit("https://c.d/"), ident, F.lit(".jpg")), 2, "jsonld", "front")).unionByName(row(F.concat(F.lit("https://c.d/placeholder-"), ident, F.lit(".jpg")), 3, "jsonld", "none"))
     return merge.prune_images(rows).select("product_id", "url", F.col("position").cast("long").alias("position"), "source", "alt", "is_featured")
+
+
+# ---- more columns of the export files -------------------------------------------------------------------------------------
+FACTOR = "CASE {} WHEN 'kg' THEN 1000.0 WHEN 'lbs' THEN 453.59237 WHEN 'stone' THEN NULL ELSE 1.0 END"
+SHOP_FROM = SHOP_ROWS[: SHOP_ROWS.index("SELECT p.id AS product_id, k AS idx")]
+SHOP_VALUES = f"""{SHOP_FROM}, f AS (SELECT product_id, flag, status FROM v WHERE position = 1)
+SELECT p.id AS product_id, k AS idx, CASE WHEN k = 0 THEN coalesce(title, '') ELSE '' END AS title, CASE WHEN k = 0 THEN coalesce(description_html, '') ELSE '' END AS body, CASE WHEN k = 0 THEN brand ELSE '' END AS vendor, CASE WHEN k = 0 THEN coalesce(category_path, '') ELSE '' END AS category,
+ CASE WHEN k = 0 THEN coalesce(category_path, source_product_type, '') ELSE '' END AS type, CASE WHEN k = 0 THEN 'TRUE' ELSE '' END AS published, CASE WHEN k = 0 THEN 'active' ELSE '' END AS status,
+ coalesce(CASE WHEN k >= greatest(nv, 1) THEN '' WHEN nv = 0 THEN floor(floor(p.weight * ({FACTOR.format('p.weight_unit')}) * 1000 + 0.5) / 1000 + 0.5)::BIGINT::VARCHAR ELSE floor(v.weight + 0.5)::BIGINT::VARCHAR END, '') AS grams, CASE WHEN v.inventory_quantity IS NOT NULL THEN 'shopify' ELSE '' END AS tracker,
+ CASE WHEN k = 0 THEN coalesce(CASE WHEN n_axes > 0 THEN 'Flag' WHEN f.flag IS NOT NULL THEN 'Flag' WHEN f.status IS NOT NULL THEN 'Status' WHEN nv <= 1 THEN 'Title' END, '') ELSE '' END AS option1_name, CASE WHEN k = 0 THEN coalesce(seo_title, '') ELSE '' END AS seo_title, CASE WHEN k = 0 THEN coalesce(title, '') ELSE '' END AS seo_description,
+ coalesce(v.image_url, '') AS variant_image, CASE WHEN k < greatest(nv, 1) THEN 'TRUE' ELSE '' END AS shipping, CASE WHEN k < greatest(nv, 1) THEN 'manual' ELSE '' END AS fulfilment, CASE WHEN k = 0 THEN 'FALSE' ELSE '' END AS gift, '' AS condition
+FROM r p LEFT JOIN v ON v.product_id = p.id AND v.position = k + 1 LEFT JOIN f ON f.product_id = p.id"""
+
+
+@query(SHOP_VALUES)
+def export_shopify_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = {"title": "Title", "body": "Body (HTML)", "vendor": "Vendor", "category": "Product Category", "type": "Type", "published": "Published", "status": "Status", "grams": "Variant Grams", "tracker": "Variant Inventory Tracker", "option1_name": "Option1 Name", "seo_title": "SEO Title", "seo_description": "SEO Description", "variant_image": "Variant Image", "shipping": "Variant Requires Shipping", "fulfilment": "Variant Fulfillment Service", "gift": "Gift Card", "condition": "Google Shopping / Condition"}
+    return _cells(spark, sf_dir, ExportOptions(), wanted).drop("row_type")
+
+
+@query(f"""{SHOP_FROM} SELECT p.id AS product_id, k AS idx, {HANDLE} AS handle, coalesce((CASE WHEN nv = 0 AND k = 0 THEN p.price ELSE v.price END)::DECIMAL(18,2)::VARCHAR, '') AS price, coalesce(v.inventory_quantity::VARCHAR, '') AS quantity, CASE WHEN k < greatest(nv, 1) THEN 'TRUE' ELSE '' END AS tax, '' AS goes_on, CASE WHEN k < greatest(nv, 1) THEN coalesce(v.weight_unit, CASE WHEN nv = 0 THEN p.weight_unit END, '') ELSE '' END AS unit
+FROM r p LEFT JOIN v ON v.product_id = p.id AND v.position = k + 1""")
+def export_modern_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir, ExportOptions(profile="shopify-2024"), {"handle": "URL handle", "price": "Price", "quantity": "Inventory quantity", "tax": "Charge tax", "goes_on": "Continue selling when out of stock", "unit": "Weight unit for display"}).drop("row_type")
+
+
+WOO_FROM = WOO_ROWS[: WOO_ROWS.index("SELECT x.id AS product_id, k AS idx")]
+OWN_UNIT = "coalesce(x.weight_unit, CASE WHEN NOT many AND nv = 1 THEN s.weight_unit END)"
+WOO_VALUES = f"""{WOO_FROM}, g AS (SELECT product_id, string_agg(url, ', ' ORDER BY CASE WHEN i = 2 THEN 0 ELSE 1 END, i) AS urls FROM img GROUP BY product_id),
+a AS (SELECT product_id, string_agg(flag, ', ' ORDER BY o) AS flags FROM (SELECT product_id, flag, min(position) AS o FROM v WHERE flag IS NOT NULL GROUP BY 1, 2) GROUP BY product_id)
+SELECT x.id AS product_id, k AS idx, CASE WHEN k > 0 THEN CASE WHEN v.weight_unit IS NULL THEN {NUM.format('v.weight')} ELSE {NUM.format('(v.weight / 1000)')} END WHEN {OWN_UNIT} IS NULL THEN {NUM.format('x.weight')} ELSE {NUM.format(f"(floor(floor(x.weight * ({FACTOR.format(OWN_UNIT)}) * 1000 + 0.5) / 1000 / 1000 * 1000000 + 0.5) / 1000000)")} END AS weight,
+ CASE WHEN k > 0 OR length IS NULL THEN '' WHEN dimension_unit IS NULL THEN {NUM.format('length')} ELSE {NUM.format('(floor(length * 2.54 * 1000 + 0.5) / 1000)')} END AS length, CASE WHEN k = 0 THEN coalesce(category_path, source_product_type, '') ELSE '' END AS categories,
+ CASE WHEN k > 0 THEN coalesce(v.image_url, '') ELSE coalesce(g.urls, CASE WHEN NOT many AND nv = 1 THEN s.image_url END, '') END AS images, CASE WHEN n_axes > 0 THEN 'Flag' ELSE '' END AS attribute_name, CASE WHEN n_axes = 0 THEN '' WHEN k > 0 THEN coalesce(v.flag, '') ELSE coalesce(a.flags, '') END AS attribute_values,
+ CASE WHEN k = 0 AND n_axes > 0 THEN '1' ELSE '' END AS attribute_visible, CASE WHEN k = 0 AND n_axes > 0 THEN '0' ELSE '' END AS attribute_global, k::VARCHAR AS position, CASE WHEN k = 0 THEN coalesce(description_html, '') ELSE '' END AS description, 'taxable' AS tax_status, CASE WHEN k = 0 THEN source_url ELSE '' END AS source,
+ CASE WHEN k > 0 THEN coalesce(v.weight_unit, '') ELSE coalesce(CASE {OWN_UNIT} WHEN 'lbs' THEN 'lb' WHEN 'stone' THEN NULL ELSE {OWN_UNIT} END, '') END AS unit, CASE WHEN k > 0 THEN coalesce(v.inventory_quantity::VARCHAR, '') WHEN NOT many AND nv = 1 THEN coalesce(s.inventory_quantity::VARCHAR, '') ELSE '' END AS stock
+FROM x LEFT JOIN v ON v.product_id = x.id AND v.position = k AND k > 0 LEFT JOIN v s ON s.product_id = x.id AND s.position = 1 LEFT JOIN g ON g.product_id = x.id LEFT JOIN a ON a.product_id = x.id"""
+
+
+@query(WOO_VALUES)
+def export_woo_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = {"weight": "Weight (kg)", "length": "Length (cm)", "categories": "Categories", "images": "Images", "attribute_name": "Attribute 1 name", "attribute_values": "Attribute 1 value(s)", "attribute_visible": "Attribute 1 visible", "attribute_global": "Attribute 1 global", "position": "Position", "description": "Description", "tax_status": "Tax status"}
+    meta = {"source": f"{export.META}_source_url", "unit": f"{export.META}_source_weight_unit", "stock": "Stock"}
+    return _cells(spark, sf_dir, ExportOptions(profile="woocommerce-default"), wanted | meta).drop("row_type")
