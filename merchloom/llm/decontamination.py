@@ -72,9 +72,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         places = base.select("id", F.posexplode("words").alias("p", "word")).join(many, "word", "left_semi").groupBy("id").agg(F.collect_list(F.col("p") + 1).alias("places"))
         near = base.join(places, "id")
         near = near.select("id", F.explode(F.transform(F.filter(F.array_distinct("places"), lambda i: i <= F.size("words")), around)).alias("x"))
+        counts = base.select("own_id", "id", F.size("words").cast("long").alias("n_words"))
     else:
+        # one pass over the texts for both: the words around candidates are few
         places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(few), i + 1)), lambda i: i.isNotNull())
-        near = base.select("id", F.explode(F.transform(places, around)).alias("x"))
+        read = shared.keep(base.select("own_id", "id", F.size("words").cast("long").alias("n_words"), F.transform(places, around).alias("around")), "near")
+        near, counts = read.select("id", F.explode("around").alias("x")), read.select("own_id", "id", "n_words")
     near = near.select("id", "x.word", "x.place", "x.from", "x.near")
     start = F.col("place") - F.col("offset")
     stands = (start >= F.col("from")) & (F.slice("near", F.greatest(start - F.col("from") + 1, F.lit(1)), F.col("n")) == F.col("words"))
@@ -82,7 +85,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     per_doc = hits.groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.start + s.n - 1))))
     per_doc = per_doc.select(F.col("id").alias("hit_id"), F.size(covered).cast("long").alias("n_hit"), "items")
-    counts = base.select("own_id", "id", F.size("words").cast("long").alias("n_words"))
     out = counts.join(per_doc, counts["id"] == per_doc["hit_id"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(F.col("own_id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
