@@ -17,7 +17,7 @@ from ..functions.units import dimension_unit, unit_from_code, unit_from_html
 from ..functions.url import image_identity, normalize_url
 from ..schema import ATTRIBUTE, GOOGLE, IMAGE, OPTION_DEFINITION, PRODUCT, PROVENANCE, SEO, VARIANT, columns_of, confidence_of, field_names, rank_of, struct_of
 from ..sources import payloads as pay
-from .extract import LAYERS, page_offers
+from .extract import LAYERS, detect_platform, looks_like_product, observed_variants, page_offers
 from .merge import GAP_FIELDS, featured_image, final_kind, fold_offers, option_definitions
 
 OFFER = "struct<seq:int,field:string,source:string,value:string,note:string,guarded:boolean>"
@@ -155,10 +155,12 @@ def with_merge(rows: DataFrame) -> DataFrame:
     """Adds to collected rows: the variant sets, the one that holds (gaps filled), and all offers in order."""
     p = rows.select("*", pay.shop_read(F.col("shop_body")).alias("shop"), pay.store_read(F.col("store_body")).alias("store"), pay.form_read(F.col("form_body")).alias("form"), F.from_json("labels", "map<string,string>").alias("label_of"))
     p = p.withColumn("cents", pay.shop_cents(F.col("shop")))
+    if "observed" not in rows.columns:
+        p = p.withColumn("observed", pay.none_of(VARIANT))
     ident = F.col("product_id")
     sets = F.array_compact(F.array(
         _set("jsonld", 200, pay.ld_variants_of(F.col("ld_body"), ident)), _set("shopify-product-json", SHOP_SEQ, pay.shop_variants(F.col("shop"), F.col("cents"), ident)),
-        _set("woo-rest", STORE_SEQ, pay.store_variants(F.col("store"), F.col("variation_bodies"), ident)), _set("woo-variation-form", FORM_SEQ, pay.form_variants_of(F.col("form"), ident, F.col("label_of"))),
+        _set("html", LATE_SEQ - 1, F.col("observed")), _set("woo-rest", STORE_SEQ, pay.store_variants(F.col("store"), F.col("variation_bodies"), ident)), _set("woo-variation-form", FORM_SEQ, pay.form_variants_of(F.col("form"), ident, F.col("label_of"))),
     ))
     strongest = F.array_sort(sets, lambda a, b: F.when(a["rank"] != b["rank"], b["rank"] - a["rank"]).otherwise(a["seq"] - b["seq"]))
     p = p.withColumn("sets", strongest).withColumn("variants_source", F.get("sets", F.lit(0))["source"])
@@ -251,12 +253,22 @@ _NESTED = {
 }
 
 
-def pages_to_products(pages: DataFrame, endpoints: DataFrame | None = None, existing: DataFrame | None = None, **columns: str) -> DataFrame:
+def with_observed(rows: DataFrame, observations: DataFrame) -> DataFrame:
+    """Collected rows with the variants that were seen in a browser: one for each option combination, the first seen."""
+    one = observed_variants(observations.withColumn("product_id", F.col("product_id").cast("string")))
+    variant = struct_of(VARIANT, {"id": F.concat("product_id", F.lit(":"), "signature"), "parent_id": F.col("product_id")} | {n: F.col(n) for n in ("options", "sku", "stock_status", "image_url")} | {"price": F.col("price").cast("decimal(18,6)")})
+    sets = one.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("ord", variant.alias("v")))).getField("v").alias("observed"))
+    return rows.join(sets, "product_id", "left")
+
+
+def pages_to_products(pages: DataFrame, endpoints: DataFrame | None = None, existing: DataFrame | None = None, observations: DataFrame | None = None, **columns: str) -> DataFrame:
     """Pages (and endpoint answers) to product documents with their outcome; a page without a title is ok = false.
 
     existing: rows (normalized_url, id) of products known before, which keep their id when their page comes again.
+    observations: rows as extract.observed_variants takes them, of pages that were tried out in a browser.
     """
-    out = assembled(with_merge(collected(pages, endpoints, **columns)))
+    rows = collected(pages, endpoints, **columns)
+    out = assembled(with_merge(rows if observations is None else with_observed(rows, observations)))
     if existing is None:
         return out
     known = existing.groupBy("normalized_url").agg(F.min("id").alias("known_id"))
@@ -269,6 +281,15 @@ def extract(pages: DataFrame, endpoints: DataFrame | None = None, **columns: str
     return merged_fields(rows), rows.where("size(variants) > 0").select("product_id", F.col("variants_source").alias("source"), "variants")
 
 
+def page_report(pages: DataFrame, status: Column) -> DataFrame:
+    """What can be said of an address before it is collected: platform, reachable, and a sentence."""
+    found = pages.select("*", detect_platform(F.col("html"))["platform"].alias("platform"), looks_like_product(F.col("html")).alias("is_product"), F.coalesce((status >= 200) & (status < 400), F.lit(False)).alias("reachable"))
+    named = F.when(F.col("platform") == "unknown", F.lit("The platform is not known")).otherwise(F.concat(F.lit("The platform is "), "platform"))
+    shown = F.when(F.col("is_product"), F.lit("the page shows a product.")).otherwise(F.lit("the page does not look like a product's."))
+    detail = F.when(status.isNull(), "There was no answer.").when(~F.col("reachable"), F.concat(F.lit("The host answered with status "), status.cast("string"), F.lit("."))).otherwise(F.concat(named, F.lit("; "), shown))
+    return found.withColumn("detail", detail)
+
+
 # ---- predicates on documents ----------------------------------------------------------------------------------------
 def is_thin() -> Column:
     """Whether the essentials for an import are missing: title, any price, any picture, or any of variants, SKU and stock."""

@@ -161,6 +161,15 @@ def cached(fetches: DataFrame) -> DataFrame:
     return good.groupBy("url").agg(F.max_by(F.struct(*[c for c in fetches.columns if c != "url"]), "ordinal").alias("x")).select("url", "x.*")
 
 
+def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Keys that were added, removed or changed between two states of a table: one full join on the key and a hash of the rest."""
+    rest = sorted(c for c in new.columns if c != key)
+    state = lambda df, name: df.select(key, F.xxhash64(*rest).alias(name))
+    both = state(old, "before").join(state(new, "after"), key, "full")
+    what = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "changed")
+    return both.withColumn("change", what).where("change IS NOT NULL").select(key, "change")
+
+
 def add_note(notes: Column, message: Column) -> Column:
     """A note appended once."""
     return F.array_union(F.coalesce(notes, F.array().cast("array<string>")), F.array_compact(F.array(message)))

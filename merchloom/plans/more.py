@@ -460,3 +460,36 @@ def export_woo_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = {"weight": "Weight (kg)", "length": "Length (cm)", "categories": "Categories", "images": "Images", "attribute_name": "Attribute 1 name", "attribute_values": "Attribute 1 value(s)", "attribute_visible": "Attribute 1 visible", "attribute_global": "Attribute 1 global", "position": "Position", "description": "Description", "tax_status": "Tax status"}
     meta = {"source": f"{export.META}_source_url", "unit": f"{export.META}_source_weight_unit", "stock": "Stock"}
     return _cells(spark, sf_dir, ExportOptions(profile="woocommerce-default"), wanted | meta).drop("row_type")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'removed' WHEN o_orderkey % 10 = 1 THEN 'changed' ELSE 'added' END AS change FROM orders WHERE o_orderkey % 10 IN (0, 1) UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderkey % 10 = 2")
+def table_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    new = o.where("o_orderkey % 10 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 10 == 1, "changed").otherwise(F.col("o_orderstatus")))
+    return views.changes(o, new.unionByName(o.where("o_orderkey % 10 = 2").withColumn("o_orderkey", -F.col("o_orderkey"))), "o_orderkey")
+
+
+@query("""SELECT page_id, page_id % 4 IN (1, 3) AS reachable, CASE page_id % 4 WHEN 0 THEN 'There was no answer.' WHEN 1 THEN 'The platform is not known; the page does not look like a product''s.' WHEN 2 THEN 'The host answered with status 404.' ELSE 'The platform is shopify; the page shows a product.' END AS detail FROM pages""")
+def address_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.when(k == 3, F.concat("html", F.lit('<script>Shopify.theme={}; {"@type":"Product"}</script>'))).otherwise(F.col("html")))
+    return made.page_report(pages, F.when(k == 1, 200).when(k == 2, 404).when(k == 3, 301)).select("page_id", "reachable", "detail")
+
+
+@query("SELECT state, count(*) AS n FROM (SELECT CASE WHEN row_number() OVER (PARTITION BY u ORDER BY page_id, pos) = 1 THEN 'added' ELSE 'duplicate' END AS state FROM (SELECT page_id, 0 AS pos, 'https://shop.example/p/' || page_id AS u FROM pages UNION ALL SELECT page_id, 1, 'https://shop.example/p/' || (page_id // 2) FROM pages)) GROUP BY state")
+def url_file_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in the text of a file: quoted, bare and among words; only what is an address counts."""
+    ident, half = F.col("page_id").cast("string"), F.floor(F.col("page_id") / 2).cast("string")
+    text = F.concat(F.lit('"https://shop.example/p/'), ident, F.lit('?utm_source=f"\nshop.example/p/'), half, F.lit(";just words, no.address here"))
+    return catalog.import_urls(table(spark, sf_dir, "pages").select(F.col("page_id").alias("ordinal"), text.alias("text")), loose=True).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey::VARCHAR AS product_id, CASE WHEN p_partkey % 2 = 0 THEN 'S:' || p_size || ',M:' || (p_size + 1) ELSE '' END AS variants, CASE WHEN p_partkey % 2 = 0 THEN 'variable' ELSE 'simple' END AS kind FROM part")
+def observed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without structured data whose variants a browser has seen, one combination twice."""
+    part = table(spark, sf_dir, "part")
+    pages = part.select("p_partkey", F.concat(F.lit("https://s.example/o/"), F.col("p_partkey").cast("string")).alias("url"), F.lit("<html><body><h1>T</h1></body></html>").alias("html"))
+    seen = lambda size, price, at: part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("product_id"), F.lit(at).alias("ord"), F.array(F.struct(F.lit("Size").alias("name"), F.lit(size).alias("value"))).alias("selection"), F.concat(F.lit("$"), price.cast("string")).alias("price"), F.lit(None).cast("string").alias("sku"), F.lit("In stock").alias("availability_text"), F.lit(None).cast("string").alias("image_url"))
+    size = F.col("p_size")
+    docs = made.pages_to_products(pages, observations=seen("S", size, 1).unionByName(seen("M", size + 1, 2)).unionByName(seen("S", size + 5, 3)), id_col="p_partkey")
+    return docs.select("product_id", F.array_join(F.transform("variants", lambda v: F.concat(v["options"][0]["value"], F.lit(":"), mf.shortest(v["price"]))), ",").alias("variants"), "kind")

@@ -79,3 +79,16 @@ def log_sink(logs: DataFrame, path: str, checkpoint: str, least: str = "info"):
 def compact_log(logs: DataFrame, order: str, rows: int = 3000) -> DataFrame:
     """The newest rows, as a rolling log keeps them."""
     return logs.orderBy(F.desc(order)).limit(rows)
+
+
+def collect_pages(pages: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
+    """Fetched pages to product documents as they come: each micro-batch is one folder, written again as a whole if it is repeated.
+
+    Pausing is stopping the query; started again with its checkpoint, it goes on where it was.
+    """
+    from ..operators.products import pages_to_products
+
+    def step(batch: DataFrame, number: int) -> None:
+        pages_to_products(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
