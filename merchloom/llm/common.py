@@ -9,7 +9,7 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a text table that go to a Python worker at once; long texts make larger batches costly.
@@ -94,6 +94,20 @@ class Shared:
         remove(self.spark, f"{self.root}/{name}")
 
 
+def ranked(df: DataFrame, group: str, order: list[str], shared: Shared, name: str) -> DataFrame:
+    """Adds place, the rank from 0 within the group in ascending order (nulls first), and total, the group's rows; group has no nulls.
+
+    Rows are ranged over tasks by group and order, written, and each task's part of a group counted, so that one group
+    may hold any share of the rows. Equal rows lie in any order.
+    """
+    at, rest = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = shared.keep(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_at", F.monotonically_increasing_id()), name)
+    parts = rows.groupBy(group, at.alias("_part")).agg(F.count("*").alias("_n"), F.min(rest).alias("_first"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.select(group, "_part", (F.sum("_n").over(earlier) - F.col("_n") - F.col("_first")).alias("_base"), F.sum("_n").over(Window.partitionBy(group)).alias("total"))
+    return rows.withColumn("_part", at).join(parts, [group, "_part"]).withColumn("place", F.col("_base") + rest).drop("_at", "_part", "_base")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

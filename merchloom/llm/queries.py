@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontamination, mixing, near_dedup, suffix_dedup
-from .common import remainder, table
+from . import context_tree, decontamination, merkle_manifest, mixing, near_dedup, suffix_dedup
+from .common import ascii_lower, remainder, table
 from .html_extraction import extract_text
 from .license_scan import scan_licenses
+from .merkle_manifest import FIELDS, leaf_digest, verified_proofs
 from .quality_rules import quality_rules
 from .token_counts import token_counts
 from .toxicity import fit, toxicity
@@ -63,5 +64,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_decontamination, op4_quality_rules, op5_context_tree, op6_near_duplicates, op7_suffix_dedup, op8_toxicity, op9_html_extraction, op10_license_scan)}
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op3_decontamination": decontamination.SQL, "op6_near_duplicates": near_dedup.SQL, "op7_suffix_dedup": suffix_dedup.SQL}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = leaf_digest([ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in FIELDS])
+    return verified_proofs(docs, changed=F.when(remainder(F.col("doc_id"), 5) == 0, tampered))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_decontamination, op4_quality_rules, op5_context_tree, op6_near_duplicates, op7_suffix_dedup, op8_toxicity, op9_html_extraction, op10_license_scan, op11_merkle_manifest)}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op3_decontamination": decontamination.SQL, "op6_near_duplicates": near_dedup.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op11_merkle_manifest": merkle_manifest.SQL}
