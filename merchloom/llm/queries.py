@@ -14,8 +14,10 @@ from .html_extraction import extract_text
 from .license_scan import scan_licenses
 from .merkle_manifest import FIELDS, leaf_digest, verified_proofs
 from .quality_rules import quality_rules
+from .sharding import shuffle_into_shards
 from .token_counts import token_counts
 from .toxicity import fit, toxicity
+from .whitening import whiten
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +72,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified_proofs(docs, changed=F.when(remainder(F.col("doc_id"), 5) == 0, tampered))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_decontamination, op4_quality_rules, op5_context_tree, op6_near_duplicates, op7_suffix_dedup, op8_toxicity, op9_html_extraction, op10_license_scan, op11_merkle_manifest)}
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    out = shuffle_into_shards(rows)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_decontamination, op4_quality_rules, op5_context_tree, op6_near_duplicates, op7_suffix_dedup, op8_toxicity, op9_html_extraction, op10_license_scan, op11_merkle_manifest, op12_sharding, op13_whitening)}
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op3_decontamination": decontamination.SQL, "op6_near_duplicates": near_dedup.SQL, "op7_suffix_dedup": suffix_dedup.SQL, "op11_merkle_manifest": merkle_manifest.SQL}
