@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import merge
 from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -23,26 +25,44 @@ SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 class Node:
     """An element, or text where tag is None."""
 
-    __slots__ = ("attrs", "children", "data", "parent", "tag")
+    __slots__ = ("attrs", "children", "data", "end", "index", "parent", "place", "tag")
 
     def __init__(self, tag: str | None, attrs: dict[str, str] | None = None, data: str = "") -> None:
         self.tag, self.attrs, self.data = tag, attrs or {}, data
         self.children: list[Node] = []
         self.parent: Node | None = None
+        self.index: Index | None = None
+        self.place = self.end = 0
 
     def add(self, child: Node) -> Node:
         child.parent = self
         self.children.append(child)
         return child
 
+    def top(self) -> Node:
+        n = self
+        while n.parent is not None:
+            n = n.parent
+        return n
+
+    def changed(self) -> None:
+        """To be called before the tree around this node changes: its index no longer holds."""
+        self.top().index = None
+
+    def set(self, name: str, value: str) -> None:
+        self.changed()
+        self.attrs[name] = value
+
     def remove(self) -> None:
         if self.parent:
+            self.changed()
             self.parent.children.remove(self)
             self.parent = None
 
     def unwrap(self) -> None:
         """The children in the element's place."""
         if self.parent:
+            self.changed()
             at = self.parent.children.index(self)
             for c in self.children:
                 c.parent = self.parent
@@ -94,12 +114,20 @@ class Node:
 
     def select(self, selector: str) -> list[Node]:
         """Elements below that match, in document order."""
-        test = compiled(selector)
-        return [n for n in self.walk() if test(n)]
+        return list(self.found(selector))
 
     def first(self, selector: str) -> Node | None:
-        test = compiled(selector)
-        return next((n for n in self.walk() if test(n)), None)
+        return next(self.found(selector), None)
+
+    def found(self, selector: str) -> Iterator[Node]:
+        """Matches one by one: only nodes that the index names for a selector's last compound are looked at."""
+        top = self.top()
+        if top.index is None:
+            top.index = Index(top)
+        s = compiled(selector)
+        for n in top.index.below(self, s.keys):
+            if s(n):
+                yield n
 
     def html(self) -> str:
         """The element itself, serialised."""
@@ -109,6 +137,67 @@ class Node:
         return _serialised(self.children)
 
 
+#: What an index is asked for: a kind (tag, id, class, attr, value, all) and what it must be.
+Key = tuple[str, object]
+
+
+class Index:
+    """The elements of a tree by tag, id, class, attribute and attribute value, in document order.
+
+    Every element knows its place in that order and where its descendants end, so what lies below a node is a range of
+    each list. An index holds until the tree changes.
+    """
+
+    def __init__(self, top: Node) -> None:
+        self.lists: dict[Key, list[Node]] = {}
+        self.places: dict[Key, list[int]] = {}
+        every: list[Node] = []
+        put = self.lists.setdefault
+        stack: list[tuple[Node, bool]] = [(top, False)]
+        top.place = -1
+        while stack:
+            n, left = stack.pop()
+            if left:
+                n.end = len(every)
+                continue
+            if n is not top:
+                n.place = len(every)
+                every.append(n)
+                put(("tag", n.tag), []).append(n)
+                for name, value in n.attrs.items():
+                    put(("attr", name), []).append(n)
+                    put(("value", (name, value)), []).append(n)
+                    if name == "class":
+                        for c in dict.fromkeys(value.split()):
+                            put(("class", c), []).append(n)
+            stack.append((n, True))
+            stack.extend((c, False) for c in reversed(n.children) if c.tag is not None)
+        self.lists["all", None] = every
+
+    def below(self, node: Node, keys: tuple[Key, ...]) -> Iterator[Node]:
+        """Elements below a node that any of the keys names, in document order and each once."""
+        parts = [part for key in keys if (part := self._range(node, key))]
+        if len(parts) < 2:
+            yield from parts[0] if parts else ()
+            return
+        last = -1
+        for n in merge(*parts, key=lambda n: n.place):
+            if n.place != last:
+                last = n.place
+                yield n
+
+    def _range(self, node: Node, key: Key) -> list[Node]:
+        have = self.lists.get(key)
+        if not have:
+            return []
+        if node.place < 0:
+            return have
+        if key not in self.places:
+            self.places[key] = [n.place for n in have]
+        at = self.places[key]
+        return have[bisect_right(at, node.place) : bisect_left(at, node.end)]
+
+
 def _serialised(nodes: list[Node]) -> str:
     """Markup of some nodes: a stack holds what is still to be written."""
     out: list[str] = []
@@ -199,6 +288,9 @@ Test = Callable[[Node], bool]
 _SIMPLE = re.compile(r"""(?P<all>\*)|(?P<tag>[a-zA-Z][\w-]*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<uq>[^\s\]]+))\s*(?P<ci>[iI])?\s*)?\]|:(?P<pseudo>[\w-]+)(?P<open>\()?""")
 
 
+_COMBINATOR = re.compile(r"\s*([>+~])\s*|\s+")
+
+
 def _argument(s: str, at: int) -> int:
     depth = 1
     while at < len(s) and depth:
@@ -237,8 +329,7 @@ def _pseudo(name: str, arg: str | None) -> Test:
         inner = [compiled(p) for p in _split(arg or "")]
         return (lambda n: not any(t(n) for t in inner)) if name == "not" else (lambda n: any(t(n) for t in inner))
     if name == "has":
-        inner = [compiled(p) for p in _split(arg or "")]
-        return lambda n: any(t(x) for x in n.walk() for t in inner)
+        return lambda n: n.first(arg or "") is not None
     if name == "contains":
         needle = (arg or "").strip().strip("\"'")
         return lambda n: needle in n.text
@@ -272,43 +363,59 @@ def _attribute(name: str, op: str | None, value: str, fold: bool) -> Test:
     return test
 
 
-def _compound(s: str, at: int) -> tuple[Test, int]:
+#: Which part of a compound names the fewest elements, as a rule.
+TELLING = ("id", "value", "class", "attr", "tag", "all")
+
+
+def _compound(s: str, at: int) -> tuple[Test, Key, int]:
+    """A compound's predicate, the most telling key of what it can match, and where it ends."""
     tests: list[Test] = []
+    keys: list[Key] = [("all", None)]
     while at < len(s) and (m := _SIMPLE.match(s, at)):
         at = m.end()
         if m["tag"]:
+            keys.append(("tag", m["tag"].lower()))
             tests.append(lambda n, t=m["tag"].lower(): n.tag == t)
         elif m["id"]:
+            keys.append(("value", ("id", m["id"])))
             tests.append(lambda n, i=m["id"]: n.attrs.get("id") == i)
         elif m["cls"]:
+            keys.append(("class", m["cls"]))
             tests.append(lambda n, c=m["cls"]: c in n.classes())
         elif m["attr"]:
-            tests.append(_attribute(m["attr"], m["op"], next((x for x in (m["dq"], m["sq"], m["uq"]) if x is not None), ""), bool(m["ci"])))
+            name, value = m["attr"].lower(), next((x for x in (m["dq"], m["sq"], m["uq"]) if x is not None), "")
+            keys.append(("value", (name, value)) if m["op"] == "=" and not m["ci"] else ("attr", name))
+            tests.append(_attribute(name, m["op"], value, bool(m["ci"])))
         elif m["pseudo"]:
             arg = None
             if m["open"]:
                 end = _argument(s, at)
                 arg, at = s[at : end - 1], end
             tests.append(_pseudo(m["pseudo"].lower(), arg))
-    return (lambda n: all(t(n) for t in tests)), at
+    key = min(keys, key=lambda k: TELLING.index(k[0]))
+    return (tests[0] if len(tests) == 1 else lambda n: all(t(n) for t in tests)), key, at
 
 
-def _complex(s: str) -> Test:
+def _complex(s: str) -> tuple[Test, Key | None]:
+    """One selector as a predicate that goes from its last compound to the left, and the key of that compound; None: nothing matches."""
     steps: list[tuple[str, Test]] = []
-    at, combinator = 0, " "
+    nothing: tuple[Test, None] = (lambda n: False), None
+    at, combinator, key = 0, " ", None
     s = s.strip()
     while at < len(s):
-        test, end = _compound(s, at)
+        test, key, end = _compound(s, at)
         if end == at:
-            return lambda n: False
+            return nothing
         steps.append((combinator, test))
-        m = re.compile(r"\s*([>+~])\s*|\s+").match(s, end)
+        m = _COMBINATOR.match(s, end)
         if not m:
             at = end
             if at < len(s):
-                return lambda n: False
+                return nothing
             break
         combinator, at = m[1] or " ", m.end()
+    if not steps:
+        return nothing
 
     def match(n: Node, i: int) -> bool:
         how, test = steps[i]
@@ -329,14 +436,28 @@ def _complex(s: str) -> Test:
         before = before[: before.index(n)]
         return any(match(x, i - 1) for x in (before[-1:] if how == "+" else before))
 
-    return lambda n: bool(steps) and match(n, len(steps) - 1)
+    return (lambda n: match(n, len(steps) - 1)) if len(steps) > 1 else steps[0][1], key
+
+
+class Selector:
+    """A selector list: a predicate, and the keys under which an index has all elements that may match."""
+
+    __slots__ = ("keys", "tests")
+
+    def __init__(self, text: str) -> None:
+        parts = [x for x in map(_complex, _split(text)) if x[1] is not None]
+        self.tests = [t for t, _ in parts]
+        keys = tuple(dict.fromkeys(k for _, k in parts))
+        self.keys: tuple[Key, ...] = (("all", None),) if ("all", None) in keys else keys
+
+    def __call__(self, n: Node) -> bool:
+        return any(t(n) for t in self.tests)
 
 
 @lru_cache(maxsize=500)
-def compiled(selector: str) -> Test:
-    """A selector list as a predicate; what is not understood matches nothing."""
-    tests = [_complex(p) for p in _split(selector)]
-    return lambda n: any(t(n) for t in tests)
+def compiled(selector: str) -> Selector:
+    """A selector list, compiled; what is not understood matches nothing."""
+    return Selector(selector)
 
 
 def matches(node: Node, selector: str) -> bool:
@@ -372,11 +493,11 @@ def sanitise(html: str | None, base: str = "") -> tuple[str | None, str | None,
             continue
         allowed = {"title", *ATTRIBUTES.get(n.tag or "", "").split()}
         for name in [k for k, v in n.attrs.items() if k not in allowed or _DANGEROUS.match(v or "")]:
-            del n.attrs[name]
+            del n.attrs[name]  # an index may still name it; the selector's own test decides
             stripped = True
         for name in ("href", "src", "poster"):
             if base and n.attrs.get(name):
-                n.attrs[name] = urljoin(base, n.attrs[name])
+                n.set(name, urljoin(base, n.attrs[name]))
     for n in reversed(list(root.walk())):
         if n.tag in ("div", "span", "p", "section") and not n.elements() and not n.text.strip():
             n.remove()

@@ -127,8 +127,9 @@ def describe_options(options: Column) -> Column:
 
 
 def friendly_field(key: Column) -> Column:
-    """A provenance key in words: what stands after the last dot, camel case taken apart."""
-    return F.lower(F.regexp_replace(F.regexp_extract(key, r"([^.\]]+)$", 1), "([a-z])([A-Z])", "$1 $2"))
+    """A provenance key in words: without its variant, a space before each capital, dots as spaces, in lower case."""
+    bare = F.regexp_replace(key, r"^variants\[[^\]]+\]\.", "")
+    return F.trim(F.lower(F.replace(F.regexp_replace(bare, "([A-Z])", " $1"), F.lit("."), F.lit(" "))))
 
 
 def variant_of_key(key: Column) -> Column:
@@ -220,15 +221,21 @@ def stable_id(prefix: str, *keys: Column) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws(":", *keys), 256), 1, 16))
 
 
+# Units of ages in milliseconds, the mean month and year, and what one unit back and ahead is called.
+AGES = (("second", 1000, None, None), ("minute", 60_000, None, None), ("hour", 3_600_000, None, None), ("day", 86_400_000, "yesterday", "tomorrow"), ("week", 604_800_000, "last week", "next week"), ("month", 2_629_800_000, "last month", "next month"), ("year", 31_557_600_000, "last year", "next year"))
+
+
 def relative_time(then: Column, now: Column) -> Column:
-    """Age in words."""
-    s = F.unix_timestamp(now) - F.unix_timestamp(then)
-    out = F.when(s < 45, F.lit("just now"))
-    for size, name in ((60, "minute"), (3600, "hour"), (86400, "day"), (604800, "week"), (2592000, "month"), (31536000, "year")):
-        nxt = {"minute": 3600, "hour": 86400, "day": 604800, "week": 2592000, "month": 31536000}.get(name)
-        n = F.greatest(F.lit(1), F.floor(s / size + 0.5)).cast("int")
-        text = F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
-        out = out.when(s < nxt, text) if nxt else out.otherwise(text)
+    """An age, or a time still to come, in words of the largest unit that fits, rounded half up."""
+    ms = F.unix_millis(now) - F.unix_millis(then)
+    out = F.when(F.abs(ms) < 45_000, F.lit("just now"))
+    for name, size, back, ahead in reversed(AGES):
+        n = F.floor(ms / size + 0.5).cast("long")
+        words = F.concat(F.abs(n).cast("string"), F.lit(f" {name}"), F.when(F.abs(n) == 1, "").otherwise("s"))
+        text = F.when(n >= 0, F.concat(words, F.lit(" ago"))).otherwise(F.concat(F.lit("in "), words))
+        if back and ahead:
+            text = F.when(n == 1, back).when(n == -1, ahead).otherwise(text)
+        out = out.when(F.abs(ms) >= size, text)
     return out
 
 

@@ -114,17 +114,26 @@ def job_summary(rows: DataFrame, by: str) -> DataFrame:
     return out.withColumn("message", F.concat(F.lit("Finished: "), F.concat_ws(", ", F.concat(done.cast("string"), F.lit(" collected")), bit("warned", " with warnings"), bit("failed", " failed"), bit("skipped", " done before")), F.lit(".")))
 
 
-def schedule(urls: DataFrame, host: str, order: str, gap_ms: int) -> DataFrame:
-    """Earliest start of each request when a host gets one every gap_ms.
+def schedule(urls: DataFrame, host: str, order: str, gap_ms: int, arrival: str | None = None) -> DataFrame:
+    """Earliest start of each request when a host gets one every gap_ms and none before its arrival (ms; 0 without one).
 
-    Ranks within a host come from counts of blocks of the order and ranks within a block, so a host with a third of all
-    URLs is no single task.
+    A start is the rank's slot plus the largest delay so far, arrival less slot. Ranks and delays come from blocks of the
+    order first and then from within a block, so a host with a third of all URLs is no single task.
     """
     block = F.floor(F.col(order) / 4096)
     sizes = urls.groupBy(host, block.alias("block")).agg(F.count("*").alias("size"))
-    before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy(host).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    earlier = Window.partitionBy(host).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    before = sizes.withColumn("before", F.sum("size").over(earlier) - F.col("size"))
     ranked = urls.withColumn("block", block).withColumn("r", F.row_number().over(Window.partitionBy(host, "block").orderBy(order)))
-    return ranked.join(before, [host, "block"]).withColumn("start_ms", (F.col("before") + F.col("r") - 1) * gap_ms).drop("block", "before", "size", "r")
+    ranked = ranked.join(before, [host, "block"]).withColumn("start_ms", (F.col("before") + F.col("r") - 1) * gap_ms).drop("before", "size")
+    if arrival is None:
+        return ranked.drop("block", "r")
+    late = F.col(arrival) - F.col("start_ms")
+    most = ranked.groupBy(host, "block").agg(F.max(late).alias("late"))
+    most = most.select(host, "block", F.max("late").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    own = F.max(late).over(Window.partitionBy(host, "block").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    out = ranked.withColumn("own", own).join(most, [host, "block"])
+    return out.withColumn("start_ms", F.col("start_ms") + F.greatest("own", "before")).drop("block", "r", "own", "before")
 
 
 def delete_cascade(tables: dict[str, DataFrame], project_id: str) -> dict[str, DataFrame]:

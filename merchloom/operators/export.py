@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -14,6 +15,7 @@ from ..functions.money import fixed2, shortest
 from ..functions.text import csv_cell, slugify_ascii
 from ..functions.units import dimension_unit, to_centimetres, to_grams, to_kilograms, weight_unit
 from ..schema import SEVERITIES, VARIANT, ExportOptions, struct_of
+from ..sources.one_file import write_lines
 from .validate import worst
 
 META = "meta:catalogue"
@@ -289,18 +291,35 @@ def most_axes(products: DataFrame) -> int:
     return axes.agg(F.max(F.size("names"))).first()[0] or 0
 
 
-def safe_cells(rows: DataFrame, columns: list[Column]) -> list[Column]:
-    """Columns as text, '' for null; a column that cannot be resolved on these rows is '' too and ends nothing."""
-    text = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+@contextmanager
+def forgiving(spark: SparkSession) -> Iterator[None]:
+    """Columns that are put into a plan here give null where a value is bad: casts, divisions, places and sums in their try forms."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
 
-    def fits(*some: Column) -> bool:
-        try:
-            rows.select(*some)
-            return True
-        except AnalysisException:
-            return False
 
-    return text if fits(*text) else [c if fits(c) else F.lit("") for c in text]
+def safe_cells(rows: DataFrame, columns: list[Column]) -> DataFrame:
+    """Adds cells, the columns as texts in their order; '' for null and for what fails.
+
+    A column that cannot be resolved on these rows is '' in all of them. One that fails on some row's values is '' there:
+    the plan keeps how each expression deals with bad values from when it is built, whatever the session says when it runs.
+    """
+    with forgiving(rows.sparkSession):
+        text = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+
+        def fits(*some: Column) -> bool:
+            try:
+                rows.select(*some)
+                return True
+            except AnalysisException:
+                return False
+
+        good = text if fits(*text) else [c if fits(c) else F.lit("") for c in text]
+        return rows.withColumn("cells", F.array(*good))
 
 
 def build(included: DataFrame, options: ExportOptions) -> tuple[list[str], DataFrame]:
@@ -311,8 +330,8 @@ def build(included: DataFrame, options: ExportOptions) -> tuple[list[str], DataF
     else:
         rows = woo_rows(included.withColumn("axes", attribute_axes()))
         columns = [*profile.columns(options), *_dynamic(most_axes(included))]
-    cells = F.array(*safe_cells(rows, [c for _, c in columns]))
-    return [h for h, _ in columns], rows.select("ordinal", F.col("id").alias("product_id"), "idx", "row_type", cells.alias("cells"))
+    headers = [h for h, _ in columns]
+    return headers, safe_cells(rows, [c for _, c in columns]).select("ordinal", F.col("id").alias("product_id"), "idx", "row_type", "cells")
 
 
 def export(products: DataFrame, issues: DataFrame, options: ExportOptions) -> tuple[list[str], DataFrame, DataFrame]:
@@ -330,15 +349,17 @@ def csv_lines(headers: list[str], rows: DataFrame) -> DataFrame:
 
 
 def write_csv(headers: list[str], rows: DataFrame, path: str, one_file: bool = False) -> None:
-    """Lines ended by CR LF, in order. Range-sorted parts keep the order by name; one_file suits files for import.
+    """Lines ended by CR LF, in order. Range-sorted parts keep the order by name; with one_file, path is one file, for import.
 
     Nothing to export is an error, and no file is written.
     """
     if rows.isEmpty():
         raise ValueError("nothing to export: every product was skipped or filtered")
-    lines = csv_lines(headers, rows).orderBy("ordinal", "idx")
-    lines = (lines.coalesce(1) if one_file else lines).select("line")
-    lines.write.option("lineSep", "\r\n").mode("errorifexists").text(path)
+    lines = csv_lines(headers, rows).orderBy("ordinal", "idx").select("line")
+    if one_file:
+        write_lines(lines, path, "\r\n")
+    else:
+        lines.write.option("lineSep", "\r\n").mode("errorifexists").text(path)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -17,7 +17,11 @@ from ..functions.url import normalize_url
 
 OFFER = "product_id string, field string, seq int, source string, value string, note string"
 DETECT_CHARS = 400_000
+# Headers of a shop platform's answers.
+SHOP_HEADERS = ("x-shopid", "x-shopify-stage", "x-sorting-hat-shopid")
 MOST_DEPTH, MOST_IMAGES = 8, 30
+#: Shorter pages load the rest later.
+SHORT_PAGE = 2000
 #: What Catalyst reads of a page before its tree is built.
 PAGE_FACTS = ("platform", "product", "hash", "chars")
 # Signs of platforms in a page's first characters, and their weights.
@@ -34,17 +38,32 @@ SIGNS = {
 
 
 def detect_platform(html: Column, headers: Column | None = None) -> Column:
-    """platform and score (0 to 1) by weighted signs; ties go to the earlier platform."""
+    """platform and score (0 to 1) by weighted signs; ties go to the earlier platform.
+
+    headers: the answer's headers, names in lower case; a shop platform's own ones weigh most. The signs are looked for once.
+    """
     head = F.substring(html, 1, DETECT_CHARS)
     scores = {p: sum((F.when(head.rlike(sign), w).otherwise(0) for sign, w in signs), F.lit(0)) for p, signs in SIGNS.items()}
     if headers is not None:
-        scores["shopify"] = scores["shopify"] + F.when(F.exists(F.map_keys(headers), lambda k: k.isin("x-shopid", "x-shopify-stage", "x-sorting-hat-shopid")), 5).otherwise(0)
-    scores["wordpress-generic"] = F.when(scores["woocommerce"] > 0, 0).otherwise(scores["wordpress-generic"])
-    best = F.greatest(*scores.values())
-    name = F.when(best <= 0, "unknown")
-    for p, s in scores.items():
-        name = name.when(s == best, p)
-    return F.struct(F.coalesce(name, F.lit("unknown")).alias("platform"), F.least(F.lit(1.0), best / 8).alias("score"))
+        own = F.exists(F.map_keys(headers), lambda k: F.lower(k).isin(*SHOP_HEADERS))
+        scores["shopify"] = scores["shopify"] + F.when(own, 5).otherwise(0)
+
+    def told(raw: Column) -> Column:
+        mine = {p: raw[p] for p in scores}
+        mine["wordpress-generic"] = F.when(mine["woocommerce"] > 0, 0).otherwise(mine["wordpress-generic"])
+        best = F.greatest(*mine.values())
+        name = F.when(best <= 0, "unknown")
+        for p, s in mine.items():
+            name = name.when(s == best, p)
+        return F.struct(F.coalesce(name, F.lit("unknown")).alias("platform"), F.least(F.lit(1.0), best / 8).alias("score"))
+
+    return F.element_at(F.transform(F.array(F.struct(*[s.alias(p) for p, s in scores.items()])), told), 1)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the table lies in fewer files than there are cores; else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def looks_like_product(html: Column) -> Column:
@@ -56,8 +75,9 @@ def looks_like_product(html: Column) -> Column:
     return found | (F.substring(html, 1, 3000).rlike(r"/products/[^/?#]+") & html.rlike(r'"variants"\s*:'))
 
 
-def needs_render(html: Column, product: Column, thin: Column, mode: str = "auto") -> Column:
-    return F.lit(True) if mode == "always" else F.lit(False) if mode == "never" else thin | ~product | (F.length(html) < 2000)
+def needs_render(chars: Column, product: Column, thin: Column, mode: str = "auto") -> Column:
+    """Whether a page is to be opened in a browser, by its length, whether it looks like a product's, and what it gave."""
+    return F.lit(True) if mode == "always" else F.lit(False) if mode == "never" else thin | ~product | (chars < SHORT_PAGE)
 
 
 def _clean(s: str | None) -> str | None:
@@ -305,7 +325,8 @@ LAYERS: list[tuple[str, Callable[[Node, str], Offers], bool]] = [("meta", meta_l
 def page_offers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", layers: list | None = None) -> DataFrame:
     """Raw readings of every page, all layers on one parsed tree: product_id, field, seq, source, value, note, guarded.
 
-    What Catalyst reads of a page (platform, hash, length) comes along as fields "page.*". A page that cannot be parsed,
+    What Catalyst reads of a page (platform, hash, length) comes along as fields "page.*"; a column headers (a map) helps to
+    tell the platform. A page that cannot be parsed,
     or a layer that fails, gives a note and never ends the run.
     """
     chosen = layers or LAYERS
@@ -335,7 +356,8 @@ def page_offers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pd.DataFrame(rows, columns=["product_id", "field", "seq", "source", "value", "note", "guarded"])
 
     url, html = F.col(url_col), F.col(html_col)
-    facts = {"platform": detect_platform(html)["platform"], "product": looks_like_product(html), "hash": content_hash(normalize_url(url), html), "chars": F.length(html)}
+    pages = spread(pages)
+    facts = {"platform": detect_platform(html, F.col("headers") if "headers" in pages.columns else None)["platform"], "product": looks_like_product(html), "hash": content_hash(normalize_url(url), html), "chars": F.length(html)}
     rows = pages.select(F.col(id_col).cast("string").alias("id"), url.alias("url"), html.alias("html"), *[facts[n].cast("string").alias(n) for n in PAGE_FACTS])
     return rows.mapInPandas(run, f"{OFFER}, guarded boolean")
 

@@ -22,16 +22,19 @@ def same_value(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(x - y) < 1e-9, F.lit(False)) | (F.trim(a) == F.trim(b))
 
 
-def fold_offers(offers: Column, field: Column) -> Column:
+def fold_offers(offers: Column, field: Column, start: Column | None = None) -> Column:
     """Ordered fold of one field's offers array<struct<seq,value,source,note>>: value, source, note, conflict.
 
+    start: the state (STATE) that a field has before; else it is empty, or unknown for fields that begin so.
+
     An empty current value takes the offer. An equal offer raises the provenance if its source is strictly stronger and
     then drops the conflict. A different one replaces the value if strictly stronger, and the old value, if it had
     provenance, is the conflict; else it is the conflict itself, the last one staying.
     """
     empty = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("value", "string"), ("source", "string"), ("rank", "int"), ("note", "string"), ("other_source", "string"), ("other_value", "string"))])
     unknown = F.struct(F.lit("unknown").alias("value"), *[F.lit(None).cast(t).alias(n) for n, t in (("source", "string"), ("rank", "int"), ("note", "string"), ("other_source", "string"), ("other_value", "string"))])
-    start = F.when(field.isin(*UNKNOWN_FIELDS), unknown).otherwise(empty)
+    if start is None:
+        start = F.when(field.isin(*UNKNOWN_FIELDS), unknown).otherwise(empty)
 
     def state(value: Column, source: Column, rank: Column, note: Column, other_source: Column, other_value: Column) -> Column:
         return F.struct(value.alias("value"), source.alias("source"), rank.alias("rank"), note.alias("note"), other_source.alias("other_source"), other_value.alias("other_value"))
@@ -73,23 +76,69 @@ def merge_guarded(unguarded: DataFrame, guarded: DataFrame, keys: tuple[str, ...
     return merge_offers(unguarded.unionByName(guarded.join(taken, [*keys, "field"], "left_anti")), keys)
 
 
-def best_values(offers: DataFrame, keys: tuple[str, ...] = ("product_id",)) -> DataFrame:
-    """Values alone, without provenance: the first offer of the highest rank. Partial aggregation, no arrays."""
-    real = offers.where(~is_empty_offer(F.col("value").cast("string")))
-    return real.groupBy(*keys, "field").agg(F.max_by("value", F.struct(rank_of(F.col("source")).alias("r"), (-F.col("seq")).alias("s"))).alias("value"))
+#: Fields of a variant that offers can fill, by their names in provenance.
+VARIANT_FIELDS = {
+    "sku": "sku", "barcode": "barcode", "price": "price", "compareAtPrice": "compare_at_price", "regularPrice": "regular_price", "salePrice": "sale_price", "costPerItem": "cost_per_item", "currency": "currency", "stockStatus": "stock_status", "available": "available", "inventoryQuantity": "inventory_quantity",
+    "inventoryPolicy": "inventory_policy", "weight": "weight", "weightUnit": "weight_unit", "length": "length", "width": "width", "height": "height", "dimensionUnit": "dimension_unit", "requiresShipping": "requires_shipping", "taxable": "taxable", "imageUrl": "image_url", "title": "title",
+}
+
 
+def variant_key(variant_id: Column, field: Column) -> Column:
+    """Where provenance keeps a variant's field."""
+    return F.concat(F.lit("variants["), variant_id, F.lit("]."), field)
 
-def provenance_map(merged: DataFrame, keys: tuple[str, ...] = ("product_id",)) -> DataFrame:
-    """Merged fields to one map for each product."""
-    conflict = F.when(F.col("other_source").isNotNull(), F.struct("other_source", "other_value"))
-    entry = F.struct(F.col("field").alias("key"), F.struct("source", "confidence", "note", conflict.alias("conflict")).alias("value"))
-    return merged.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("provenance"))
 
+def with_variant_offers(products: DataFrame, offers: DataFrame) -> DataFrame:
+    """Product documents with offers for single fields of their variants, merged by rank as a product's own fields are.
 
-def mark_unavailable(merged: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Adds rank-0 provenance for wanted (product_id, field) that no source offered."""
-    missing = wanted.join(merged.select("product_id", "field"), ["product_id", "field"], "left_anti")
-    return merged.unionByName(missing.select("product_id", "field", F.lit("unavailable").alias("source"), F.lit("none").alias("confidence")), allowMissingColumns=True)
+    offers: rows (product_id, variant_id, field, seq, source, value[, note]), fields as in VARIANT_FIELDS. They are folded by
+    key in the order of seq, from what the variant has and where it is from; a value without provenance yields to any
+    offer that differs. Provenance stands under variants[id].field. Offers for variants or fields that a product does not
+    have, and empty ones, change nothing. Two aggregations by key with partial sums of a product's few offers, one join.
+    """
+    note = F.col("note") if "note" in offers.columns else F.lit(None)
+    known = offers.where(F.col("field").isin(*VARIANT_FIELDS)).select("product_id", variant_key(F.col("variant_id"), F.col("field")).alias("key"), "seq", F.col("value").cast("string").alias("value"), "source", note.cast("string").alias("note"))
+    by_key = known.groupBy("product_id", "key").agg(F.array_sort(F.collect_list(F.struct("seq", "value", "source", "note"))).alias("offers"))
+    told = by_key.groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "offers"))).alias("told"))
+    rows = products.join(told.withColumnRenamed("product_id", "id"), "id", "left")
+    names = F.array(*map(F.lit, VARIANT_FIELDS))
+    keys = F.flatten(F.transform("variants", lambda v: F.transform(names, lambda n: variant_key(v["id"], n))))
+    values = F.flatten(F.transform("variants", lambda v: F.array(*[v[c].cast("string") for c in VARIANT_FIELDS.values()])))
+    cells = F.arrays_zip(keys.alias("key"), values.alias("value"))
+    rows = rows.withColumn("cells", F.filter(cells, lambda c: F.map_contains_key("told", c["key"])))
+
+    def folded(c: Column) -> Column:
+        had = F.try_element_at("provenance", c["key"])
+        start = F.struct(F.nullif(c["value"], F.lit("unknown")).alias("value"), had["source"].alias("source"), rank_of(had["source"]).cast("int").alias("rank"), had["note"].alias("note"), had["conflict"]["other_source"].alias("other_source"), had["conflict"]["other_value"].alias("other_value")).cast(STATE)
+        return F.struct(c["key"].alias("key"), fold_offers(F.try_element_at("told", c["key"]), c["key"], start).alias("value"))
+
+    merged = F.coalesce(F.transform("cells", folded), F.array().cast(f"array<struct<key:string,value:{STATE}>>"))
+    rows = rows.withColumn("merged", F.map_from_entries(F.filter(merged, lambda e: e["value"]["source"].isNotNull())))
+    kinds = {f.name: f.dataType for f in products.schema["variants"].dataType.elementType.fields}
+
+    of_field = {name: field for field, name in VARIANT_FIELDS.items()}
+
+    def filled(v: Column) -> Column:
+        def cell(name: str) -> Column:
+            if name not in of_field:
+                return v[name]
+            own = F.try_element_at("merged", variant_key(v["id"], F.lit(of_field[name])))
+            return F.when(own.isNotNull(), own["value"].try_cast(kinds[name])).otherwise(v[name])
+
+        return F.struct(*[cell(n).alias(n) for n in kinds])
+
+    conflict = lambda m: F.when(m["other_source"].isNotNull(), F.struct(m["other_source"].alias("other_source"), m["other_value"].alias("other_value")))
+    stamps = F.transform_values("merged", lambda _, m: F.struct(m["source"].alias("source"), confidence_of(m["source"]).alias("confidence"), m["note"].alias("note"), conflict(m).alias("conflict")))
+    kept = F.map_filter("provenance", lambda k, _: ~F.map_contains_key("merged", k))
+    changed = F.size("merged") > 0
+    out = rows.withColumn("variants", F.when(changed, F.transform("variants", filled)).otherwise(F.col("variants"))).withColumn("provenance", F.when(changed, F.map_concat(kept, stamps.cast(products.schema["provenance"].dataType))).otherwise(F.col("provenance")))
+    return out.select(products.columns)
+
+
+def best_values(offers: DataFrame, keys: tuple[str, ...] = ("product_id",)) -> DataFrame:
+    """Values alone, without provenance: the first offer of the highest rank. Partial aggregation, no arrays."""
+    real = offers.where(~is_empty_offer(F.col("value").cast("string")))
+    return real.groupBy(*keys, "field").agg(F.max_by("value", F.struct(rank_of(F.col("source")).alias("r"), (-F.col("seq")).alias("s"))).alias("value"))
 
 
 def union_strings(values: DataFrame, keys: tuple[str, ...], value: str = "value", order: str = "seq") -> DataFrame:

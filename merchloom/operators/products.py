@@ -17,7 +17,7 @@ from ..functions.units import dimension_unit, unit_from_code, unit_from_html
 from ..functions.url import image_identity, normalize_url
 from ..schema import ATTRIBUTE, GOOGLE, IMAGE, OPTION_DEFINITION, PRODUCT, PROVENANCE, SEO, VARIANT, columns_of, confidence_of, field_names, rank_of, struct_of
 from ..sources import payloads as pay
-from .extract import LAYERS, detect_platform, looks_like_product, observed_variants, page_offers
+from .extract import LAYERS, detect_platform, looks_like_product, needs_render, observed_variants, page_offers
 from .merge import GAP_FIELDS, featured_image, final_kind, fold_offers, option_definitions
 
 OFFER = "struct<seq:int,field:string,source:string,value:string,note:string,guarded:boolean>"
@@ -158,12 +158,16 @@ def with_merge(rows: DataFrame) -> DataFrame:
     if "observed" not in rows.columns:
         p = p.withColumn("observed", pay.none_of(VARIANT))
     ident = F.col("product_id")
-    sets = F.array_compact(F.array(
+    told = F.array_compact(F.array(
         _set("jsonld", 200, pay.ld_variants_of(F.col("ld_body"), ident)), _set("shopify-product-json", SHOP_SEQ, pay.shop_variants(F.col("shop"), F.col("cents"), ident)),
-        _set("html", LATE_SEQ - 1, F.col("observed")), _set("woo-rest", STORE_SEQ, pay.store_variants(F.col("store"), F.col("variation_bodies"), ident)), _set("woo-variation-form", FORM_SEQ, pay.form_variants_of(F.col("form"), ident, F.col("label_of"))),
+        _set("woo-rest", STORE_SEQ, pay.store_variants(F.col("store"), F.col("variation_bodies"), ident)), _set("woo-variation-form", FORM_SEQ, pay.form_variants_of(F.col("form"), ident, F.col("label_of"))),
     ))
-    strongest = F.array_sort(sets, lambda a, b: F.when(a["rank"] != b["rank"], b["rank"] - a["rank"]).otherwise(a["seq"] - b["seq"]))
-    p = p.withColumn("sets", strongest).withColumn("variants_source", F.get("sets", F.lit(0))["source"])
+    strongest = lambda sets: F.array_sort(sets, lambda a, b: F.when(a["rank"] != b["rank"], b["rank"] - a["rank"]).otherwise(a["seq"] - b["seq"]))
+    p = p.withColumn("sets", strongest(told))
+    # what a browser saw counts only where no source tells of several variants that all have a price
+    best = F.get("sets", F.lit(0))["variants"]
+    p = p.withColumn("observed", F.when((F.size(best) > 1) & F.forall(best, lambda v: v["price"].isNotNull()), pay.none_of(VARIANT)).otherwise(F.coalesce("observed", pay.none_of(VARIANT))))
+    p = p.withColumn("sets", strongest(F.array_compact(F.concat("sets", F.array(_set("html", LATE_SEQ - 1, F.col("observed"))))))).withColumn("variants_source", F.get("sets", F.lit(0))["source"])
     rest = F.coalesce(F.flatten(F.transform(F.slice("sets", 2, 10), lambda s: s["variants"])), pay.none_of(VARIANT))
     p = p.withColumn("variants", F.coalesce(gap_filled(F.get("sets", F.lit(0))["variants"], rest), pay.none_of(VARIANT)))
     none = F.lit(None).cast("string")
@@ -227,6 +231,7 @@ def assembled(rows: DataFrame) -> DataFrame:
     notes = F.array_union("layer_notes", F.array_compact(F.array(
         F.when(value("descriptionHtml").isNull() & value("descriptionText").isNull(), F.lit("The page has no description of the product.")).when(value("descriptionHtml").isNull() & (says == "heuristic"), F.lit("The description is only what the page tells search engines.")),
         F.when(F.size("store.variations") > pay.MOST_VARIATIONS, F.concat(F.lit(f"Only the first {pay.MOST_VARIATIONS} of "), F.size("store.variations").cast("string"), F.lit(" variations were read."))),
+        F.when(F.size("observed") > 0, F.concat(F.size("observed").cast("string"), F.lit(" variants were seen by trying out the page's options."))), F.when(unchanged("observed"), F.lit(UNCHANGED)),
         F.when(F.size("sets") > 1, F.concat(F.lit("Variants come from "), F.col("variants_source"), F.lit("; a weaker source filled gaps only."))),
     )))
     platform = F.coalesce(F.nullif("page_platform", F.lit("unknown")), value("sourcePlatform"), F.lit("unknown"))
@@ -253,6 +258,15 @@ _NESTED = {
 }
 
 
+UNCHANGED = "The page showed one price and SKU for all options, so the variants' own could not be confirmed."
+
+
+def unchanged(observed: str) -> Column:
+    """Whether several combinations were tried out and the page answered all of them alike."""
+    alike = lambda member: F.size(F.array_distinct(F.transform(observed, lambda v: F.coalesce(v[member].cast("string"), F.lit(""))))) == 1
+    return (F.size(observed) > 1) & alike("price") & alike("sku")
+
+
 def with_observed(rows: DataFrame, observations: DataFrame) -> DataFrame:
     """Collected rows with the variants that were seen in a browser: one for each option combination, the first seen."""
     one = observed_variants(observations.withColumn("product_id", F.col("product_id").cast("string")))
@@ -275,6 +289,27 @@ def pages_to_products(pages: DataFrame, endpoints: DataFrame | None = None, exis
     return out.join(known, normalize_url(F.col("source_url")) == known["normalized_url"], "left").withColumn("id", F.coalesce("known_id", "id")).drop("known_id", "normalized_url")
 
 
+def pages_with_rendering(pages: DataFrame, rendered: DataFrame, mode: str = "auto", endpoints: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Pages to product documents, those that need a browser read again from what it rendered; adds was_rendered.
+
+    rendered: rows (url, html), html null or blank where rendering failed. By mode auto, a page needs a browser if its
+    document is thin, it does not look like a product's page, or it is short; always and never speak for themselves. Only
+    pages that need it are read twice. One that was needed and is not there is noted, and keeps its first reading.
+    """
+    first = pages_to_products(pages, endpoints, id_col=id_col, url_col=url_col, html_col=html_col)
+    need = needs_render(F.coalesce(F.col("page_chars"), F.lit(0)), F.coalesce(F.col("looks_like_product"), F.lit(False)), F.coalesce(is_thin(), F.lit(True)), mode)
+    first = first.withColumn("needs", need)
+    one = rendered.groupBy("url").agg(F.max(F.when(F.trim("html") != "", F.col("html"))).alias("rendered_html"))
+    key = first.where("needs").select("product_id")
+    again = pages.withColumn("_id", F.col(id_col).cast("string")).join(key.withColumnRenamed("product_id", "_id"), "_id", "left_semi").join(one.withColumnRenamed("url", url_col), url_col, "left")
+    good = again.where("rendered_html IS NOT NULL").withColumn(html_col, F.col("rendered_html")).select(pages.columns)
+    second = pages_to_products(good, endpoints, id_col=id_col, url_col=url_col, html_col=html_col).withColumn("was_rendered", F.lit(True))
+    kept = first.join(second.select("product_id"), "product_id", "left_anti").withColumn("was_rendered", F.lit(False))
+    note = F.when(F.col("needs"), F.lit("The page needed a browser and was not rendered, so what it loads later may be missing."))
+    kept = kept.withColumn("extraction_notes", F.concat("extraction_notes", F.array_compact(F.array(note)))).drop("needs")
+    return kept.unionByName(second)
+
+
 def extract(pages: DataFrame, endpoints: DataFrame | None = None, **columns: str) -> tuple[DataFrame, DataFrame]:
     """Merged fields as rows, and variant sets (product_id, source, variants)."""
     rows = with_merge(collected(pages, endpoints, **columns))

@@ -9,6 +9,7 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -25,7 +26,11 @@ def kept_body(content_type: Column, body: Column) -> Column:
 
 
 def lower_headers(headers: Column) -> Column:
-    return F.map_from_entries(F.array_distinct(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
+    """Header names in lower case; of names that differ only in case, the last one's value."""
+    names = F.transform(F.map_keys(headers), lambda k: F.lower(k))
+    values = F.map_values(headers)
+    last = lambda k: F.element_at(F.filter(values, lambda _, i: F.get(names, i) == k), -1)
+    return F.map_from_entries(F.transform(F.array_distinct(names), lambda k: F.struct(k.alias("key"), last(k).alias("value"))))
 
 
 def picture_problem(status: Column, content_type: Column) -> Column:
@@ -66,51 +71,82 @@ def settings_over(stored: str | None) -> Settings:
 
 
 def read_collection(spark: SparkSession, path: str, schema: str, backup: str | None = None) -> DataFrame:
-    """A stored JSON collection (an array or lines); where it is missing, blank or broken, its backup, else nothing."""
+    """A stored JSON collection (an array or lines); where it is missing, blank or broken, its backup, else nothing.
+
+    Only a path that is not there counts as missing: any other fault, as one of permissions, is raised. The table is read
+    once to see whether a row is broken.
+    """
     for where in (path, backup):
         if where is None:
             continue
         try:
             df = spark.read.schema(f"{schema}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(where)
-            bad = df.agg(F.count("_corrupt").alias("bad"), F.count("*").alias("n"), F.max(F.xxhash64("*")).alias("read")).first()
-        except Exception:  # not there
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
+        bad = df.agg(F.count("_corrupt").alias("bad"), F.count("*").alias("n"), F.max(F.xxhash64("*")).alias("read")).first()
         if bad.n and not bad.bad:
             return df.drop("_corrupt")
     return spark.createDataFrame([], schema)
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of a path, and what makes paths for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """A table written beside the old one and then put in its place; the old one stays as .bak until the next time."""
-    spark = df.sparkSession
+    """A table written beside the old one and then put in its place; the old one stays as .bak until the next time.
+
+    The old backup goes last. Between the two renames there is no table at the path; read_table puts it back then.
+    """
     df.write.mode("overwrite").parquet(f"{path}.tmp")
-    jvm = spark.sparkContext._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, at = _files(df.sparkSession, path)
     if fs.exists(at(path)):
-        fs.delete(at(f"{path}.bak"), True)
+        if fs.exists(at(f"{path}.bak")):
+            fs.delete(at(f"{path}.old"), True)
+            fs.rename(at(f"{path}.bak"), at(f"{path}.old"))
         fs.rename(at(path), at(f"{path}.bak"))
     fs.rename(at(f"{path}.tmp"), at(path))
+    fs.delete(at(f"{path}.old"), True)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table that replace_table keeps; where a crash left none at the path, the new one if it is whole, else the backup."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at(path)):
+        whole = [p for p in (f"{path}.tmp", f"{path}.bak", f"{path}.old") if fs.exists(at(f"{p}/_SUCCESS"))]
+        if whole:
+            fs.rename(at(whole[0]), at(path))
+    return spark.read.parquet(path)
+
+
+def answer_row(url: str, fetch: Fetch) -> tuple:
+    """A row of PAGE: an exception is an answer with status 0 and never ends the run; only texts keep their body."""
+    try:
+        answer = fetch(url)
+    except Exception as e:
+        answer = {"status": 0, "body": f"{type(e).__name__}: {e}", "content_type": "text/plain"}
+    status, kind = int(answer.get("status") or 0), answer.get("content_type") or ""
+    text = answer.get("body") if any(x in kind.lower() for x in ("text", "json", "xml", "javascript")) else ""
+    return url, answer.get("final_url") or url, status, 200 <= status < 300, kind, text
 
 
 def fetch_pages(urls: DataFrame, fetch: Fetch, url_col: str = "url", retries: int = 2) -> DataFrame:
     """Rows of PAGE for a table of addresses: each fetched once by its task, again while an answer is 429 or 503.
 
-    An exception is an answer with status 0 and never ends the run.
+    Hosts are not spared here: streaming.lanes does that.
     """
 
     def one(url: str) -> tuple:
-        answer: dict = {}
-        for _ in range(retries + 1):
-            try:
-                answer = fetch(url)
-            except Exception as e:
-                answer = {"status": 0, "body": f"{type(e).__name__}: {e}", "content_type": "text/plain"}
-            if answer.get("status") not in (0, 429, 503):
+        row = answer_row(url, fetch)
+        for _ in range(retries):
+            if row[2] not in (0, 429, 503):
                 break
-        status, kind = int(answer.get("status") or 0), answer.get("content_type") or ""
-        text = answer.get("body") if any(x in kind.lower() for x in ("text", "json", "xml", "javascript")) else ""
-        return url, answer.get("final_url") or url, status, 200 <= status < 300, kind, text
+            row = answer_row(url, fetch)
+        return row
 
     def run(batches: Iterable) -> Iterator:
         import pandas as pd
@@ -153,9 +189,4 @@ class _PageReader(DataSourceReader):
         fetch = getattr(importlib.import_module(module), name)
         n = max(1, min(self.parts, len(self.urls)))
         for url in self.urls[partition.value :: n]:
-            try:
-                a = fetch(url)
-            except Exception as e:
-                a = {"status": 0, "body": str(e), "content_type": "text/plain"}
-            status = int(a.get("status") or 0)
-            yield url, a.get("final_url") or url, status, 200 <= status < 300, a.get("content_type") or "", a.get("body")
+            yield answer_row(url, fetch)

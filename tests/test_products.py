@@ -133,6 +133,8 @@ def test_paths(spark):
 
 
 def test_a_broken_column_is_an_empty_cell(spark):
-    rows = spark.createDataFrame([(1, None)], "a int, b string")
-    cells = export.safe_cells(rows, [F.col("a"), F.col("no_such"), F.col("b")])
-    assert list(rows.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)]).first()) == ["1", "", ""]
+    """One that can't be resolved is empty everywhere, one that fails on a value in that row; the session stays strict."""
+    rows = spark.createDataFrame([(1, None, "7"), (0, "x", "seven")], "a int, b string, c string")
+    cells = export.safe_cells(rows, [F.col("a"), F.col("no_such"), F.col("b"), F.col("c").cast("int"), F.lit(8) / F.col("a")])
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    assert [r.cells for r in cells.orderBy("c").collect()] == [["1", "", "", "7", "8.0"], ["0", "", "x", "", ""]]
