@@ -97,41 +97,44 @@ def with_variant_offers(products: DataFrame, offers: DataFrame) -> DataFrame:
     have, and empty ones, change nothing. Two aggregations by key with partial sums of a product's few offers, one join.
     """
     note = F.col("note") if "note" in offers.columns else F.lit(None)
-    known = offers.where(F.col("field").isin(*VARIANT_FIELDS)).select("product_id", variant_key(F.col("variant_id"), F.col("field")).alias("key"), "seq", F.col("value").cast("string").alias("value"), "source", note.cast("string").alias("note"))
-    by_key = known.groupBy("product_id", "key").agg(F.array_sort(F.collect_list(F.struct("seq", "value", "source", "note"))).alias("offers"))
-    told = by_key.groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "offers"))).alias("told"))
-    rows = products.join(told.withColumnRenamed("product_id", "id"), "id", "left")
-    names = F.array(*map(F.lit, VARIANT_FIELDS))
-    keys = F.flatten(F.transform("variants", lambda v: F.transform(names, lambda n: variant_key(v["id"], n))))
-    values = F.flatten(F.transform("variants", lambda v: F.array(*[v[c].cast("string") for c in VARIANT_FIELDS.values()])))
-    cells = F.arrays_zip(keys.alias("key"), values.alias("value"))
-    rows = rows.withColumn("cells", F.filter(cells, lambda c: F.map_contains_key("told", c["key"])))
-
-    def folded(c: Column) -> Column:
-        had = F.try_element_at("provenance", c["key"])
-        start = F.struct(F.nullif(c["value"], F.lit("unknown")).alias("value"), had["source"].alias("source"), rank_of(had["source"]).cast("int").alias("rank"), had["note"].alias("note"), had["conflict"]["other_source"].alias("other_source"), had["conflict"]["other_value"].alias("other_value")).cast(STATE)
-        return F.struct(c["key"].alias("key"), fold_offers(F.try_element_at("told", c["key"]), c["key"], start).alias("value"))
-
-    merged = F.coalesce(F.transform("cells", folded), F.array().cast(f"array<struct<key:string,value:{STATE}>>"))
-    rows = rows.withColumn("merged", F.map_from_entries(F.filter(merged, lambda e: e["value"]["source"].isNotNull())))
+    known = offers.where(F.col("field").isin(*VARIANT_FIELDS)).select("product_id", "variant_id", "field", "seq", F.col("value").cast("string").alias("value"), "source", note.cast("string").alias("note"))
+    by_key = known.groupBy("product_id", "variant_id", "field").agg(F.array_sort(F.collect_list(F.struct("seq", "value", "source", "note"))).alias("offers"))
+    by_variant = by_key.groupBy("product_id", "variant_id").agg(F.array_sort(F.collect_list(F.struct("field", "offers"))).alias("fields"))
+    told = by_variant.groupBy(F.col("product_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("variant_id", "fields"))).alias("told"))
+    rows = products.join(told, "id", "left")
     kinds = {f.name: f.dataType for f in products.schema["variants"].dataType.elementType.fields}
 
+    def folded(v: Column, x: Column) -> Column:
+        now = F.lit(None).cast("string")
+        for field, name in VARIANT_FIELDS.items():
+            now = F.when(x["field"] == field, v[name].cast("string")).otherwise(now)
+        key = variant_key(v["id"], x["field"])
+        had = F.try_element_at("provenance", key)
+        start = F.struct(F.nullif(now, F.lit("unknown")).alias("value"), had["source"].alias("source"), rank_of(had["source"]).cast("int").alias("rank"), had["note"].alias("note"), had["conflict"]["other_source"].alias("other_source"), had["conflict"]["other_value"].alias("other_value")).cast(STATE)
+        return F.struct(x["field"].alias("field"), key.alias("key"), fold_offers(x["offers"], x["field"], start).alias("state"))
+
+    # only variants and fields with offers cost anything
+    fold_kind = f"array<struct<field:string,key:string,state:{STATE}>>"
+    of_variant = lambda v: F.coalesce(F.filter(F.transform(F.try_element_at("told", v["id"]), lambda x: folded(v, x)), lambda m: m["state"]["source"].isNotNull()), F.array().cast(fold_kind))
+    rows = rows.withColumn("merged", F.when(F.col("told").isNotNull(), F.transform("variants", lambda v: F.struct(v.alias("v"), of_variant(v).alias("m")))))
     of_field = {name: field for field, name in VARIANT_FIELDS.items()}
 
-    def filled(v: Column) -> Column:
+    def filled(x: Column) -> Column:
         def cell(name: str) -> Column:
             if name not in of_field:
-                return v[name]
-            own = F.try_element_at("merged", variant_key(v["id"], F.lit(of_field[name])))
-            return F.when(own.isNotNull(), own["value"].try_cast(kinds[name])).otherwise(v[name])
+                return x["v"][name]
+            own = F.filter(x["m"], lambda m: m["field"] == of_field[name])
+            return F.when(F.size(own) > 0, F.get(own, F.lit(0))["state"]["value"].try_cast(kinds[name])).otherwise(x["v"][name])
 
-        return F.struct(*[cell(n).alias(n) for n in kinds])
+        return F.when(F.size(x["m"]) > 0, F.struct(*[cell(n).alias(n) for n in kinds])).otherwise(x["v"])
 
     conflict = lambda m: F.when(m["other_source"].isNotNull(), F.struct(m["other_source"].alias("other_source"), m["other_value"].alias("other_value")))
-    stamps = F.transform_values("merged", lambda _, m: F.struct(m["source"].alias("source"), confidence_of(m["source"]).alias("confidence"), m["note"].alias("note"), conflict(m).alias("conflict")))
-    kept = F.map_filter("provenance", lambda k, _: ~F.map_contains_key("merged", k))
-    changed = F.size("merged") > 0
-    out = rows.withColumn("variants", F.when(changed, F.transform("variants", filled)).otherwise(F.col("variants"))).withColumn("provenance", F.when(changed, F.map_concat(kept, stamps.cast(products.schema["provenance"].dataType))).otherwise(F.col("provenance")))
+    stamp = lambda m: F.struct(m["source"].alias("source"), confidence_of(m["source"]).alias("confidence"), m["note"].alias("note"), conflict(m).alias("conflict"))
+    rows = rows.withColumn("stamps", F.flatten(F.transform("merged", lambda x: F.transform(x["m"], lambda m: F.struct(m["key"].alias("key"), stamp(m["state"]).alias("value"))))))
+    keys = F.transform("stamps", lambda e: e["key"])
+    both = F.map_concat(F.map_filter("provenance", lambda k, _: ~F.array_contains(keys, k)), F.map_from_entries("stamps").cast(products.schema["provenance"].dataType))
+    changed = F.coalesce(F.size("stamps") > 0, F.lit(False))
+    out = rows.withColumn("variants", F.when(changed, F.transform("merged", filled)).otherwise(F.col("variants"))).withColumn("provenance", F.when(changed, both).otherwise(F.col("provenance")))
     return out.select(products.columns)
 
 

@@ -17,6 +17,7 @@ from ..functions.units import dimension_unit, unit_from_code, unit_from_html
 from ..functions.url import image_identity, normalize_url
 from ..schema import ATTRIBUTE, GOOGLE, IMAGE, OPTION_DEFINITION, PRODUCT, PROVENANCE, SEO, VARIANT, columns_of, confidence_of, field_names, rank_of, struct_of
 from ..sources import payloads as pay
+from ..storage import shared_folder
 from .extract import LAYERS, detect_platform, looks_like_product, needs_render, observed_variants, page_offers
 from .merge import GAP_FIELDS, featured_image, final_kind, fold_offers, option_definitions
 
@@ -199,11 +200,20 @@ def union_in_order(texts: Column) -> Column:
     return F.filter(trimmed, lambda t, i: F.array_position(keys, F.lower(t)) == i + 1)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows, behind a generator that no filter is pushed through.
+
+    A filter on a document's field would else be written out in all the expressions that the field is made of, each of them
+    standing in the next one several times: planning would take longer than the work.
+    """
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def assembled(rows: DataFrame) -> DataFrame:
     """Merged rows to product documents (schema.PRODUCT) and the outcome: ok, error_code, with product_id."""
     value = lambda f: F.try_element_at("merged", F.lit(f))["value"]
     split = lambda f: F.coalesce(union_in_order(F.flatten(F.transform(F.filter("offers", lambda o: o["field"] == f), lambda o: F.split(o["value"], ",")))), F.array().cast("array<string>"))
-    p = rows.withColumn("merged", merged_map(F.col("offers"))).withColumn("images", gallery(pictures(F.col("picture_lists"), F.coalesce(F.when(F.col("shop").isNotNull(), pay.shop_pictures(F.col("shop"))), pay.none_of(pay.PICTURE)), F.coalesce(F.when(F.col("store").isNotNull(), pay.store_pictures(F.col("store"))), pay.none_of(pay.PICTURE)), pay.form_pictures(F.col("form")), F.col("page_url"))))
+    p = settled(rows.withColumn("merged", merged_map(F.col("offers")))).withColumn("images", gallery(pictures(F.col("picture_lists"), F.coalesce(F.when(F.col("shop").isNotNull(), pay.shop_pictures(F.col("shop"))), pay.none_of(pay.PICTURE)), F.coalesce(F.when(F.col("store").isNotNull(), pay.store_pictures(F.col("store"))), pay.none_of(pay.PICTURE)), pay.form_pictures(F.col("form")), F.col("page_url"))))
     # a variant's picture takes the gallery's address for it, and the gallery tells which variants show it
     same = lambda url: F.get(F.filter("images", lambda i: image_identity(i["url"]) == image_identity(url)), F.lit(0))["url"]
     p = p.withColumn("variants", F.transform("variants", lambda v, i: v.withField("image_url", F.coalesce(same(v["image_url"]), v["image_url"])).withField("position", (i + 1).cast("int"))))
@@ -293,12 +303,14 @@ def pages_with_rendering(pages: DataFrame, rendered: DataFrame, mode: str = "aut
     """Pages to product documents, those that need a browser read again from what it rendered; adds was_rendered.
 
     rendered: rows (url, html), html null or blank where rendering failed. By mode auto, a page needs a browser if its
-    document is thin, it does not look like a product's page, or it is short; always and never speak for themselves. Only
-    pages that need it are read twice. One that was needed and is not there is noted, and keeps its first reading.
+    document is thin, it does not look like a product's page, or it is short; always and never speak for themselves. First
+    readings are written to the shared folder; only pages that need it are read twice. One that was needed and is not there is noted, and keeps its first reading.
     """
     first = pages_to_products(pages, endpoints, id_col=id_col, url_col=url_col, html_col=html_col)
     need = needs_render(F.coalesce(F.col("page_chars"), F.lit(0)), F.coalesce(F.col("looks_like_product"), F.lit(False)), F.coalesce(is_thin(), F.lit(True)), mode)
-    first = first.withColumn("needs", need)
+    at = shared_folder(pages.sparkSession)
+    first.withColumn("needs", need).write.parquet(at)  # read three times below, made once
+    first = pages.sparkSession.read.parquet(at)
     one = rendered.groupBy("url").agg(F.max(F.when(F.trim("html") != "", F.col("html"))).alias("rendered_html"))
     key = first.where("needs").select("product_id")
     again = pages.withColumn("_id", F.col(id_col).cast("string")).join(key.withColumnRenamed("product_id", "_id"), "_id", "left_semi").join(one.withColumnRenamed("url", url_col), url_col, "left")

@@ -67,14 +67,19 @@ def has_type(v: Column, name: str) -> Column:
 
 
 def text_of(v: Column, depth: int = 2) -> Column:
-    """Text of a value in any of its usual shapes: text or number, the first of a list, an object's name or value."""
-    kind = F.schema_of_variant(v)
-    number = F.regexp_replace(F.try_variant_get(v, "$", "double").cast("string"), r"\.0$", "")
-    out = F.when(kind == "STRING", clean_text(F.try_variant_get(v, "$", "string"))).when(kind == "BIGINT", F.try_variant_get(v, "$", "string")).when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), number)
-    if depth:
-        out = out.when(kind.startswith("ARRAY"), text_of(F.try_variant_get(v, "$[0]", "variant"), depth - 1))
-        out = out.when(kind.startswith("OBJECT"), F.coalesce(*[text_of(member(v, n), depth - 1) for n in ("name", "@value", "value", "url")]))
-    return out
+    """Text of a value in any of its usual shapes: text or number, the first of a list, the first of an object's name, value and url."""
+
+    def told(x: Column) -> Column:
+        v, kind = x["v"], x["kind"]
+        number = F.regexp_replace(F.try_variant_get(v, "$", "double").cast("string"), r"\.0$", "")
+        out = F.when(kind == "STRING", clean_text(F.try_variant_get(v, "$", "string"))).when(kind == "BIGINT", F.try_variant_get(v, "$", "string")).when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), number)
+        if depth:
+            # what a list or an object holds is looked at by one expression: the first item, or the first member that there is
+            inner = F.when(kind.startswith("ARRAY"), F.try_variant_get(v, "$[0]", "variant")).when(kind.startswith("OBJECT"), F.coalesce(*[member(v, n) for n in ("name", "@value", "value", "url")]))
+            out = F.coalesce(out, F.when(inner.isNotNull(), text_of(inner, depth - 1)))
+        return out
+
+    return let(F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind")), told)
 
 
 def addresses_of(v: Column) -> Column:

@@ -66,22 +66,22 @@ def state_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT p_partkey, 'Cafe ' || p_brand AS slug_source, 'cafe-' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug, 'Size Of ' || p_partkey AS attribute, p_brand || '&lt;' AS escaped, p_brand || '&quot;' AS escaped_attribute, 'Color' AS capital, CASE p_partkey % 3 WHEN 0 THEN 'p' || p_partkey WHEN 1 THEN NULL ELSE NULL END AS node_id,
- 'Due Date ' || p_partkey AS titled, CASE WHEN length(p_name) > 10 THEN substr(p_name, 1, 9) || '…' ELSE p_name END AS shortened, p_size || CASE WHEN p_size = 1 THEN ' part' ELSE ' parts' END AS counted, 'A' || p_partkey || 'é&#x110000;' AS decoded, '{"a":' || p_size || '}' AS json, 'price per unit' AS friendly, 'v' || p_partkey AS of_variant FROM part""")
+ 'Due Date ' || p_partkey AS titled, CASE WHEN length(p_name) > 10 THEN substr(p_name, 1, 9) || '…' ELSE p_name END AS shortened, p_size || CASE WHEN p_size = 1 THEN ' part' ELSE ' parts' END AS counted, 'A' || p_partkey || 'é&#x110000;' AS decoded, '{"a":' || p_size || '}' AS json, CASE p_partkey % 3 WHEN 0 THEN 'price per unit' WHEN 1 THEN 'google custom label' || p_partkey ELSE 'title' END AS friendly, 'v' || p_partkey AS of_variant FROM part""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ident = F.col("p_partkey").cast("string")
     k = F.col("p_partkey") % 3
     return table(spark, sf_dir, "part").select(
         "p_partkey", F.concat(F.lit("Cafe "), "p_brand").alias("slug_source"), tf.slugify(F.concat(F.lit("Café' "), "p_brand")).alias("slug"), tf.clean_attribute_name(F.concat(F.lit("attribute_pa_size-of_"), ident)).alias("attribute"), tf.escape_text(F.concat("p_brand", F.lit("<"))).alias("escaped"), tf.escape_text(F.concat("p_brand", F.lit('"')), True).alias("escaped_attribute"),
         tf.capitalise(F.lit("color")).alias("capital"), tf.id_of_node(F.when(k == 0, F.concat(F.lit("#p"), ident)).when(k == 1, F.concat(F.lit("https://s.com/"), ident)).otherwise("#")).alias("node_id"), tf.title_words(F.concat(F.lit("due_date-"), ident)).alias("titled"), tf.shortened(F.col("p_name"), 10).alias("shortened"), tf.counted(F.col("p_size"), "part").alias("counted"),
-        tf.decode_numeric(F.concat(F.lit("&#65;"), ident, F.lit("&#xE9;&#x110000;"))).alias("decoded"), tf.short_json(F.struct(F.col("p_size").alias("a"))).alias("json"), tf.friendly_field(F.concat(F.lit("variants[v"), ident, F.lit("].pricePerUnit"))).alias("friendly"), tf.variant_of_key(F.concat(F.lit("variants[v"), ident, F.lit("].price"))).alias("of_variant"),
+        tf.decode_numeric(F.concat(F.lit("&#65;"), ident, F.lit("&#xE9;&#x110000;"))).alias("decoded"), tf.short_json(F.struct(F.col("p_size").alias("a"))).alias("json"), tf.friendly_field(F.when(k == 0, F.concat(F.lit("variants[v"), ident, F.lit("].pricePerUnit"))).when(k == 1, F.concat(F.lit("google.customLabel"), ident)).otherwise("title")).alias("friendly"), tf.variant_of_key(F.concat(F.lit("variants[v"), ident, F.lit("].price"))).alias("of_variant"),
     )
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderdate AS t, o_orderdate + to_seconds((o_orderkey * 7919) % 40000000) AS now, (o_orderkey * 7919) % 40000000 AS s FROM orders)
 SELECT o_orderkey, strftime(t, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(date_part('millisecond', t)::BIGINT % 1000 AS VARCHAR), 3, '0') || 'Z' AS iso, strftime(t, '%Y-%m-%dT%H-%M-%S') AS stamp, strftime(t, '%-d %b %Y, %H:%M') AS shown, s * 1000 AS ms,
- CASE WHEN s < 45 THEN 'just now' WHEN s < 3600 THEN greatest(1, floor(s / 60.0 + 0.5))::BIGINT || ' minute' || CASE WHEN greatest(1, floor(s / 60.0 + 0.5)) = 1 THEN '' ELSE 's' END || ' ago' WHEN s < 86400 THEN greatest(1, floor(s / 3600.0 + 0.5))::BIGINT || ' hour' || CASE WHEN greatest(1, floor(s / 3600.0 + 0.5)) = 1 THEN '' ELSE 's' END || ' ago'
-  WHEN s < 604800 THEN greatest(1, floor(s / 86400.0 + 0.5))::BIGINT || ' day' || CASE WHEN greatest(1, floor(s / 86400.0 + 0.5)) = 1 THEN '' ELSE 's' END || ' ago' WHEN s < 2592000 THEN greatest(1, floor(s / 604800.0 + 0.5))::BIGINT || ' week' || CASE WHEN greatest(1, floor(s / 604800.0 + 0.5)) = 1 THEN '' ELSE 's' END || ' ago'
-  WHEN s < 31536000 THEN greatest(1, floor(s / 2592000.0 + 0.5))::BIGINT || ' month' || CASE WHEN greatest(1, floor(s / 2592000.0 + 0.5)) = 1 THEN '' ELSE 's' END || ' ago' ELSE greatest(1, floor(s / 31536000.0 + 0.5))::BIGINT || ' year' || CASE WHEN greatest(1, floor(s / 31536000.0 + 0.5)) = 1 THEN '' ELSE 's' END || ' ago' END AS age,
+ CASE WHEN s < 45 THEN 'just now' WHEN s < 60 THEN floor(s / 1.0 + 0.5)::BIGINT || ' second' || CASE WHEN floor(s / 1.0 + 0.5) = 1 THEN '' ELSE 's' END || ' ago' WHEN s < 3600 THEN floor(s / 60.0 + 0.5)::BIGINT || ' minute' || CASE WHEN floor(s / 60.0 + 0.5) = 1 THEN '' ELSE 's' END || ' ago' WHEN s < 86400 THEN floor(s / 3600.0 + 0.5)::BIGINT || ' hour' || CASE WHEN floor(s / 3600.0 + 0.5) = 1 THEN '' ELSE 's' END || ' ago'
+  WHEN s < 604800 THEN CASE WHEN floor(s / 86400.0 + 0.5) = 1 THEN 'yesterday' ELSE floor(s / 86400.0 + 0.5)::BIGINT || ' day' || CASE WHEN floor(s / 86400.0 + 0.5) = 1 THEN '' ELSE 's' END || ' ago' END WHEN s < 2629800 THEN CASE WHEN floor(s / 604800.0 + 0.5) = 1 THEN 'last week' ELSE floor(s / 604800.0 + 0.5)::BIGINT || ' week' || CASE WHEN floor(s / 604800.0 + 0.5) = 1 THEN '' ELSE 's' END || ' ago' END
+  WHEN s < 31557600 THEN CASE WHEN floor(s / 2629800.0 + 0.5) = 1 THEN 'last month' ELSE floor(s / 2629800.0 + 0.5)::BIGINT || ' month' || CASE WHEN floor(s / 2629800.0 + 0.5) = 1 THEN '' ELSE 's' END || ' ago' END ELSE CASE WHEN floor(s / 31557600.0 + 0.5) = 1 THEN 'last year' ELSE floor(s / 31557600.0 + 0.5)::BIGINT || ' year' || CASE WHEN floor(s / 31557600.0 + 0.5) = 1 THEN '' ELSE 's' END || ' ago' END END AS age,
  CASE WHEN o_orderkey < 1024 THEN o_orderkey || ' B' ELSE printf('%.1f', floor(o_orderkey / 1024.0 * 10 + 0.5) / 10) || ' KB' END AS size FROM o""")
 def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("t"), ((F.col("o_orderkey") * 7919) % 40000000).alias("s")).withColumn("now", F.expr("t + make_dt_interval(0, 0, 0, s)"))

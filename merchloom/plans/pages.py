@@ -32,7 +32,7 @@ def lanes_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lanes as a stream over the addresses of `pages`; all arrive at 0, and the watermark then passes every start."""
     pages = table(spark, sf_dir, "pages")
     at = shared_folder(spark)
-    rows = spark.readStream.schema(pages.schema).parquet(f"{sf_dir}/pages.parquet")
+    rows = spark.readStream.schema(pages.schema).parquet(f"{sf_dir}/pages.parquet*")
     end = F.timestamp_millis(F.lit(10**13))
     none = F.lit(None).cast("int")
     events = rows.select(F.lit("add").alias("kind"), F.col("page_id").cast("long").alias("ordinal"), "url", F.lit(0).cast("long").alias("at_ms"), none.alias("status"), none.alias("retry_after"), end.alias("t")).withWatermark("t", "0 seconds")
@@ -65,7 +65,7 @@ def inline_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- table functions -----------------------------------------------------------------------------------------------------
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
+@query("SELECT page_id, replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&amp;', '&') AS title FROM pages")
 def layer_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layer by its name, from SQL: what the head's layer reads as the pages' titles."""
     table_functions.register(spark)
@@ -172,7 +172,10 @@ def platform_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", d["platform"].alias("platform"), d["score"].cast("double").alias("score"))
 
 
-@query("SELECT page_id, 'https://' || split_part(url, '/', 3) || '/wp-json/wc/store/v1 https://' || split_part(url, '/', 3) || '/wp-json/wc/store https://' || split_part(url, '/', 3) || '/index.php?rest_route=/wc/store/v1' AS bases FROM pages")
+ORIGIN = "split_part(url, '/', 1) || '//' || split_part(url, '/', 3)"
+
+
+@query(f"SELECT page_id, concat_ws(' ', {ORIGIN} || '/wp-json/wc/store/v1', {ORIGIN} || '/wp-json/wc/store', {ORIGIN} || '/index.php?rest_route=/wc/store/v1') AS bases FROM pages")
 def store_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(payloads.store_api_bases(urlf.origin_of(F.col("url"))), " ").alias("bases"))
 

@@ -214,7 +214,12 @@ def post_offers(body: Column) -> Column:
     """Descriptions of a blog API's post (of a list the first); they matter where nothing else has any."""
     post = F.coalesce(F.when(body.rlike(r"^\s*\["), F.get(F.from_json(body, f"array<{WP_POST}>"), F.lit(0))), F.from_json(body, WP_POST))
     plain = lambda c: F.trim(decode_named(F.regexp_replace(c, r"<[^>]*>", "")))
-    return pairs({"descriptionHtml": post["content"]["rendered"], "descriptionText": plain(post["content"]["rendered"]), "shortDescriptionHtml": post["excerpt"]["rendered"], "shortDescriptionText": plain(post["excerpt"]["rendered"]), "title": plain(post["title"]["rendered"])})
+
+    def told(p: Column) -> Column:
+        content, excerpt = p["content"]["rendered"], p["excerpt"]["rendered"]
+        return pairs({"descriptionHtml": content, "descriptionText": plain(content), "shortDescriptionHtml": excerpt, "shortDescriptionText": plain(excerpt), "title": plain(p["title"]["rendered"])})
+
+    return F.element_at(F.transform(F.array(post), told), 1)
 
 
 def first_answer(answers: DataFrame, keys: tuple[str, ...] = ("product_id",)) -> DataFrame:
