@@ -119,30 +119,28 @@ def remainder(doc_id: Column, of: int) -> Column:
 
 #: Keys of rows without an id begin here, so that they come after all others.
 NO_ID = 1 << 62
-#: Ids from here on leave no room for 31 bits of hash below NO_ID.
-ID_LIMIT = 1 << 30
 
 
 def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "row_key") -> DataFrame:
-    """Adds a whole number that tells rows apart: the id or, where it is null, a hash of the text that comes after all ids.
+    """Adds a whole number that tells rows apart and keeps their order: by id, then by a hash of the text, rows without an id last.
 
-    Where some id has several texts, the key is the id and a hash of the text, ascending by the id; ids too wide for
-    that, and ids that are no whole numbers, are hashed with the text, and then the order of the ids is lost. Rows that
-    share both share their key. Whether ids repeat is counted over all rows, with one shuffle of ids.
+    Where no id has several texts, and ids are whole numbers, the key is the id itself, and for rows without one a hash of
+    the text that comes after all ids. Else it is the rank of (id, hash) among all of them: ids of any size and kind keep
+    their order, for the price of one range partitioning of ids and a join. Rows that share both share their key. Whether
+    ids repeat is counted over all rows, with one shuffle of ids.
     """
     text = F.xxhash64(text_col)
-    own = F.lit(NO_ID) + text.bitwiseAND(F.lit(NO_ID - 1))
-    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
-        return docs.withColumn(name, F.when(F.col(id_col).isNull(), own).otherwise(F.lit(NO_ID) + F.xxhash64(id_col, text_col).bitwiseAND(F.lit(NO_ID - 1))))
-    doc_id = F.col(id_col).cast("long")
-    ids = docs.where(F.col(id_col).isNotNull()).groupBy(doc_id.alias("id")).agg(F.min(text).alias("least"), F.max(text).alias("most"))
-    seen = ids.agg(F.max(F.col("least") < F.col("most")).alias("clash"), F.min("id").alias("low"), F.max("id").alias("high")).first()
-    if seen.clash:
-        if seen.low >= 0 and seen.high < ID_LIMIT:
-            doc_id = F.shiftleft(doc_id, 31) + text.bitwiseAND(F.lit((1 << 31) - 1))
-        else:
-            doc_id = F.when(doc_id.isNotNull(), F.lit(NO_ID) + F.xxhash64(doc_id, text_col).bitwiseAND(F.lit(NO_ID - 1)))
-    return docs.withColumn(name, F.coalesce(doc_id, own))
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole:
+        doc_id = F.col(id_col).cast("long")
+        ids = docs.where(F.col(id_col).isNotNull()).groupBy(doc_id.alias("id")).agg(F.min(text).alias("least"), F.max(text).alias("most"))
+        seen = ids.agg(F.max((F.col("least") < F.col("most")) | (F.col("id") >= NO_ID)).alias("clash")).first()
+        if not seen.clash:
+            return docs.withColumn(name, F.coalesce(doc_id, F.lit(NO_ID) + text.bitwiseAND(F.lit(NO_ID - 1))))
+    pairs = docs.select(F.lit(0).alias("_all"), F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id"), text.alias("_hash")).distinct()
+    places = ranked(pairs, "_all", ["_none", "_id", "_hash"], Shared(docs.sparkSession), "row_keys").select("_id", "_hash", F.col("place").alias(name))
+    keyed = docs.withColumn("_text", text)
+    return keyed.join(places, keyed[id_col].eqNullSafe(places["_id"]) & (keyed["_text"] == places["_hash"])).drop("_id", "_hash", "_text")
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

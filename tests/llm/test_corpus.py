@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from merchloom.llm import context_tree, decontamination, html_extraction, license_scan, mixing, near_dedup, quality_rules, suffix_dedup, token_counts, toxicity
+from merchloom.llm.common import row_keys
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, score string, n_words string"
 PASSAGE = " ".join(f"pass{i}" for i in range(40))
@@ -324,6 +325,37 @@ def test_near_groups_lose_no_link(spark):
         assert {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, deviations=deviations).collect()} == comp
 
 
+@pytest.mark.parametrize("add", [0, 1 << 30, 1 << 40, (1 << 62) - 10])
+def test_order_of_ids_of_any_size(spark, add):
+    """One id with two texts changes nothing for the others: the least id keeps its passage, whatever its size."""
+    texts = [(5 + add + i, PASSAGE) for i in range(10)] + [(70 + add, "own words"), (70 + add, "other words")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    cut = {r.doc_id: r.n_removed for r in suffix_dedup.repeated_bytes(docs).where("n_bytes > 100").collect()}
+    assert cut == {5 + add + i: len(PASSAGE) if i else 0 for i in range(10)}
+    assert {r.component_id for r in near_dedup.near_groups(docs, shingle=4).where("n_shingles = 37").collect()} == {5 + add}
+
+
+def test_row_keys_of_other_ids(spark):
+    """Ids that are no whole numbers keep their order too; rows without one come last."""
+    rows = [("b", "x"), ("a", "z"), ("a", "y"), ("a", "y"), (None, "n"), ("c", None)]
+    got = row_keys(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == 6 and len({r.row_key for r in got}) == 5
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.row_key)] == ["a", "a", "a", "b", "c", None]
+
+
+def test_mixing_equals_sql(spark, docs):
+    """The contract's columns, row by row, as DuckDB gives them; each shard's words and copies add up to what is taken."""
+    import duckdb
+
+    rows = [(r.doc_id, r.text, r.source) for r in docs.where("doc_id IS NOT NULL AND doc_id <> 2").collect()]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": [r[2] for r in rows]}))
+    want = sorted((i, n, s, round(t, 6), k) for i, n, s, t, k in con.execute(mixing.SQL).fetchall())
+    got = mixing.mix_sources(docs.where("doc_id IS NOT NULL AND doc_id <> 2")).collect()
+    assert sorted((r.doc_id, r["size"], r.source_size, round(r.target, 6), r.taken) for r in got) == want
+    assert all(len(r.shards) * r["size"] == r.taken and all(0 <= s < 2**mixing.LEVELS for s in r.shards) for r in got)
+
+
 def test_repeated_bytes_of_shared_ids(spark):
     docs = spark.createDataFrame(shared_ids(), "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffix_dedup.repeated_bytes(docs).collect())
