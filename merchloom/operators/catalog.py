@@ -18,8 +18,8 @@ def product_index(products: DataFrame) -> DataFrame:
     return products.select("id", "ordinal", "project_id", "category_id", "title", "source_url", "kind", "price", "currency", "scraped_at", F.size("variants").alias("variant_count"), F.size("images").alias("image_count"), skus.alias("skus"), *own)
 
 
-def product_list(index: DataFrame, issues: DataFrame, project_id: str | None = None, category_id: str | None = None, kind: str | None = None, search: str | None = None, needs_review: bool = False, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of products, newest first, with their worst severity and number of issues. Null filters do not filter."""
+def product_matches(index: DataFrame, project_id: str | None = None, category_id: str | None = None, kind: str | None = None, search: str | None = None) -> DataFrame:
+    """The rows that a list has, in no order; what its pages are counted by. Null filters do not filter."""
     # a category of None, like the other two, does not filter; a product without a category is in no category's list
     for column, value in (("project_id", project_id), ("category_id", category_id), ("kind", kind)):
         if value is not None:
@@ -27,6 +27,12 @@ def product_list(index: DataFrame, issues: DataFrame, project_id: str | None = N
     if search:
         needle = search.lower()
         index = index.where(F.lower("title").contains(needle) | F.lower("source_url").contains(needle) | F.exists("skus", lambda s: F.lower(s).contains(needle)))
+    return index
+
+
+def product_list(index: DataFrame, issues: DataFrame, project_id: str | None = None, category_id: str | None = None, kind: str | None = None, search: str | None = None, needs_review: bool = False, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of products, newest first, with their worst severity and number of issues."""
+    index = product_matches(index, project_id, category_id, kind, search)
     state = worst(issues, unacknowledged=False).withColumnRenamed("product_id", "id")
     out = index.join(state, "id", "left").withColumn("worst_severity", severity_label(F.col("worst_rank"))).withColumn("issue_count", F.coalesce("n_issues", F.lit(0)))
     if needs_review:

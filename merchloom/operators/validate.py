@@ -16,6 +16,7 @@ from ..functions.text import describe_options, friendly_field, malformed_html, o
 from ..functions.units import dimension_unit, weight_unit
 from ..functions.url import duplicate_key
 from ..schema import severity_rank
+from ..storage import has_shared_folder, shared_folder
 
 FINDING = "struct<code:string,rule_id:string,severity:string,variant_id:string,field:string,observed:string,message:string>"
 
@@ -242,25 +243,42 @@ RULES = [
 ]
 
 
+def _found(target: str, rules: list[Rule]) -> Column:
+    return F.concat(*[c for rule in rules for c in rule.findings(target)])
+
+
 def product_findings(products: DataFrame, target: str = "shopify", rules: list[Rule] | None = None) -> DataFrame:
     """Findings of the rules on single products: one pass, one explode, no shuffle."""
-    found = F.concat(*[c for rule in (rules or RULES) for c in rule.findings(target)])
-    rows = products.select(F.col("id").alias("product_id"), "ordinal", F.posexplode(found).alias("n", "f"))
-    return rows.select("product_id", "ordinal", "n", "f.*")
+    return _exploded(products.select(F.col("id").alias("product_id"), "ordinal", _found(target, rules or RULES).alias("found")))
 
 
-def duplicate_findings(products: DataFrame, target: str = "shopify") -> DataFrame:
-    """All but the first product of one address or handle, and all but the first use of a SKU that two products have.
+def _exploded(rows: DataFrame) -> DataFrame:
+    return rows.select("product_id", "ordinal", F.posexplode("found").alias("n", "f")).select("product_id", "ordinal", "n", "f.*")
+
+
+def _uses() -> Column:
+    """A product's keys that others may have too: its address and handle, its own SKU and its variants'."""
+
 
-    A third of all rows may share one key: only the first by order and the number of products are computed for each
-    key, by partial aggregation, and joined back; no key's rows are gathered in one task.
-    """
     key = lambda kind, at, variant, value: F.struct(F.lit(kind).alias("kind"), F.lit(at).cast("int").alias("at") if isinstance(at, int) else at.cast("int").alias("at"), variant.cast("string").alias("variant_id"), value.alias("key"))
     sku = lambda x: F.nullif(F.lower(F.trim(x)), F.lit(""))
     handle = F.nullif(F.lower(F.coalesce("handle", slugify_ascii(F.coalesce("title", F.lit(""))))), F.lit(""))
     own = F.array(key("url", 0, _null(), duplicate_key(F.col("source_url"))), key("handle", 0, _null(), handle), key("sku", 0, _null(), sku(F.col("sku"))))
     uses = F.concat(own, F.transform("variants", lambda v, i: key("sku", i + 1, v["id"], sku(v["sku"]))))
-    rows = products.select(F.col("id").alias("product_id"), "ordinal", F.explode(F.filter(uses, lambda u: u["key"].isNotNull())).alias("u")).select("product_id", "ordinal", "u.*")
+    return F.filter(uses, lambda u: u["key"].isNotNull())
+
+
+def duplicate_findings(products: DataFrame, target: str = "shopify") -> DataFrame:
+    """All but the first product of one address or handle, and all but the first use of a SKU that two products have.
+
+    A third of all rows may share one key: only the first by order and the number of products are computed for each
+    key, by partial aggregation, and joined back; no key's rows are gathered in one task.
+    """
+    return _duplicates(products.select(F.col("id").alias("product_id"), "ordinal", _uses().alias("uses")), target)
+
+
+def _duplicates(rows: DataFrame, target: str) -> DataFrame:
+    rows = rows.select("product_id", "ordinal", F.explode("uses").alias("u")).select("product_id", "ordinal", "u.*")
     place = F.struct("ordinal", "product_id", "at")
     first = rows.groupBy("kind", "key").agg(F.min(place).alias("first"), F.min("product_id").alias("a"), F.max("product_id").alias("b"))
     # a key that one row has needs no second look; a SKU must be that of two products
@@ -274,27 +292,51 @@ def duplicate_findings(products: DataFrame, target: str = "shopify") -> DataFram
     )
 
 
+def _parents() -> Column:
+    """A product's variants with the parent that each of them names."""
+    return F.transform("variants", lambda v: F.struct(v["id"].alias("variant_id"), v["parent_id"].alias("parent_id"), _name(v).alias("name")))
+
+
 def orphan_findings(products: DataFrame) -> DataFrame:
     """Variants whose parent is none of the products: an anti-join."""
-    variants = products.select(F.col("id").alias("product_id"), "ordinal", F.explode("variants").alias("v")).select("product_id", "ordinal", F.col("v.id").alias("variant_id"), F.col("v.parent_id").alias("parent_id"), _name(F.col("v")).alias("name"))
-    ids = products.select(F.col("id").alias("parent_id")).distinct()
+    return _orphans(products.select(F.col("id").alias("product_id"), "ordinal", _parents().alias("parents")))
+
+
+def _orphans(rows: DataFrame) -> DataFrame:
+    variants = rows.select("product_id", "ordinal", F.explode("parents").alias("v")).select("product_id", "ordinal", "v.*")
+    ids = rows.select(F.col("product_id").alias("parent_id")).distinct()
     lost = variants.join(ids, "parent_id", "left_anti")
     return lost.select("product_id", "ordinal", F.lit(1_000_001).alias("n"), F.lit("VAL-48").alias("code"), F.lit("orphan-variants").alias("rule_id"), F.lit("CRITICAL").alias("severity"), "variant_id", F.lit("parent_id").alias("field"), F.col("parent_id").alias("observed"), _says("Variant ", F.col("name"), " belongs to a product that does not exist.").alias("message"))
 
 
-def validate(products: DataFrame, target: str = "shopify", rules: list[Rule] | None = None) -> DataFrame:
+def _fault(products: DataFrame, target: str, rules: list[Rule]) -> str | None:
+    """Why rules cannot be built on these products, or None."""
+    try:
+        products.select(_found(target, rules))
+    except Exception as error:
+        return str(error).split("\n")[0][:200]
+    return None
+
+
+def validate(products: DataFrame, target: str = "shopify", rules: list[Rule] | None = None, store: bool | None = None) -> DataFrame:
     """All findings: product_id, ordinal, n, code, rule_id, severity, variant_id, field, observed, message, acknowledged.
 
-    A rule that cannot be built becomes an INFO finding (VAL-49) on every product instead of ending the run.
+    A rule that cannot be built becomes an INFO finding (VAL-49) on every product instead of ending the run. With store, what
+    the rules give of each product is written to the shared folder first, so that making the documents is done once and
+    not by each kind of rule; by default where there is such a folder.
     """
-    safe, broken = [], []
-    for rule in rules or RULES:
-        try:
-            products.select(F.concat(*rule.findings(target)))
-            safe.append(rule)
-        except Exception as error:
-            broken.append((rule, str(error).split("\n")[0][:200]))
-    out = product_findings(products, target, safe).unionByName(duplicate_findings(products, target)).unionByName(orphan_findings(products))
+    safe, broken = list(rules or RULES), []
+    if _fault(products, target, safe):  # some rule, then: which one is looked for
+        faults = [(rule, _fault(products, target, [rule])) for rule in safe]
+        safe, broken = [r for r, why in faults if not why], [(r, why) for r, why in faults if why]
+    found = _found(target, safe) if safe else F.array().cast(f"array<{FINDING}>")
+    rows = products.select(F.col("id").alias("product_id"), "ordinal", found.alias("found"), _uses().alias("uses"), _parents().alias("parents"))
+    spark = products.sparkSession
+    if store if store is not None else has_shared_folder(spark):
+        at = shared_folder(spark)
+        rows.write.parquet(at)  # the documents are made once; each kind of rule reads its own column
+        rows = spark.read.parquet(at)
+    out = _exploded(rows).unionByName(_duplicates(rows, target)).unionByName(_orphans(rows))
     for rule, why in broken:
         failed = _finding("VAL-49", rule.id, "INFO", f"The rule could not run: {why}.")
         out = out.unionByName(products.select(F.col("id").alias("product_id"), "ordinal", F.lit(0).alias("n"), failed.alias("f")).select("product_id", "ordinal", "n", "f.*"))

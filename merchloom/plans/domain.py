@@ -94,11 +94,12 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select(*[given.get(n, F.col(n) if n in flat.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
 
 
-def cte() -> str:
-    """The same tables for DuckDB: p, v, img."""
-    return (
-        f"p AS MATERIALIZED ({PRODUCTS.format(part='part')}), v AS MATERIALIZED ({VARIANTS.format(lineitem='lineitem')}), "
-        f"img AS MATERIALIZED (SELECT id AS product_id, i, {IMAGE_URL} AS url FROM (SELECT *, unnest(range(1, n_images + 1)) AS i FROM p)), "
-        "vo AS MATERIALIZED (SELECT *, concat_ws('|', 'flag=' || lower(flag), 'status=' || lower(status)) AS sig, coalesce(nullif(concat_ws(' / ', flag, status), ''), 'default') AS told FROM v), "
-        "n AS MATERIALIZED (SELECT p.id, count(v.id) AS n FROM p LEFT JOIN v ON v.product_id = p.id GROUP BY p.id)"
-    )
+def cte(*names: str) -> str:
+    """The same tables for DuckDB: p, v, img, vo and n, or those of them that are named."""
+    tables = {
+        "p": PRODUCTS.format(part="part"), "v": VARIANTS.format(lineitem="lineitem"),
+        "img": f"SELECT id AS product_id, i, {IMAGE_URL} AS url FROM (SELECT *, unnest(range(1, n_images + 1)) AS i FROM p)",
+        "vo": "SELECT *, concat_ws('|', 'flag=' || lower(flag), 'status=' || lower(status)) AS sig, coalesce(nullif(concat_ws(' / ', flag, status), ''), 'default') AS told FROM v",
+        "n": "SELECT p.id, count(v.id) AS n FROM p LEFT JOIN v ON v.product_id = p.id GROUP BY p.id",
+    }
+    return ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in tables.items() if not names or name in names)

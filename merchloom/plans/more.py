@@ -111,13 +111,14 @@ def issue_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.severity_columns(required_issues(products(spark, sf_dir))).drop("worst_rank")
 
 
-@query(f"WITH {cte()}, {ISSUES} SELECT product_id, severity, row_number() OVER (ORDER BY {RANK} DESC, product_id::BIGINT, severity) AS place FROM i WHERE severity <> 'WARNING' AND product_id::BIGINT % 5 = 0")
+@query(f"WITH {cte()}, {ISSUES} SELECT product_id, severity, row_number() OVER (ORDER BY {RANK} DESC, product_id::BIGINT, severity) AS place FROM i ORDER BY place LIMIT 500")
 def issues_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order itself as a column: a global rank, for which the small result is ordered in one place."""
+    """The order as a column, over the first 500 of all findings: a bounded head, whose places are then counted."""
     from pyspark.sql import Window
 
-    found = required_issues(products(spark, sf_dir)).where("severity <> 'WARNING' AND CAST(product_id AS BIGINT) % 5 = 0")
-    return validate.ordered(found).withColumn("place", F.row_number().over(Window.orderBy(F.desc(validate.severity_rank(F.col("severity"))), "ordinal", "severity"))).select("product_id", "severity", F.col("place").cast("long").alias("place"))
+    head = validate.ordered(required_issues(products(spark, sf_dir)).withColumn("n", F.col("severity"))).limit(500)
+    place = F.row_number().over(Window.orderBy(F.desc(validate.severity_rank(F.col("severity"))), "ordinal", "severity"))
+    return head.select("product_id", "severity", place.cast("long").alias("place"))
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 <> 0")
@@ -158,9 +159,9 @@ def product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = catalog.product_index(products(spark, sf_dir)).withColumn("title", F.lit(None).cast("string")).withColumn("source_url", F.lit(None).cast("string"))
     none = spark.createDataFrame([], "product_id string, severity string, acknowledged boolean")
     # SKUs of the product itself begin with P, so that only its variants' can match
-    found = lambda limit, offset: catalog.product_list(index, none, project_id="p1", category_id="Brand#11", kind="variable", search="S1", limit=limit, offset=offset)
-    total = found(2**31 - 1, 0).agg(F.count("*").alias("total"))
-    return found(20, 5).select("id").join(F.broadcast(total))
+    wanted = {"project_id": "p1", "category_id": "Brand#11", "kind": "variable", "search": "S1"}
+    total = catalog.product_matches(index, **wanted).agg(F.count("*").alias("total"))
+    return catalog.product_list(index, none, **wanted, limit=20, offset=5).select("id").join(F.broadcast(total))
 
 
 # ---- joins and updates ---------------------------------------------------------------------------------------------------
@@ -422,13 +423,13 @@ def images_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- more columns of the export files -------------------------------------------------------------------------------------
 FACTOR = "CASE {} WHEN 'kg' THEN 1000.0 WHEN 'lbs' THEN 453.59237 WHEN 'stone' THEN NULL ELSE 1.0 END"
 SHOP_FROM = SHOP_ROWS[: SHOP_ROWS.index("SELECT p.id AS product_id, k AS idx")]
-SHOP_VALUES = f"""{SHOP_FROM}, f AS (SELECT product_id, flag, status FROM v WHERE position = 1)
+SHOP_VALUES = f"""{SHOP_FROM}, f AS MATERIALIZED (SELECT product_id, flag, status FROM v WHERE position = 1)
 SELECT p.id AS product_id, k AS idx, CASE WHEN k = 0 THEN coalesce(title, '') ELSE '' END AS title, CASE WHEN k = 0 THEN coalesce(description_html, '') ELSE '' END AS body, CASE WHEN k = 0 THEN brand ELSE '' END AS vendor, CASE WHEN k = 0 THEN coalesce(category_path, '') ELSE '' END AS category,
  CASE WHEN k = 0 THEN coalesce(category_path, source_product_type, '') ELSE '' END AS type, CASE WHEN k = 0 THEN 'TRUE' ELSE '' END AS published, CASE WHEN k = 0 THEN 'active' ELSE '' END AS status,
  coalesce(CASE WHEN k >= greatest(nv, 1) THEN '' WHEN nv = 0 THEN floor(floor(p.weight * ({FACTOR.format('p.weight_unit')}) * 1000 + 0.5) / 1000 + 0.5)::BIGINT::VARCHAR ELSE floor(v.weight + 0.5)::BIGINT::VARCHAR END, '') AS grams, CASE WHEN v.inventory_quantity IS NOT NULL THEN 'shopify' ELSE '' END AS tracker,
  CASE WHEN k = 0 THEN coalesce(CASE WHEN n_axes > 0 THEN 'Flag' WHEN f.flag IS NOT NULL THEN 'Flag' WHEN f.status IS NOT NULL THEN 'Status' WHEN nv <= 1 THEN 'Title' END, '') ELSE '' END AS option1_name, CASE WHEN k = 0 THEN coalesce(seo_title, '') ELSE '' END AS seo_title, CASE WHEN k = 0 THEN coalesce(title, '') ELSE '' END AS seo_description,
  coalesce(v.image_url, '') AS variant_image, CASE WHEN k < greatest(nv, 1) THEN 'TRUE' ELSE '' END AS shipping, CASE WHEN k < greatest(nv, 1) THEN 'manual' ELSE '' END AS fulfilment, CASE WHEN k = 0 THEN 'FALSE' ELSE '' END AS gift, '' AS condition
-FROM r p LEFT JOIN v ON v.product_id = p.id AND v.position = k + 1 LEFT JOIN f ON f.product_id = p.id"""
+FROM r p LEFT JOIN vk v ON v.key = p.key LEFT JOIN f ON f.product_id = p.id"""
 
 
 @query(SHOP_VALUES)
@@ -438,7 +439,7 @@ def export_shopify_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{SHOP_FROM} SELECT p.id AS product_id, k AS idx, {HANDLE} AS handle, coalesce((CASE WHEN nv = 0 AND k = 0 THEN p.price ELSE v.price END)::DECIMAL(18,2)::VARCHAR, '') AS price, coalesce(v.inventory_quantity::VARCHAR, '') AS quantity, CASE WHEN k < greatest(nv, 1) THEN 'TRUE' ELSE '' END AS tax, '' AS goes_on, CASE WHEN k < greatest(nv, 1) THEN coalesce(v.weight_unit, CASE WHEN nv = 0 THEN p.weight_unit END, '') ELSE '' END AS unit
-FROM r p LEFT JOIN v ON v.product_id = p.id AND v.position = k + 1""")
+FROM r p LEFT JOIN vk v ON v.key = p.key""")
 def export_modern_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir, ExportOptions(profile="shopify-2024"), {"handle": "URL handle", "price": "Price", "quantity": "Inventory quantity", "tax": "Charge tax", "goes_on": "Continue selling when out of stock", "unit": "Weight unit for display"}).drop("row_type")
 

@@ -506,14 +506,15 @@ def export_skip_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HANDLE = "coalesce(nullif(trim(handle), ''), nullif(trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g'), '-'), ''), p.id)"
-SHOP_ROWS = f"""WITH {cte()}, m AS MATERIALIZED (SELECT p.id, greatest(CASE WHEN n.n = 0 THEN 1 ELSE n.n END, n_images) AS m FROM p JOIN n USING (id)),
-o AS MATERIALIZED (SELECT product_id, url, row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN i = 2 THEN 0 ELSE 1 END, i) AS pos FROM img),
-r AS MATERIALIZED (SELECT p.*, n.n AS nv, unnest(range(0, m.m)) AS k FROM p JOIN m USING (id) JOIN n USING (id))
+SHOP_ROWS = f"""WITH {cte('p', 'v', 'img')}, vk AS MATERIALIZED (SELECT *, product_id || ':' || position AS key, count(*) OVER (PARTITION BY product_id) AS n FROM v),
+n AS MATERIALIZED (SELECT product_id AS id, max(n) AS n FROM vk GROUP BY product_id),
+o AS MATERIALIZED (SELECT product_id, url, pos, product_id || ':' || pos AS key FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN i = 2 THEN 0 ELSE 1 END, i) AS pos FROM img)),
+r AS MATERIALIZED (SELECT *, id || ':' || (k + 1) AS key FROM (SELECT p.*, coalesce(n.n, 0) AS nv, unnest(range(0, greatest(coalesce(n.n, 0), 1, n_images))) AS k FROM p LEFT JOIN n USING (id)))
 SELECT p.id AS product_id, k AS idx, CASE WHEN k = 0 THEN 'primary' WHEN k < greatest(nv, 1) THEN 'variant' ELSE 'image' END AS row_type, {HANDLE} AS handle, coalesce(CASE WHEN nv = 0 AND k = 0 THEN p.sku ELSE v.sku END, '') AS sku,
  coalesce((CASE WHEN nv = 0 AND k = 0 THEN p.price ELSE v.price END)::DECIMAL(18,2)::VARCHAR, '') AS price, coalesce(v.compare_at_price::DECIMAL(18,2)::VARCHAR, '') AS compare, coalesce(v.inventory_quantity::VARCHAR, '') AS quantity,
  CASE WHEN k >= greatest(nv, 1) OR v.inventory_quantity IS NULL THEN '' ELSE 'deny' END AS policy, coalesce(o.url, '') AS image, coalesce(o.pos::VARCHAR, '') AS image_position,
  CASE WHEN k >= greatest(nv, 1) THEN '' ELSE coalesce(v.flag, v.status, CASE WHEN nv <= 1 THEN 'Default Title' END, '') END AS option1_value
-FROM r p LEFT JOIN v ON v.product_id = p.id AND v.position = k + 1 LEFT JOIN o ON o.product_id = p.id AND o.pos = k + 1"""
+FROM r p LEFT JOIN vk v ON v.key = p.key LEFT JOIN o ON o.key = p.key"""
 
 
 def _cells(spark: SparkSession, sf_dir: str, options: ExportOptions, wanted: dict[str, str]) -> DataFrame:
@@ -548,10 +549,10 @@ def export_woo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir, ExportOptions(profile="woocommerce-default"), {"type": "Type", "sku": "SKU", "parent": "Parent", "name": "Name", "in_stock": "In stock?"})
 
 
-NUM = "coalesce(regexp_replace(regexp_replace({}::DECIMAL(24,6)::VARCHAR, '0+$', ''), '\\.$', ''), '')"
+NUM = "coalesce(rtrim(rtrim({}::DECIMAL(24,6)::VARCHAR, '0'), '.'), '')"
 
 
-@query(f"WITH {cte()}, r AS (SELECT p.id FROM p JOIN n USING (id) WHERE p.kind = 'variable' OR n.n > 1) SELECT v.product_id, position AS idx, {NUM.format('CASE WHEN compare_at_price > price THEN compare_at_price ELSE price END')} AS regular, {NUM.format('CASE WHEN compare_at_price > price THEN price END')} AS sale FROM v JOIN r ON r.id = v.product_id")
+@query(f"WITH {cte('p', 'v')}, w AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY product_id) AS n FROM v) SELECT v.product_id, position AS idx, {NUM.format('(CASE WHEN v.compare_at_price > v.price THEN v.compare_at_price ELSE v.price END)')} AS regular, {NUM.format('(CASE WHEN v.compare_at_price > v.price THEN v.price END)')} AS sale FROM w v JOIN p ON p.id = v.product_id WHERE p.kind = 'variable' OR v.n > 1")
 def export_woo_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _cells(spark, sf_dir, ExportOptions(profile="woocommerce-default"), {"regular": "Regular price", "sale": "Sale price"})
     return out.where("row_type = 'variant'").select("product_id", "idx", "regular", "sale")

@@ -17,3 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="merchloom-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/merchloom-{uuid.uuid4().hex}"
+
+
+def has_shared_folder(spark: SparkSession) -> bool:
+    """Whether shared_folder has a place to give."""
+    return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()) or spark.sparkContext.master.startswith("local[")
