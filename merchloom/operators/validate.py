@@ -48,6 +48,11 @@ def _each(variants: Column, condition: Callable[[Column, Column], Column], findi
     return F.coalesce(hit, F.array().cast(f"array<{FINDING}>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _blank(c: Column) -> Column:
     return c.isNull() | (c == "")
 
@@ -118,7 +123,8 @@ def _integrity(target: str) -> list[Column]:
     several = F.size(vs) > 1
     signatures = F.transform(vs, lambda v: option_signature(v["options"]))
     skus = F.transform(vs, lambda v: F.lower(v["sku"]))
-    prior = lambda v: F.array_position(skus, F.lower(v["sku"]))
+    # signatures and SKUs are made once for a product, not again for each of its variants
+    prior = lambda known, v: F.array_position(known, F.lower(v["sku"]))
     axes = F.transform("options", lambda o: F.lower(o["name"]))
     have = lambda v: F.transform(v["options"], lambda o: F.lower(o["name"]))
     missing = lambda v: F.filter(axes, lambda a: ~F.array_contains(have(v), a))
@@ -127,8 +133,8 @@ def _integrity(target: str) -> list[Column]:
     return [
         _each(vs, lambda v, i: ~v["parent_id"].eqNullSafe(V("id")), lambda v, i: _finding("VAL-13", r, "CRITICAL", say(v, " belongs to another product."), "parent_id", v["parent_id"], v["id"])),
         _each(vs, lambda v, i: several & (option_signature(v["options"]) == ""), lambda v, i: _finding("VAL-14", r, "ERROR", "A variant among several has no option values.", "options", None, v["id"])),
-        _each(vs, lambda v, i: several & (option_signature(v["options"]) != "") & (F.array_position(signatures, option_signature(v["options"])) < i + 1), lambda v, i: _finding("VAL-15", r, "ERROR", _says("Two variants are both ", _name(v), "."), "options", option_signature(v["options"]), v["id"])),
-        _each(vs, lambda v, i: ~_blank(v["sku"]) & (prior(v) < i + 1), lambda v, i: _finding("VAL-16", r, "CRITICAL", _says("SKU ", v["sku"], " stands for ", _name(F.get(vs, (prior(v) - 1).cast("int"))), " and for ", _name(v), "."), "sku", v["sku"], v["id"])),
+        let(signatures, lambda known: _each(vs, lambda v, i: several & (F.get(known, i) != "") & (F.array_position(known, F.get(known, i)) < i + 1), lambda v, i: _finding("VAL-15", r, "ERROR", _says("Two variants are both ", _name(v), "."), "options", option_signature(v["options"]), v["id"]))),
+        let(skus, lambda known: _each(vs, lambda v, i: ~_blank(v["sku"]) & (prior(known, v) < i + 1), lambda v, i: _finding("VAL-16", r, "CRITICAL", _says("SKU ", v["sku"], " stands for ", _name(F.get(vs, (prior(known, v) - 1).cast("int"))), " and for ", _name(v), "."), "sku", v["sku"], v["id"]))),
         _each(vs, lambda v, i: v["price"].isNull(), lambda v, i: _finding("VAL-17", r, "ERROR", say(v, " has no price."), "price", None, v["id"])),
         _each(vs, lambda v, i: v["price"] < 0, lambda v, i: _finding("VAL-18", r, "ERROR", say(v, " has a price below zero."), "price", v["price"], v["id"])),
         _each(vs, lambda v, i: v["compare_at_price"] <= v["price"], lambda v, i: _finding("VAL-19", r, "WARNING", say(v, " has a former price that is not higher."), "compare_at_price", _says(v["compare_at_price"], " vs ", v["price"]), v["id"])),
