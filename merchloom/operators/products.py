@@ -254,7 +254,7 @@ def assembled(rows: DataFrame) -> DataFrame:
     cast = lambda c, kind: c.cast("boolean") if kind == "boolean" else c.try_cast(kind)
     cells = [(given[n] if n in given else cast(value(flat[n]), k)).cast(k).alias(n) for n, k in columns_of(PRODUCT).items()]
     ok = F.coalesce(F.trim(value("title")) != "", F.lit(False))
-    return p.select("product_id", *cells, ok.alias("ok"), F.when(~ok, "NO_PRODUCT").alias("error_code"), (F.col("page_product") == "true").alias("looks_like_product"), F.col("page_chars").try_cast("long").alias("page_chars"))
+    return settled(p.select("product_id", *cells, ok.alias("ok"), F.when(~ok, "NO_PRODUCT").alias("error_code"), (F.col("page_product") == "true").alias("looks_like_product"), F.col("page_chars").try_cast("long").alias("page_chars")))
 
 
 def _camel(name: str) -> str:

@@ -322,7 +322,7 @@ def export_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- pages made from parts ---------------------------------------------------------------------------------------------------
 PAGE = """'<html><head><title>' || p_name || ' | Shop</title><meta property="og:title" content="' || p_brand || '"><meta property="og:image" content="/img/' || p_partkey || '-1_300x300.jpg"><meta property="product:price:amount" content="$' || CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS STRING) || '">'
- || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '<script type="application/ld+json">{"@graph":[{"@type":"' || CASE WHEN p_partkey % 2 = 0 THEN 'ProductGroup' ELSE 'Product' END || '","name":"' || p_name || '","sku":"K' || p_partkey || '","brand":{"name":"' || p_brand || '"},"image":["https://s.example/img/' || p_partkey || '-1.jpg","https://s.example/img/' || p_partkey || '-2.jpg"]'
+ || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '<script type="application/ld+json">{"@graph":[{"@type":"' || CASE WHEN p_partkey % 2 = 0 THEN 'ProductGroup' ELSE 'Product' END || '","name":"L ' || p_name || '","sku":"K' || p_partkey || '","brand":{"name":"' || p_brand || '"},"image":["https://s.example/img/' || p_partkey || '-1.jpg","https://s.example/img/' || p_partkey || '-2.jpg"]'
  || CASE WHEN p_partkey % 2 = 0 THEN ',"variesBy":["https://schema.org/size"],"hasVariant":[{"sku":"K' || p_partkey || '-S","size":"S","image":"https://s.example/img/' || p_partkey || '-2.jpg?v=1","offers":{"price":"' || p_size || '.50","priceCurrency":"EUR","availability":"https://schema.org/InStock"}},{"sku":"K' || p_partkey || '-M","size":"M","offers":[{"price":"' || (p_size + 1) || '","priceCurrency":"EUR","availability":"OutOfStock"}]}]'
  ELSE ',"offers":{"price":"' || p_size || '.25","priceCurrency":"EUR","availability":"https://schema.org/OutOfStock"}' END || '}]}</script>' END
  || '</head><body><h1>' || p_name || '</h1><div class="price">999</div>' || CASE WHEN p_partkey % 5 = 0 THEN '<div class="description">' || repeat('Long text. ', 8) || '</div>' ELSE '' END || '</body></html>'"""
@@ -334,7 +334,7 @@ def made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LD, GROUP = "p_partkey % 3 <> 0", "p_partkey % 3 <> 0 AND p_partkey % 2 = 0"
-MADE = f"""SELECT p_partkey::VARCHAR AS product_id, CASE WHEN {LD} THEN p_name ELSE p_name END AS title, CASE WHEN {LD} AND p_partkey % 2 = 1 THEN p_size + 0.25 ELSE p_retailprice::DECIMAL(18,2)::DOUBLE END::DOUBLE AS price, CASE WHEN {LD} AND p_partkey % 2 = 1 THEN 'EUR' WHEN {LD} THEN NULL END AS currency,
+MADE = f"""SELECT p_partkey::VARCHAR AS product_id, CASE WHEN {LD} THEN 'L ' || p_name ELSE p_name END AS title, CASE WHEN {LD} AND p_partkey % 2 = 1 THEN p_size + 0.25 ELSE p_retailprice::DECIMAL(18,2)::DOUBLE END::DOUBLE AS price, CASE WHEN {LD} AND p_partkey % 2 = 1 THEN 'EUR' WHEN {LD} THEN NULL END AS currency,
  CASE WHEN {GROUP} THEN 'variable' ELSE 'simple' END AS kind, CASE WHEN {LD} THEN 'K' || p_partkey END AS sku, CASE WHEN {GROUP} THEN 2 ELSE 0 END::BIGINT AS n_variants, CASE WHEN {GROUP} THEN p_size + 0.5 END::DOUBLE AS first_price, CASE WHEN {GROUP} THEN 'in_stock,out_of_stock' ELSE '' END AS stocks,
  CASE WHEN {GROUP} THEN 'S|M' END AS sizes, CASE WHEN {LD} THEN 2 ELSE 1 END::BIGINT AS n_images, CASE WHEN {LD} THEN 'https://s.example/img/' || p_partkey || '-1.jpg' ELSE 'https://s.example/img/' || p_partkey || '-1_300x300.jpg' END AS featured, CASE WHEN {GROUP} THEN 'https://s.example/img/' || p_partkey || '-2.jpg' END AS first_image,
  CASE WHEN {LD} THEN 'jsonld' ELSE 'html' END AS title_source, CASE WHEN {LD} AND p_partkey % 2 = 1 THEN p_retailprice::DECIMAL(18,2)::DOUBLE::VARCHAR END AS other_price, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'The page has no description of the product.' END AS note, CASE WHEN {LD} AND p_partkey % 2 = 1 THEN 'out_of_stock' ELSE 'unknown' END AS stock, true AS ok FROM part"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import url as urlf
 from ..operators import catalog, export, extract, merge, structured, table_functions, views
 from ..operators import products as made
+from ..schema import ExportOptions
 from ..sources import buckets, payloads
 from ..storage import shared_folder
 from ..streaming import lanes
@@ -43,7 +44,7 @@ def lanes_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- structured data, without Python -------------------------------------------------------------------------------------
-@query(f"""SELECT p_partkey, p_name AS title, 'K' || p_partkey AS sku, p_brand AS brand, 'https://s.example/img/' || p_partkey || '-1.jpg|https://s.example/img/' || p_partkey || '-2.jpg' AS images,
+@query(f"""SELECT p_partkey, 'L ' || p_name AS title, 'K' || p_partkey AS sku, p_brand AS brand, 'https://s.example/img/' || p_partkey || '-1.jpg|https://s.example/img/' || p_partkey || '-2.jpg' AS images,
  CASE WHEN {GROUP} THEN NULL ELSE p_size || '.25' END AS price, CASE WHEN {GROUP} THEN NULL ELSE 'EUR' END AS currency,
  CASE WHEN {GROUP} THEN 'K' || p_partkey || '-S Size=S ' || p_size || '.50 https://schema.org/InStock,K' || p_partkey || '-M Size=M ' || (p_size + 1) || ' OutOfStock' ELSE '' END AS variants FROM part WHERE {LD}""")
 def structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,7 @@ def variant_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEEDS = f"NOT (p_partkey % 5 = 1 AND {LD})"
 
 
-@query(f"SELECT p_partkey::VARCHAR AS product_id, {NEEDS} AND p_partkey % 4 = 0 AS was_rendered, CASE WHEN {NEEDS} AND p_partkey % 4 = 0 THEN 'R' || p_partkey ELSE p_name END AS title, {NEEDS} AND p_partkey % 4 <> 0 AS noted FROM part")
+@query(f"SELECT p_partkey::VARCHAR AS product_id, {NEEDS} AND p_partkey % 4 = 0 AS was_rendered, CASE WHEN {NEEDS} AND p_partkey % 4 = 0 THEN 'R' || p_partkey WHEN {LD} THEN 'L ' || p_name ELSE p_name END AS title, {NEEDS} AND p_partkey % 4 <> 0 AS noted FROM part")
 def rendered_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages that are long and whole are read once; the others from what a browser rendered, where it did."""
     k = F.col("p_partkey")
@@ -180,6 +181,31 @@ def store_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(payloads.store_api_bases(urlf.origin_of(F.col("url"))), " ").alias("bases"))
 
 
+@query("""SELECT p_partkey::VARCHAR AS product_id, 'woocommerce' AS platform, p_name AS title, p_partkey::VARCHAR AS source_id, p_size::DOUBLE AS price, (p_size + 10)::DOUBLE AS regular, 'W' || p_partkey AS sku, CASE WHEN p_partkey % 2 = 0 THEN 'in_stock' ELSE 'out_of_stock' END AS stock, p_type AS type, 'red,big' AS tags,
+ 'Material=Brass|Made by=' || p_brand AS attributes, 'Size=S/M' AS axes, 'simple' AS kind, 'https://s.example/g/' || p_partkey || '.jpg' AS image, 'GBP' AS currency, 'About ' || p_partkey AS short FROM part""")
+def store_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered pages of a store, without any endpoint: all that the markup tells."""
+    html = F.expr("""'<html><body class="woocommerce postid-' || p_partkey || '"><div class="product"><h1 class="product_title">' || p_name || '</h1><p class="price"><del>£' || (p_size + 10) || '.00</del> <ins>£' || p_size || '.00</ins></p><span class="sku">W' || p_partkey || '</span><p class="stock">' || CASE WHEN p_partkey % 2 = 0 THEN 'In stock' ELSE 'Out of stock' END || '</p><div class="woocommerce-product-details__short-description"><p>About ' || p_partkey || '</p></div>'
+ || '<span class="posted_in"><a>' || p_type || '</a></span><span class="tagged_as"><a>red</a>, <a>big</a></span><table class="woocommerce-product-attributes"><tr><th>Material</th><td>Brass</td></tr><tr><th>Made by</th><td>' || p_brand || '</td></tr></table><form class="variations_form"><table class="variations"><tr><th><label>Size</label></th><td><select name="attribute_pa_size"><option value="">-</option><option value="S">S</option><option value="M">M</option></select></td></tr></table></form><div class="woocommerce-product-gallery"><img src="/small.jpg" data-large_image="/g/' || p_partkey || '.jpg"></div></div></body></html>'""")
+    pages = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("https://s.example/w/"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
+    docs = made.pages_to_products(pages, id_col="p_partkey")
+    named = lambda arrays, sep: F.array_join(F.transform(arrays, lambda a: F.concat(a["name"], F.lit("="), F.array_join(a["values"], sep))), "|")
+    return docs.select(
+        "product_id", F.col("source_platform").alias("platform"), "title", F.col("source_product_id").alias("source_id"), F.col("price").cast("double").alias("price"), F.col("regular_price").cast("double").alias("regular"), "sku", F.col("stock_status").alias("stock"), F.col("source_product_type").alias("type"), F.array_join("tags", ",").alias("tags"),
+        named("attributes", ",").alias("attributes"), named("options", "/").alias("axes"), "kind", F.get("images", F.lit(0))["url"].alias("image"), "currency", F.col("short_description_text").alias("short"),
+    )
+
+
+@query("SELECT p_partkey::VARCHAR AS product_id, u.field FROM part, (VALUES ('google.gtin'), ('google.mpn'), ('google.googleProductCategory')) u(field) WHERE p_partkey % 3 <> 2 AND p_partkey % 2 = 0")
+def unavailable_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that an endpoint answered without, told by provenance."""
+    part = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
+    pages = part.select("p_partkey", F.concat(F.lit("https://s.example/u/"), F.col("p_partkey").cast("string")).alias("url"), F.lit("<html><body><h1>T</h1></body></html>").alias("html"))
+    answers = part.where("p_partkey % 3 <> 2").select(F.col("p_partkey").cast("string").alias("product_id"), F.lit("shop").alias("kind"), F.expr(SHOP_BODY).alias("body"))
+    docs = made.pages_to_products(pages, answers, id_col="p_partkey")
+    return docs.select("product_id", F.explode("provenance").alias("field", "p")).where("p.source = 'unavailable'").select("product_id", "field")
+
+
 # ---- lists, stored tables, cells ---------------------------------------------------------------------------------------------
 @query(f"WITH {cte()}, {ISSUES}, g AS (SELECT product_id, max({RANK}) AS worst, count(*) AS n FROM i GROUP BY product_id) SELECT product_id, worst, n, row_number() OVER (ORDER BY worst DESC, n DESC, product_id::BIGINT) AS place FROM g ORDER BY place LIMIT 100")
 def issue_groups_head(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +218,21 @@ def issue_groups_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.select("product_id", F.col("worst").cast("int").alias("worst"), "n", F.row_number().over(Window.orderBy(F.desc("worst"), F.desc("n"), F.col("product_id").cast("long"))).cast("long").alias("place"))
 
 
+@query(f"WITH {cte()}, {ISSUES}, w AS (SELECT product_id, max({RANK}) AS r, count(*) AS n FROM i GROUP BY 1) SELECT p.id, n AS issue_count FROM p JOIN w ON w.product_id = p.id WHERE r >= 1 AND kind = 'simple' ORDER BY ordinal LIMIT 50 OFFSET 3")
+def review_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of one kind with a finding that needs a look."""
+    docs = products(spark, sf_dir)
+    return catalog.product_list(catalog.product_index(docs), required_issues(docs), kind="simple", needs_review=True, limit=50, offset=3).select("id", "issue_count")
+
+
+@query(f"WITH {cte()}, {ISSUES}, w AS (SELECT product_id, max({RANK}) AS r FROM i GROUP BY 1) SELECT p.id, CASE WHEN r = 3 THEN 'critical issue' WHEN r = 2 THEN 'error' WHEN r = 1 THEN 'warning' END AS skip_reason FROM p LEFT JOIN w ON w.product_id = p.id WHERE category_id IN ('Brand#11', 'Brand#12') AND p.id <> '7' AND length(p.id) <= 3")
+def export_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate with category and product filters, and warnings excluded too."""
+    docs = products(spark, sf_dir)
+    chosen = tuple(str(i) for i in range(1000) if i != 7)
+    return export.gate(docs, required_issues(docs), ExportOptions(category_ids=("Brand#11", "Brand#12"), product_ids=chosen, exclude_warnings=True)).select("id", "skip_reason")
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice::DOUBLE AS o_totalprice FROM orders UNION ALL SELECT -o_orderkey, 'N', NULL FROM orders WHERE o_orderkey % 1000 = 2")
 def bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in buckets, some of them changed and some added; of two changes of one order the later one counts."""
