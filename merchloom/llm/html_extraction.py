@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import arrow_batches
 
 # Tags whose content is no text, tags that stand for page furniture, tags inside a line, tags that bound
-# an article, tags without an end, and words in class, id or role that mark furniture.
+# an article, tags without an end, words in class, id or role that mark furniture, and words that say only where or in
+# what form a piece stands.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas head title textarea select".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -32,6 +33,10 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion footer gdpr header login masthead menu modal nav navbar navigation newsletter notice "
     "notices overlay pagination pager popup promo promotion promoted related recommended replies respond share sharing sidebar signup social sponsor sponsored sponsors subscribe subscription toolbar widget widgets topbar bottombar skip alert reader-comments".split()
 )
+PLACES = frozenset(
+    "area bar block bottom box buttons center column container content desktop element fixed form global group holder home icons inner item items js left line link links list main mobile module outer page panel posts primary right root row secondary section "
+    "site slot sticky text thread title top unit wrap wrapper zone".split()
+)
 #: Tags that a start tag ends when they are still open.
 ENDS = {"p": frozenset({"p"}), "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}), "option": frozenset({"option"})}
 PARAGRAPH_ENDERS = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -51,11 +56,14 @@ class Piece(NamedTuple):
 
 
 def _marked(attributes: str) -> bool:
-    """Whether class, id or role name a piece of page furniture."""
+    """Whether class, id or role name a piece of page furniture: a mark, alone or beside other marks, places and numbers.
+
+    A mark beside any other word tells of a subject ("notice-of-award", "login-tutorial") and counts for nothing.
+    """
     for m in _ATTR.finditer(attributes):
         for word in (m[2] or m[3] or m[4] or "").lower().split():
             parts = _PART.findall(word)
-            if word in MARKS or (parts and (parts[0] in MARKS or parts[-1] in MARKS)):
+            if word in MARKS or (any(x in MARKS for x in parts) and all(x in MARKS or x in PLACES or x.isdigit() for x in parts)):
                 return True
     return False
 

@@ -157,6 +157,15 @@ def test_html_edges(spark):
     assert len(got) == 10 and all(n == len(t) for _, t, n in got) and got[8][1] == got[9][1] == EN and got[6][1] == got[7][1] == ""
 
 
+def test_marks_are_whole_names():
+    w = html_extraction.fit_weights()
+    page = "<body><nav><a>Home</a></nav><article><p>{0}</p><div class='{1}'><p>{0} Inside.</p></div><p>{0}</p></article><footer>F</footer></body>"
+    for name in ("notice-of-award", "promo-code-guide", "login-tutorial", "social-history", "banner-image", "cookie-recipe", "comment-on-kant", "header-files", "x-ads-y"):
+        assert html_extraction.main_text(page.format(EN, name), w) == f"{EN} {EN} Inside. {EN}", name
+    for name in ("ad", "ads", "ad-slot-3", "site-header", "comments-list", "newsletter_signup", "share-buttons", "main related-posts", "reader-comments"):
+        assert html_extraction.main_text(page.format(EN, name), w) == f"{EN} {EN}", name
+
+
 # ---- licenses -------------------------------------------------------------------------------------------------------------
 def test_alignment(spark):
     """Aligned places match, ascend on both sides, and hold as long a run of anchors as brute force finds."""
