@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import groupby, pairwise
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -111,82 +112,155 @@ def align(template: list[str] | tuple[str, ...], text: list[str]) -> list[tuple[
     return sorted(out)
 
 
+def _common(template: tuple[str, ...], text: list[str]) -> int:
+    """Length of the longest common subsequence, by one integer whose bits are the template's places."""
+    full = (1 << len(template)) - 1
+    at: dict[str, int] = {}
+    for i, w in enumerate(template):
+        at[w] = at.get(w, 0) | 1 << i
+    free = full
+    for w in text:
+        met = free & at.get(w, 0)
+        free = ((free + met) | (free - met)) & full
+    return len(template) - free.bit_count()
+
+
+class Limits(NamedTuple):
+    """Least share, and what a stretch must have of a template of n words: words, words at most, pairs of neighbours."""
+
+    least: float
+    enough: int
+    most: int
+    pairs: int
+
+
+def limits(n: int, least: float) -> Limits:
+    enough, most = math.ceil(least * n - 1e-9), int(n / least + 1e-9)
+    return Limits(least, enough, most, 3 * enough - n - 1 - most)
+
+
 class Scanner:
-    """Templates, and the rarest words by which their places are found."""
+    """Templates, and bounds by which the parts of a text that cannot hold one are passed over; no bound loses a place.
+
+    A stretch passes if `least` of the template's words are aligned with it, and these are `least` of its words up to
+    the last. So it has at most n / least words, shares enough words with the template, shares enough neighbours (each
+    word left out on either side parts at most two of them), and has a long enough common subsequence.
+    """
 
     def __init__(self, templates: dict[str, tuple[str, ...]]) -> None:
         self.templates = [Template(name, tuple(words_of(t))) for name, texts in templates.items() for t in texts if words_of(t)]
-        self.vocabulary = frozenset(w for t in self.templates for w in t.words)
         self.needs = [Counter(t.words) for t in self.templates]
+        self.by_pair: dict[tuple[str, str], list[int]] = {}
+        for k, t in enumerate(self.templates):
+            for pair in set(pairwise(t.words)):
+                self.by_pair.setdefault(pair, []).append(k)
 
     def best(self, text: str, least: float) -> tuple[str | None, float, int, int, int, list[str]]:
-        """Best license, its coverage, aligned words, first and last place in the text's words; all licenses found.
-
-        A template is aligned with every stretch that holds enough of its words, densely enough, until no other can
-        have more aligned. Its aligned words must also make up `least` of the words between the first and the last.
-        """
+        """Best license, its coverage, aligned words, first and last place in the text's words; all licenses found."""
         if not text:
             return None, 0.0, 0, -1, -1, []
         words = words_of(text)
-        hits = [i for i, w in enumerate(words) if w in self.vocabulary]
+        spots: list[list[int]] = [[] for _ in self.templates]
+        for i, pair in enumerate(pairwise(words)):
+            for k in self.by_pair.get(pair, ()):
+                spots[k].append(i)
         top: tuple[float, int, str | None, int, int] = (0.0, 0, None, -1, -1)
         found: set[str] = set()
-        for template, need in zip(self.templates, self.needs, strict=True):
-            n = len(template.words)
-            own = [i for i in hits if words[i] in need]
-            enough = math.ceil(least * n - 1e-9)
-            if len(own) < enough:
-                continue
+        for k, template in enumerate(self.templates):
             best: list[tuple[int, int]] = []
-            known: dict[tuple[str, ...], list[tuple[int, int]]] = {}
-            for total, lo, hi in self._places(words, own, need, n, least):
-                if total <= len(best):
-                    break
-                part = tuple(words[lo:hi])
-                if part not in known:
-                    known[part] = align(template.words, words[lo:hi])
-                pairs = known[part]
-                if len(pairs) >= max(enough, len(best) + 1) and len(pairs) >= least * (pairs[-1][1] - pairs[0][1] + 1):
-                    best = [(a, lo + b) for a, b in pairs]
+            limit = limits(len(template.words), least)
+            for start, end in self._parts(limit, spots[k], len(words)):
+                best = self._aligned(k, limit, words, start, end, best)
             if best:
                 found.add(template.license)
-                if (len(best) / n, len(best)) > top[:2]:
-                    top = (len(best) / n, len(best), template.license, best[0][1], best[-1][1])
+                rank = (len(best) / len(template.words), len(best))
+                if rank > top[:2]:
+                    top = (*rank, template.license, best[0][1], best[-1][1])
         coverage, matched, name, first, last = top
         return name, coverage, matched, first, last, sorted(found)
 
     @staticmethod
-    def _places(words: list[str], own: list[int], need: Counter[str], n: int, least: float) -> list[tuple[int, int, int]]:
-        """Template words, start and end of every stretch that may pass, the fullest first, of these the shortest.
+    def _parts(limit: Limits, spots: list[int], size: int) -> Iterator[tuple[int, int]]:
+        """Parts of the text that together hold every stretch with enough of the template's neighbours."""
+        need, most = limit.pairs, limit.most
+        if need < 1:
+            yield 0, size
+            return
+        start = end = -1
+        for first, last in zip(spots, spots[need - 1 :], strict=False):
+            if last + 2 - first > most:
+                continue
+            lo, hi = max(0, last + 2 - most), min(size, first + most)
+            if lo > end >= 0:
+                yield start, end
+                start = lo
+            start, end = (lo if start < 0 else start), hi
+        if end >= 0:
+            yield start, end
 
-        A stretch begins and ends with a word of the template. The words that it shares with the template bound those
-        that can be aligned; they must be `least` of the template and of the stretch, so none is longer than n / least.
+    def _aligned(self, k: int, limit: Limits, words: list[str], start: int, end: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The longest alignment of a stretch of words[start:end], if longer than `best`.
+
+        A stretch begins and ends with a word of the template. Its last words are taken by the words that any stretch
+        up to them shares with the template, the fullest first, until none can have more aligned than the best.
         """
+        template, need, enough = self.templates[k].words, self.needs[k], limit.enough
+        own = [i for i in range(start, end) if words[i] in need]
+        ends = self._ends(need, limit, words, own)
+        # a common subsequence of all that a run of ends reaches bounds that of each
+        bound: dict[int, int] = {}
+        runs = max(1, len(template) // 4)
+        for _, run in groupby(ends, lambda x: own[x[1]] // runs):
+            some = list(run)
+            common = _common(template, words[own[some[0][2]] : own[some[-1][1]] + 1])
+            bound |= {at: common for _, at, _ in some}
+        known: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        for total, at, left in sorted(ends, key=lambda x: (-x[0], x[1])):
+            if total <= len(best):
+                break
+            if bound[at] < max(enough, len(best) + 1):
+                continue
+            for lo, hi in self._stretches(need, limit, words, own[left : at + 1], total, len(best)):
+                part = tuple(words[lo:hi])
+                if part not in known:
+                    known[part] = align(template, words[lo:hi])
+                pairs = known[part]
+                if len(pairs) >= max(enough, len(best) + 1) and len(pairs) >= limit.least * (pairs[-1][1] - pairs[0][1] + 1):
+                    best = [(a, lo + b) for a, b in pairs]
+        return best
+
+    @staticmethod
+    def _ends(need: Counter[str], limit: Limits, words: list[str], own: list[int]) -> list[tuple[int, int, int]]:
+        """Template words of the longest stretch up to a word, that word's place in `own`, and the stretch's first one."""
         out = []
-        enough, most = math.ceil(least * n - 1e-9), int(n / least + 1e-9)
         have: Counter[str] = Counter()
         total = left = 0
         for at, i in enumerate(own):
-            w = words[i]
-            total += have[w] < need[w]
-            have[w] += 1
-            while own[left] <= i - most:
+            total += have[words[i]] < need[words[i]]
+            have[words[i]] += 1
+            while own[left] <= i - limit.most:
                 v = words[own[left]]
                 have[v] -= 1
                 total -= have[v] < need[v]
                 left += 1
-            if total < enough:
-                continue
-            some, rest = total, dict(have)
-            for j in range(left, at + 1):
-                if some < enough:
-                    break
-                if some >= least * (i + 1 - own[j]):
-                    out.append((some, own[j], i + 1))
-                v = words[own[j]]
-                rest[v] -= 1
-                some -= rest[v] < need[v]
-        return sorted(out, key=lambda x: (-x[0], x[2] - x[1], x[1]))
+            if total >= limit.enough:
+                out.append((total, at, left))
+        return out
+
+    @staticmethod
+    def _stretches(need: Counter[str], limit: Limits, words: list[str], own: list[int], total: int, beat: int) -> list[tuple[int, int]]:
+        """Starts and ends of the stretches up to own[-1] that share more than `beat` words, the fullest first, of these the shortest."""
+        end = own[-1] + 1
+        have = Counter(words[i] for i in own)
+        out = []
+        for i in own:
+            if total < max(limit.enough, beat + 1):
+                break
+            if total >= limit.least * (end - i):
+                out.append((-total, end - i))
+            have[words[i]] -= 1
+            total -= have[words[i]] < need[words[i]]
+        return [(end - size, end) for _, size in sorted(out)]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST_COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -193,3 +194,52 @@ def test_license_edges(spark):
     docs = spark.createDataFrame([(1, long, "x"), (2, None, "x"), (3, "", "x"), (3, "", "x"), (4, "rights " * 20_000, "x")], "doc_id long, text string, license string")
     got = sorted((r.doc_id, r.license, r.first_word) for r in license_scan.scan_licenses(docs).collect())
     assert got == [(1, "GPL-3.0", len(license_scan.words_of(EN)) * 8000), (2, None, -1), (3, None, -1), (3, None, -1), (4, None, -1)]
+
+
+def all_stretches(scanner, text, least):
+    """License by license, the most words aligned in any stretch that begins and ends with a word of the template."""
+    words = license_scan.words_of(text)
+    most = {}
+    for name, template in scanner.templates:
+        own = [i for i, w in enumerate(words) if w in template]
+        for lo, hi in itertools.combinations_with_replacement(own, 2):
+            if hi - lo < len(template) / least + 1e-9:
+                pairs = license_scan.align(template, words[lo : hi + 1])
+                if len(pairs) >= least * len(template) - 1e-9 and len(pairs) >= least * (pairs[-1][1] - pairs[0][1] + 1):
+                    most[name] = max(most.get(name, (0, 0)), (len(pairs) / len(template), len(pairs)))
+    return most
+
+
+@pytest.mark.parametrize("least", [0.6, 0.75, 0.9, 1.0])
+def test_bounds_of_license_places_lose_none(least):
+    rng = random.Random(5)
+    found = 0
+    for _ in range(150):
+        letters = "abcdefghijklmnop"[: rng.randint(3, 16)]
+        templates = {f"L{k}": (" ".join(rng.choice(letters) for _ in range(rng.choice((1, 2, 3, 8, 14)))),) for k in range(3)}
+        s = license_scan.Scanner(templates)
+        text = []
+        for _ in range(rng.randint(0, 3)):
+            text += [rng.choice(letters + "xyz") for _ in range(rng.randint(0, 6))]
+            w = rng.choice(list(templates.values()))[0].split()
+            text += [x for x in w if rng.random() > 0.12 for x in ([x] if rng.random() > 0.1 else [x, rng.choice(letters + "xyz")])]
+        want = all_stretches(s, " ".join(text), least)
+        name, coverage, matched, first, last, names = s.best(" ".join(text), least)
+        assert names == sorted(want) and (coverage, matched) == max(want.values(), default=(0.0, 0)), (templates, text)
+        assert name is None or (want[name] == (coverage, matched) and 0 <= first <= last)
+        found += len(names)
+    assert found > 50
+
+
+def test_long_texts_of_template_words():
+    """20,000 words of a template, shuffled one by one and in runs, give nothing, in a time that grows with the text."""
+    rng = random.Random(6)
+    s = license_scan.Scanner(license_scan.TEMPLATES)
+    words = license_scan.words_of(license_scan.TEMPLATES["MIT"][1])
+    for run in (1, 5, 12):
+        runs = [words[i : i + run] for i in range(0, len(words), run)] * (20_000 // len(words))
+        rng.shuffle(runs)
+        text = " ".join(w for r in runs for w in r)
+        began = time.process_time()
+        assert "MIT" not in s.best(text, 0.9)[5]
+        assert time.process_time() - began < 5
