@@ -30,6 +30,8 @@ WORDS, DEVIATIONS = 2 * PERMUTATIONS // 64, 3.5
 ORDERS = (0, 1, 2)
 #: Shingles that one task holds to compare with one leader.
 GROUP_SHINGLES = 20_000
+#: Members of a bucket that one part of it holds; larger buckets are dealt into parts that meet each other in tasks of their own.
+PART_ROWS = 1024
 BLOCK = 1 << 20
 SKETCH = tuple(f"s{i + 1}" for i in range(2 * WORDS))
 LOW, HIGH = SKETCH[:WORDS], SKETCH[WORDS:]
@@ -192,7 +194,7 @@ class _Groups:
                 return labels
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", deviations: float | None = DEVIATIONS) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", deviations: float | None = DEVIATIONS, part_rows: int = PART_ROWS) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id, kept.
 
     Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. Null and empty texts have no shingles and stay alone; a
@@ -202,8 +204,9 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 
     Within a bucket leaders are compared with all members first. Members that are still in different components, and
     that sketches cannot tell apart, are then compared in pairs: texts that are all just under the threshold to each
-    other have as many such pairs as a join on similarity must look at. `deviations` is the sketches' margin; None
-    compares every pair of a bucket's components.
+    other have as many such pairs as a join on similarity must look at. No task takes a large bucket whole: its members
+    are dealt into parts of about `part_rows`, and each two parts meet in a place of their own. `deviations` is the
+    sketches' margin; None compares every pair of a bucket's components.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -215,19 +218,23 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     reps = sig.where("n > 0").groupBy(*sets).agg(F.min("id").alias("rep"), F.min("own").alias("own"), *[F.first(c).alias(c) for c in (*SKETCH, "bands")])
     reps = shared.keep(reps, "representatives")
     keys = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    crowded = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    crowded = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / part_rows).cast("long").alias("parts"))
     members = shared.keep(keys.join(crowded.hint("merge"), "key").join(reps.drop("f1", "f2", "own").hint("merge"), "rep"), "members")
     candidates = members.select(F.col("rep").alias("id")).distinct()
     groups = _Groups(shared.keep(texts.select("id", "text").join(candidates.hint("merge"), "id").groupBy("id").agg(F.first("text").alias("text")), "texts"), shared, shingle, percent)
 
     def sides(lead: DataFrame, rest: DataFrame, tested: DataFrame | None) -> DataFrame:
         """Pairs of one bucket, once each, that size and sketches do not rule out."""
-        a, b = lead.alias("x"), rest.alias("y")
+        own, other = F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        both = "c" in lead.columns
+        # leaders go to every part; where both sides are members, each part of one meets each part of the other
+        a = lead.select("*", other.alias("there")).withColumn("place", own * F.col("parts") + F.col("there") if both else F.col("there")).alias("x")
+        b = (rest.select("*", other.alias("there")).withColumn("place", F.col("there") * F.col("parts") + own) if both else rest.withColumn("place", own)).alias("y")
         differ = [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}")).bitwiseOR(F.col(f"x.{q}").bitwiseXOR(F.col(f"y.{q}")))) for p, q in zip(LOW, HIGH, strict=True)]
         agree = 2 * PERMUTATIONS - sum(differ[1:], differ[0])
         small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-        cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & (100 * small >= percent * large) & (agree >= least_agree(percent, deviations))
-        if "c" in lead.columns:
+        cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.place") == F.col("y.place")) & (F.col("x.rep") != F.col("y.rep")) & (100 * small >= percent * large) & (agree >= least_agree(percent, deviations))
+        if both:
             # Both lists hold every bucket that two components share, so the first shared band is enough: each pair is made once.
             shared_band = F.coalesce(*[F.when(F.col("x.bands")[i] == F.col("y.bands")[i], F.lit(i)) for i in range(BANDS)])
             cond = cond & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & (shared_band == F.col("x.band"))
@@ -241,7 +248,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
         Copies with edits of their own differ from each other twice as much as from what they were copied from; the
         member that agrees most with the majority is the least edited, and links most of the bucket in one step.
         """
-        cols = ["rep", "n", *SKETCH]
+        cols = ["rep", "n", "parts", *SKETCH]
         bits = [F.sum(F.getbit(c, F.lit(i))).alias(f"{c}_{i}") for c in LOW for i in range(64)]
         sums = of.groupBy("key").agg(F.count("*").alias("m"), *bits).where("m > 2")
         majority = [F.lit(0).cast("long") for _ in LOW]
