@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import SEVERITIES, severity_rank
+from ..storage import shared_folder
 from .export import PROFILES, csv_lines, emits_variations
 
 #: The choice "no category" in a list's filter.
@@ -178,3 +179,19 @@ def add_note(notes: Column, message: Column) -> Column:
 def group_positions(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Positions 1.. within each group."""
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+
+
+# ---- places -----------------------------------------------------------------------------------------------------------
+def placed(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """Adds each row's place from 1 in an order over all rows.
+
+    Ranges of the order are sorted in tasks of their own and written to the shared folder once; where each begins is told by
+    the counts of those before it. Only that list, one row for each range, is seen by one task.
+    """
+    spark, at = rows.sparkSession, shared_folder(rows.sparkSession)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(at)
+    ranges = spark.read.parquet(at).withColumn("_range", F.shiftright("_at", 33))
+    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    starts = ranges.groupBy("_range").agg(F.count("*").alias("n")).select("_range", before.alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranges.join(F.broadcast(starts), "_range").withColumn(name, place).drop("_range", "_at", "_before")
